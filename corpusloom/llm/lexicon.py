@@ -95,11 +95,11 @@ mentions légales *; legal notice *; impressum *; aviso legal *; note legali *
 
 #: Messages of servers and browsers that can stand in place of an article.
 MESSAGES = """
-*activer javascript*; *n’exécute pas les scripts*; *nécessite l’exécution de scripts*; *autorisez les scripts*;
-*enable javascript*; *doesn’t run scripts*; *need to allow scripts*; *allow scripts in your browser*;
-*aktivieren sie javascript*; *führt keine skripte aus*; *ausführung von skripten*; *erlauben sie skripte*; *skripte in ihrem browser*; *skripte ausführen*; *skripte zulassen*;
-*active javascript*; *no ejecuta scripts*; *necesita ejecutar scripts*; *permita los scripts*;
-*attiva javascript*; *non esegue gli script*; *richiede l’esecuzione di script*; *consenti gli script*;
+veuillez activer javascript*; merci d’activer javascript*; *n’exécute pas les scripts*; *nécessite l’exécution de scripts*; *autorisez les scripts*;
+please enable javascript*; enable javascript*; *doesn’t run scripts*; *need to allow scripts*; *allow scripts in your browser*;
+bitte aktivieren sie javascript*; aktivieren sie javascript*; *führt keine skripte aus*; *ausführung von skripten*; *erlauben sie skripte*; *müssen skripte erlaubt sein*; *skripte in ihrem browser*; *skripte ausführen*; *skripte zulassen*;
+active javascript*; *no ejecuta scripts*; *necesita ejecutar scripts*; *permita los scripts*;
+attiva javascript*; *non esegue gli script*; *richiede l’esecuzione di script*; *consenti gli script*;
 erreur 0*; *page demandée est introuvable*; *erreur interne est survenue*; *session a expiré*; *accès refusé*; *service est * indisponible*; *service est momentan*; *en maintenance*; *page introuvable*;
 error 0*; error code: 0; http 0*; 0 not found; 0 forbidden; 0 bad gateway; 0 internal server error; 0 service unavailable; 0 gateway timeout; nginx; noscript; *page you asked for can’t be found*; *internal error occurred*;
 *session has expired*; access denied*; *temporarily down for maintenance*;
@@ -107,7 +107,7 @@ fehler 0*; *angeforderte seite*nicht gefunden*; *interner fehler ist aufgetreten
 *no se encuentra la página solicitada*; *se ha producido un error interno*; *sesión ha caducado*; acceso denegado*; *por mantenimiento*; *en mantenimiento*;
 errore 0*; *pagina richiesta non è stata trovata*; *si è verificato un errore interno*; *sessione è scaduta*; accesso negato*; *per manutenzione*; *in manutenzione*;
 *serveur met trop de temps*; *aucun résultat ne correspond à votre recherche*; *page n’existe plus*;
-*server takes too long*; *server is taking too long*; *no results match your search*; *page no longer exists*; *this site can’t be reached*; sqlstate[*; warning: include(*; gateway time-out*; request id *; loading...; loading…;
+*server took too long*; *need to allow scripts*; *no results match your search*; *page no longer exists*; *this site can’t be reached*; sqlstate[*; warning: include(*; gateway time-out*; request id *; loading...; loading…;
 *server antwortet nicht rechtzeitig*; *ihrer suche gibt es keine treffer*; *diese seite gibt es nicht mehr*;
 *servidor tarda demasiado*; *ningún resultado coincide con su búsqueda*; *página ya no existe*;
 *server impiega troppo tempo*; *nessun risultato corrisponde alla tua ricerca*; *pagina non esiste più*
@@ -123,6 +123,19 @@ ajoutez une description de la rubrique*; add a description of this section*; *be
 votre titre ici*; your title here*; ihr titel hier*; su título aquí*; il tuo titolo qui*; *lorem ipsum*
 """
 
+#: Notes to the author that count anywhere in a line, in this spelling.
+NOTES = """
+xxx à renseigner xxx; xxx to be filled in xxx; xxx bitte ausfüllen xxx; xxx por rellenar xxx; xxx da compilare xxx;
+TEXTE À COMPLÉTER; TEXT TO BE COMPLETED; TEXT FOLGT NOCH; TEXTO PENDIENTE; TESTO DA COMPLETARE;
+[insérer le texte ici]; [insert text here]; [Text hier einfügen]; [inserte el texto aquí]; [inserire il testo qui]; [inserisci qui il testo];
+[nom du produit]; [product name]; [Produktname]; [nombre del producto]; [nome del prodotto]
+"""
+
+#: Names of fields that templates put in plain brackets.
+FIELDS = frozenset(
+    "amount author city content date email link name page price product rate section subject summary title url user value year".split()
+)
+
 #: Filler prose is written in this fixed word list.
 LATIN_FILLER = frozenset(
     """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam
@@ -157,3 +170,9 @@ RELATED_KEYS = frozenset(skeleton(x) for x in _items(RELATED))
 FRAME_RE = _matcher(FRAME)
 MESSAGE_RE = _matcher(MESSAGES)
 FILLER_RE = _matcher(FILLERS)
+NOTE_RE = re.compile("|".join(re.escape(_NON_ASCII.sub("", x)) for x in _items(NOTES)))
+
+
+def has_note(line: str) -> bool:
+    """A note to the author stands in the line; letters outside ASCII are left out of the comparison."""
+    return bool(NOTE_RE.search(_NON_ASCII.sub("", line)))
