@@ -87,7 +87,7 @@ jede vervielfältigung*; *haftet nicht für fehler*; die angaben von * sind unve
 kundendienst*0*; gehen sie vor der unterschrift*; was gestern gut lief*;
 queda prohibida la reproducción*; *no se hace responsable*; la información publicada por*; un sitio editado por*; *capital de 0 0*;
 atención al cliente*0*; antes de firmar un crédito*; una inversión que ayer fue bien*;
-è vietata la riproduzione*; *non risponde di errori*; le informazioni pubblicate da*; un sito pubblicato da*; * società *capitale*;
+è vietata la riproduzione*; *non risponde di errori*; le informazioni pubblicate da*; un sito pubblicato da*; * società *capitale*; * capitale di 0 0*; *s.p.a.*capitale*;
 servizio clienti*0*; prima di firmare un prestito*; un investimento andato bene ieri*;
 *tous droits réservés*; *all rights reserved*; *alle rechte vorbehalten*; *todos los derechos reservados*; *tutti i diritti riservati*;
 mentions légales *; legal notice *; impressum *; aviso legal *; note legali *
@@ -107,7 +107,7 @@ fehler 0*; *angeforderte seite*nicht gefunden*; *interner fehler ist aufgetreten
 *no se encuentra la página solicitada*; *se ha producido un error interno*; *sesión ha caducado*; acceso denegado*; *por mantenimiento*; *en mantenimiento*;
 errore 0*; *pagina richiesta non è stata trovata*; *si è verificato un errore interno*; *sessione è scaduta*; accesso negato*; *per manutenzione*; *in manutenzione*;
 *serveur met trop de temps*; *aucun résultat ne correspond à votre recherche*; *page n’existe plus*;
-*server took too long*; *need to allow scripts*; *no results match your search*; *page no longer exists*; *this site can’t be reached*; sqlstate[*; warning: include(*; gateway time-out*; request id *; loading...; loading…;
+*server took too long*; *need to allow scripts*; *no results match your search*; *page no longer exists*; *this site can’t be reached*; sqlstate[*; warning: include(*; gateway time-out*; service unavailable*; request id *; traceback (most recent call last)*; java.*exception*; *fatal error: *; loading...; loading…;
 *server antwortet nicht rechtzeitig*; *ihrer suche gibt es keine treffer*; *diese seite gibt es nicht mehr*;
 *servidor tarda demasiado*; *ningún resultado coincide con su búsqueda*; *página ya no existe*;
 *server impiega troppo tempo*; *nessun risultato corrisponde alla tua ricerca*; *pagina non esiste più*
