@@ -20,3 +20,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of a plan, written once to the shared checkpoint folder; the plan ends there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share, for tables that are written and read again."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
