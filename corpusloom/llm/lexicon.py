@@ -16,7 +16,9 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 def skeleton(line: str) -> str:
     """Lower-cased ASCII part of a line, runs of digits as 0, single spaces."""
-    key = _NON_ASCII.sub("", line.lower())
+    key = line.lower()
+    if not key.isascii():
+        key = key.encode("ascii", "ignore").decode()
     return _SPACES.sub(" ", _DIGITS.sub("0", key)).strip()
 
 
@@ -170,9 +172,10 @@ RELATED_KEYS = frozenset(skeleton(x) for x in _items(RELATED))
 FRAME_RE = _matcher(FRAME)
 MESSAGE_RE = _matcher(MESSAGES)
 FILLER_RE = _matcher(FILLERS)
-NOTE_RE = re.compile("|".join(re.escape(_NON_ASCII.sub("", x)) for x in _items(NOTES)))
+_NOTE_PARTS = tuple(_NON_ASCII.sub("", x) for x in _items(NOTES))
 
 
 def has_note(line: str) -> bool:
     """A note to the author stands in the line; letters outside ASCII are left out of the comparison."""
-    return bool(NOTE_RE.search(_NON_ASCII.sub("", line)))
+    bare = line if line.isascii() else line.encode("ascii", "ignore").decode()
+    return any(x in bare for x in _NOTE_PARTS)

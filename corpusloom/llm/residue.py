@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import columns, map_rows, spread
 from corpusloom.llm.lexicon import FIELDS, LATIN_FILLER, has_note, skeleton
 from corpusloom.llm.page import FILLER, MESSAGE, OTHER, PHRASE_CHARS, PROSE, TITLE, Classifier, Page
+from corpusloom.storage import checkpointed
 
 #: A name between the brackets of common template engines.
 _NAME = r"\s*[^\W\d][\w.]{2,40}\s*"
@@ -18,6 +19,9 @@ _PLACEHOLDER = re.compile(
     rf"\{{\{{{_NAME}\}}\}}|[$#]\{{{_NAME}\}}|\[\[{_NAME}\]\]|%%{_NAME}%%|@@{_NAME}@@|<%=?{_NAME}%>|\{{%{_NAME}%\}}"
     rf"|(?<![\w$#{{%`])\{{[^\W\d][\w.]{{2,40}}\}}(?!\}})|\[[^\W\d][\w.]{{2,40}}\](?![(\[])"
 )
+#: No placeholder is without one of these.
+_OPENERS = ("{", "[", "%%", "@@", "<%")
+
 #: A placeholder that a text quotes as its example stands between such marks.
 _QUOTED_BEFORE, _QUOTED_AFTER = re.compile(r"[`“«\"‘„']\s*$"), re.compile(r"^\s*[`”»\"’“']")
 
@@ -61,21 +65,40 @@ def has_placeholder(line: str) -> bool:
     return False
 
 
+#: One of these is in any line that is mostly of the filler's words.
+_LATIN = tuple(sorted(w for w in LATIN_FILLER if len(w) > 4))
+
+
 def is_latin_filler(line: str) -> bool:
     words = re.findall(r"[^\W\d_]+", line.lower())
     return len(words) >= 5 and sum(w in LATIN_FILLER for w in words) * 10 >= len(words) * 7
 
 
+#: Stems of the words above; a line without any of them needs no key.
+_STEMS = tuple(
+    """script skript http err fehl serv sess sitz sesi pag pág seite brows naveg navig load carg cari charg maint wart manut manten compl todo tbd tex
+    testo""".split()
+)
+
+
 def page_signs(page: Page) -> list[tuple[int, str]]:
-    """(sign, key) of the lines of the main body that may be residue."""
+    """(sign, key) of the lines of the main body that may be residue.
+
+    Each rule is tried on the whole body first, line by line only where it can hold.
+    """
+    at = page.body()
+    body = "\n".join([page.lines[i] for i in at])
+    low = body.lower()
+    placeholders = any(x in body for x in _OPENERS) and _PLACEHOLDER.search(body) is not None
+    notes, latin = has_note(body), any(w in low for w in _LATIN)
     signs = []
-    for i in page.body():
+    for i in at:
         line, kind = page.lines[i], page.kinds[i]
         if kind == MESSAGE:
             signs.append((PHRASE, message_key(line)))
-        elif kind == FILLER or has_placeholder(line) or has_note(line) or is_latin_filler(line):
+        elif kind == FILLER or placeholders and has_placeholder(line) or notes and has_note(line) or latin and is_latin_filler(line):
             signs.append((RULE, message_key(line)[:PHRASE_CHARS]))
-        elif kind in (PROSE, OTHER, TITLE) and len(line) <= PHRASE_CHARS and _WEAK.search(key := message_key(line)):
+        elif kind in (PROSE, OTHER, TITLE) and len(line) <= PHRASE_CHARS and any(x in line.lower() for x in _STEMS) and _WEAK.search(key := message_key(line)):
             signs.append((CANDIDATE, key))
     return signs
 
@@ -131,7 +154,7 @@ def residue_documents(
     null source counts as no source, repeated rows give one row, null ids are left out.
     """
     signs = residue_signs(docs, id_col, text_col, title_col, source_col).where("id IS NOT NULL")
-    kept = signs.select("id", "source", "sign", F.xxhash64("key").alias("hash"))
+    kept = checkpointed(signs.select("id", "source", "sign", F.xxhash64("key").alias("hash")))  # few rows, used three times
     spread_wide = (
         kept.where(f"sign = {CANDIDATE}").groupBy("hash", "source").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("source").alias("n_sources"))
         .where(f"n_sources >= {min_sources}").select("hash")
