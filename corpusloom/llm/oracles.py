@@ -29,6 +29,6 @@ WHERE s.docs >= 5 AND s.docs * 20 >= z.n""",
   SELECT l.doc_id, list(l.line_no) AS cut FROM lettered l JOIN spans s ON l.root = s.root AND l.k = s.k JOIN sizes z ON z.root = l.root
   WHERE s.docs >= 5 AND s.docs * 20 >= z.n GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN h.cut IS NULL THEN d.text ELSE array_to_string(
-  [x.line FOR x IN list_zip(string_split(d.text, chr(10)), range(1, len(string_split(d.text, chr(10))) + 1)) IF NOT list_contains(h.cut, x[2])], chr(10)) END AS text
+  [x[1] FOR x IN list_zip(string_split(d.text, chr(10)), range(1, len(string_split(d.text, chr(10))) + 1)) IF NOT list_contains(h.cut, x[2])], chr(10)) END AS text
 FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id""",
 }
