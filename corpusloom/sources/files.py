@@ -14,7 +14,7 @@ CSV_HEADER = "DocEltType;DocEltCmd;NestingLevel;Text;Lang;Chars;Words;AvgWordsLe
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(path, lang, text) of all ``*.<lang>.text.md`` files below a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.text.md").text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.text.md").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     return raw.select(path.alias("path"), F.regexp_extract(path, r"\.(..)\.text\.md$", 1).alias("lang"), F.col("value").alias("text"))
 
@@ -121,13 +121,13 @@ def effective_config(websites: DataFrame) -> DataFrame:
 
 def read_checkpoint(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Known addresses, waiting pages and unique blocks of a stopped crawl, from its JSON files."""
-    ids = spark.read.schema("UrlRepository map<bigint, tinyint>").option("multiLine", True).json(f"{folder}/crawledUrls.json")
+    ids = spark.read.schema("UrlRepository map<string, tinyint>").option("multiLine", True).json(f"{folder}/crawledUrls.json")
     waiting = spark.read.schema("UrlQueue array<struct<Uri: string, ParentUri: string, IsRetry: boolean, RetryCount: int, IsRoot: boolean, IsInternal: boolean, CrawlDepth: int>>")
-    parsed = spark.read.text(f"{folder}/uniqueTextBlocks.json", wholetext=True).select(F.from_json("value", "map<bigint, int>").alias("m"))
+    parsed = spark.read.text(f"{folder}/uniqueTextBlocks.json", wholetext=True).select(F.from_json("value", "map<string, int>").alias("m"))
     return {
-        "known": ids.select(F.explode("UrlRepository").alias("url_id", "one")).select("url_id"),
+        "known": ids.select(F.explode("UrlRepository").alias("url_id", "one")).select(F.col("url_id").cast("bigint").alias("url_id")),
         "frontier": waiting.option("multiLine", True).json(f"{folder}/pagesToCrawl.json").select(F.explode("UrlQueue").alias("x")).select("x.*"),
-        "unique_blocks": parsed.select(F.explode("m").alias("hash", "words")),
+        "unique_blocks": parsed.select(F.explode("m").alias("hash", "words")).select(F.col("hash").cast("bigint").alias("hash"), "words"),
     }
 
 
