@@ -15,7 +15,9 @@ from corpusloom.llm.common import columns, spread
 from corpusloom.llm.mojibake import Repairer
 from corpusloom.llm.page import Classifier, Page
 from corpusloom.llm.quality import Readable, is_row
+from corpusloom.llm.residue import CANDIDATE, candidate_hashes, page_signs, recurring
 from corpusloom.llm.spam import _DOT, _TARGET, FUNCTION_WORDS
+from corpusloom.storage import checkpointed
 
 LANGUAGES = ("de", "en", "es", "fr", "it")
 
@@ -193,7 +195,15 @@ def named_language(label: str | None) -> str | None:
 
 
 def document_languages(
-    docs: DataFrame, tagger: Tagger, sample: Iterable[str], id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", label_col: str = "lang"
+    docs: DataFrame,
+    tagger: Tagger,
+    sample: Iterable[str],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    title_col: str = "title",
+    label_col: str = "lang",
+    source_col: str = "source",
+    without_residue: bool = False,
 ) -> DataFrame:
     """(id, line_no, lang, confidence, named): language of each document and of each foreign line of its main body.
 
@@ -203,7 +213,8 @@ def document_languages(
     marginal probability, from forward-backward over each line.  Lines are tagged in
     batches within one narrow pass; the model has a fixed size.  Documents without
     readable text in the main body, null or empty ones and null ids give no row; repeated
-    rows give repeated rows.
+    rows give repeated rows.  ``without_residue`` leaves out the cases of problem 2, whose
+    signs are read off the same pages in the same pass.
     """
     texts = list(sample)
     shared = docs.sparkSession.sparkContext.broadcast(tagger.fresh())  # FEATURES x 5 floats and the word list
@@ -215,11 +226,16 @@ def document_languages(
                 batch = whole.slice(start, 1_000)
                 if len(tag.index) > 150_000:
                     tag = tag.fresh()
-                heads, lines, numbers = [], [], []
-                for key, text, title, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                heads, lines, numbers, candidates = [], [], [], []
+                for key, text, title, label, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if key is None or not text:
                         continue
                     page = Page(text, title, kind_of)
+                    if without_residue:
+                        signs = page_signs(page)
+                        if any(sign != CANDIDATE for sign, _ in signs):
+                            continue
+                        candidates += [(key, source, h) for h in candidate_hashes(signs)]
                     at = page.body()
                     body = [page.lines[i] for i in at]
                     joined = "\n".join(body)
@@ -236,10 +252,16 @@ def document_languages(
                         lines.append(tag.ids(words))
                         numbers.append((page.numbers[i], line.count(" ") + 1 if len(words) >= MIN_LETTER_WORDS and not is_row(line) else 0))
                     heads.append((key, label, first, len(lines)))
-                yield _decide(heads, numbers, tag.line_sums(lines))
+                yield _decide(heads, numbers, tag.line_sums(lines), candidates)
 
-    rows = spread(columns(docs, id=id_col, text=text_col, title=title_col, label=label_col))
-    return rows.mapInArrow(work, "id bigint, line_no int, lang string, confidence double, named string").withColumnRenamed("id", id_col)
+    rows = spread(columns(docs, id=id_col, text=text_col, title=title_col, label=label_col, source=source_col))
+    made = rows.mapInArrow(work, "id bigint, line_no int, lang string, confidence double, named string, source string, hash bigint")
+    named = ["id", "line_no", "lang", "confidence", "named"]
+    if not without_residue:
+        return made.select(*named).withColumnRenamed("id", id_col)
+    made = checkpointed(made)  # a few words a document, used three times
+    cases = recurring(made.where("hash IS NOT NULL").select("id", "source", "hash"))
+    return made.where("hash IS NULL").select(*named).join(cases, "id", "left_anti").withColumnRenamed("id", id_col)
 
 
 def _has_words(text: str, readable: Readable) -> bool:
@@ -254,8 +276,8 @@ def _has_words(text: str, readable: Readable) -> bool:
 _GARBLED = re.compile("[ÃÂâ√├Ôа-яА-Я]|[\x80-\x9f]")
 
 
-def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray) -> pa.RecordBatch:
-    out: list[tuple] = []
+def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray, candidates: list[tuple] = ()) -> pa.RecordBatch:
+    out: list[tuple] = [(key, -1, None, None, None, source, h) for key, source, h in candidates]
     for key, label, first, last in heads:
         total = sums[first:last].sum(axis=0)
         mass = float(total.sum())
@@ -263,20 +285,20 @@ def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray
             continue
         main = int(total.argmax())
         named = named_language(label)
-        out.append((key, 0, LANGUAGES[main], float(total[main]) / mass, named))
+        out.append((key, 0, LANGUAGES[main], float(total[main]) / mass, named, None, None))
         for i in range(first, last):
             number, words = numbers[i]
             best = int(sums[i].argmax())
             if words >= MIN_WORDS and best != main:
                 share = float(sums[i, best] / sums[i].sum())
                 if share >= MIN_SHARE:
-                    out.append((key, number, LANGUAGES[best], share, named))
-    schema = pa.schema([("id", pa.int64()), ("line_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("named", pa.string())])
-    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+                    out.append((key, number, LANGUAGES[best], share, named, None, None))
+    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.int64()]
+    cols = list(zip(*out, strict=True)) or [[]] * len(types)
+    names = ["id", "line_no", "lang", "confidence", "named", "source", "hash"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def label_faults(languages: DataFrame, residue: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, line_no, lang): documents whose label is missing or wrong, and foreign lines; cases of ``residue`` are left out by an anti-join of ids."""
-    cases = residue.select(residue[residue.columns[0]].alias(id_col))
-    found = languages.where(F.expr("line_no > 0 OR named IS NULL OR named <> lang")).select(id_col, "line_no", "lang").distinct()
-    return found.join(cases, id_col, "left_anti")
+def label_faults(languages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, line_no, lang): documents whose label is missing or wrong, and foreign lines."""
+    return languages.where(F.expr("line_no > 0 OR named IS NULL OR named <> lang")).select(id_col, "line_no", "lang").distinct()

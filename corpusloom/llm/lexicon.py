@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
+
 _DIGITS = re.compile(r"[0-9]+")
 _SPACES = re.compile(r"[\s\x00-\x1f]+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -151,10 +153,37 @@ def _items(block: str) -> list[str]:
     return [x for x in (" ".join(p.split()) for p in block.split(";")) if x]
 
 
-def _matcher(block: str) -> re.Pattern[str]:
-    """One pattern that fully matches the skeleton of any phrase of a block."""
-    alternatives = sorted(".*".join(re.escape(skeleton_part(p)) for p in x.split("*")) for x in map(_trimmed, _items(block)))
-    return re.compile("(?:" + "|".join(x for x in alternatives if x) + ")$")
+class Phrases:
+    """Whole-line test of a skeleton against many phrases.
+
+    Phrases with a fixed beginning are found by its first letters; for the others their
+    longest fixed part must stand in the line.  Only then is the pattern tried.
+    """
+
+    HEAD = 3
+
+    def __init__(self, block: str):
+        self.by_head: dict[str, list[re.Pattern[str]]] = {}
+        self.inside: list[tuple[str, re.Pattern[str]]] = []
+        for phrase in _items(block):
+            parts = [skeleton_part(p) for p in _trimmed(phrase).split("*")]
+            if not any(p.strip() for p in parts):
+                continue
+            pattern = re.compile(".*".join(map(re.escape, parts)) + "$")
+            if len(parts[0]) >= self.HEAD:
+                self.by_head.setdefault(parts[0][: self.HEAD], []).append(pattern)
+            else:
+                self.inside.append((max(parts, key=len), pattern))
+
+    def match(self, key: str) -> bool:
+        for pattern in self.by_head.get(key[: self.HEAD], ()):
+            if pattern.match(key):
+                return True
+        return any(part in key and pattern.match(key) for part, pattern in self.inside)
+
+    def begins(self, key: str) -> bool:
+        """Match of phrases with a fixed beginning alone."""
+        return any(pattern.match(key) for pattern in self.by_head.get(key[: self.HEAD], ()))
 
 
 def _trimmed(phrase: str) -> str:
@@ -169,9 +198,13 @@ def skeleton_part(text: str) -> str:
 
 LABEL_KEYS = frozenset(skeleton(x) for x in _items(LABELS))
 RELATED_KEYS = frozenset(skeleton(x) for x in _items(RELATED))
-FRAME_RE = _matcher(FRAME)
-MESSAGE_RE = _matcher(MESSAGES)
-FILLER_RE = _matcher(FILLERS)
+FRAME_PHRASES, MESSAGE_PHRASES, FILLER_PHRASES = Phrases(FRAME), Phrases(MESSAGES), Phrases(FILLERS)
+#: Fixed parts of all phrases without a fixed beginning; a line without any of them needs only :meth:`Phrases.begins`.
+INSIDE = ahocorasick.Automaton()
+for _phrases in (FRAME_PHRASES, MESSAGE_PHRASES, FILLER_PHRASES):
+    for _part, _ in _phrases.inside:
+        INSIDE.add_word(_part, True)
+INSIDE.make_automaton()
 _NOTE_PARTS = tuple(_NON_ASCII.sub("", x) for x in _items(NOTES))
 
 

@@ -13,11 +13,14 @@ from __future__ import annotations
 import re
 from collections import deque
 
-from corpusloom.llm.lexicon import FILLER_RE, FRAME_RE, LABEL_KEYS, MESSAGE_RE, RELATED_KEYS, skeleton
+from corpusloom.llm.lexicon import FILLER_PHRASES, FRAME_PHRASES, INSIDE, LABEL_KEYS, MESSAGE_PHRASES, RELATED_KEYS, skeleton
 
 # Kinds of lines; the page operators share them.
 PROSE, HEADING, LIST, TABLE, TITLE, RELATED, FRAME, OTHER, MESSAGE, FILLER = range(10)
 
+#: Lists of phrases in the order they are tried.
+_PHRASES = ((MESSAGE_PHRASES, MESSAGE), (FILLER_PHRASES, FILLER), (FRAME_PHRASES, FRAME))
+
 #: Log-odds (in hundredths) that a line of a kind belongs to the frame.
 SCORES = {PROSE: -400, HEADING: -600, LIST: -150, TABLE: -300, TITLE: -60, RELATED: 500, FRAME: 500, OTHER: -120, MESSAGE: -200, FILLER: -500}
 
@@ -57,12 +60,10 @@ def line_kind(line: str) -> int:
         return FRAME
     if bare in RELATED_KEYS or bare.rstrip(" :") in RELATED_KEYS:
         return RELATED
-    if MESSAGE_RE.match(bare):
-        return MESSAGE
-    if FILLER_RE.match(bare):
-        return FILLER
-    if FRAME_RE.match(bare):
-        return FRAME
+    inside = next(INSIDE.iter(bare), None) is not None
+    for phrases, kind in _PHRASES:
+        if phrases.match(bare) if inside else phrases.begins(bare):
+            return kind
     head, colon, _ = bare.partition(" : ")
     if not colon:
         head, colon, _ = bare.partition(": ")

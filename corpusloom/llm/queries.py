@@ -73,14 +73,14 @@ def p5_classes(spark: SparkSession, path: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _languages(spark: SparkSession, path: str) -> DataFrame:
+def _languages(spark: SparkSession, path: str, without_residue: bool = False) -> DataFrame:
     words = _fixed(spark, path, "common_words", "lang", "word")
     tagger = language.train(_fixed(spark, path, "lang_samples", "lang", "text"), words)
-    return language.document_languages(_docs(spark, path), tagger, _clean_sample(spark, path))
+    return language.document_languages(_docs(spark, path), tagger, _clean_sample(spark, path), without_residue=without_residue)
 
 
 def p6_found(spark: SparkSession, path: str) -> DataFrame:
-    return language.label_faults(_languages(spark, path), residue.residue_documents(_docs(spark, path)))
+    return language.label_faults(_languages(spark, path, without_residue=True))
 
 
 def p6_languages(spark: SparkSession, path: str) -> DataFrame:

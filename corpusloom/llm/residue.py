@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,9 +156,16 @@ def residue_documents(
     """
     signs = residue_signs(docs, id_col, text_col, title_col, source_col).where("id IS NOT NULL")
     kept = checkpointed(signs.select("id", "source", "sign", F.xxhash64("key").alias("hash")))  # few rows, used three times
-    spread_wide = (
-        kept.where(f"sign = {CANDIDATE}").groupBy("hash", "source").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("source").alias("n_sources"))
-        .where(f"n_sources >= {min_sources}").select("hash")
-    )
-    recurring = kept.where(f"sign = {CANDIDATE}").join(spread_wide, "hash", "left_semi").select("id")
-    return kept.where(f"sign > {CANDIDATE}").select("id").union(recurring).distinct().withColumnRenamed("id", id_col)
+    candidates = recurring(kept.where(f"sign = {CANDIDATE}"), min_sources)
+    return kept.where(f"sign > {CANDIDATE}").select("id").union(candidates).distinct().withColumnRenamed("id", id_col)
+
+
+def recurring(candidates: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """(id) of candidate lines (id, source, hash) whose hash stands in enough sources."""
+    wide = candidates.groupBy("hash", "source").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("source").alias("n_sources"))
+    return candidates.join(wide.where(f"n_sources >= {min_sources}").select("hash"), "hash", "left_semi").select("id")
+
+
+def candidate_hashes(signs: list[tuple[int, str]]) -> list[int]:
+    """Signed hashes of the lines that only recurrence decides about."""
+    return [xxhash.xxh3_64_intdigest(key) - (1 << 63) for sign, key in dict.fromkeys(signs) if sign == CANDIDATE]
