@@ -18,7 +18,7 @@ SYMBOLS = "😀🚀✅👍❤⭐✔➡→←↑↓★☆✓✗"
 #: Small letters of clean text and marks that stay as they are in a line that is restored.
 KEPT = frozenset("àâäáãåæçéèêëíìîïñóòôöõœúùûü’")
 #: Marks that say nothing by their place.
-SAFE = frozenset("°§ªº«»€£ ")
+SAFE = frozenset("°§ªº«»€£\u00a0\u202f\u2009")
 
 #: (encoding a text was written in, encoding it was read as).
 PAIRS = (

@@ -67,7 +67,7 @@ def has_placeholder(line: str) -> bool:
 
 
 #: One of these is in any line that is mostly of the filler's words.
-_LATIN = tuple(sorted(w for w in LATIN_FILLER if len(w) > 4))
+LATIN_MARKS = tuple(sorted(w for w in LATIN_FILLER if len(w) > 4))
 
 
 def is_latin_filler(line: str) -> bool:
@@ -91,7 +91,7 @@ def page_signs(page: Page) -> list[tuple[int, str]]:
     body = "\n".join([page.lines[i] for i in at])
     low = body.lower()
     placeholders = any(x in body for x in _OPENERS) and _PLACEHOLDER.search(body) is not None
-    notes, latin = has_note(body), any(w in low for w in _LATIN)
+    notes, latin = has_note(body), any(w in low for w in LATIN_MARKS)
     signs = []
     for i in at:
         line, kind = page.lines[i], page.kinds[i]

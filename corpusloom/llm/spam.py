@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.common import columns, map_rows, spread
-from corpusloom.llm.page import LIST, TABLE, TITLE, Classifier, Page
-from corpusloom.llm.residue import is_latin_filler
+from corpusloom.llm.page import FILLER, LIST, MESSAGE, TABLE, TITLE, Classifier, Page
+from corpusloom.llm.residue import LATIN_MARKS, has_placeholder, is_latin_filler
 
 #: Fixed function words of the five languages; a list of nouns has none of them.
 _FUNCTION = """
@@ -103,7 +103,11 @@ def is_varied(words: list[str]) -> bool:
 def is_spam(page: Page) -> bool:
     """Main body of repeated keywords, links or tags, or a run of distinct nouns without function words that is no list or table."""
     at = page.body()
-    body = [page.lines[i] for i in at if page.kinds[i] != TABLE and not is_latin_filler(page.lines[i])]
+    body = [page.lines[i] for i in at if page.kinds[i] not in (TABLE, FILLER, MESSAGE)]
+    low = "\n".join(body).lower()
+    if any(w in low for w in LATIN_MARKS):
+        body = [x for x in body if not is_latin_filler(x)]
+    body = [x for x in body if not has_placeholder(x)]
     if not body:
         return False
     if _DOT.search("\n".join(body)):
@@ -119,7 +123,7 @@ def is_spam(page: Page) -> bool:
     structured = sum(page.kinds[i] in (LIST, TABLE, TITLE) or _ENTRY.search(page.lines[i]) is not None for i in at)
     if structured * 2 >= len(at):  # entries of lists repeat their heads; only dense repetition counts
         return double >= 2 * STUFFED
-    if double >= STUFFED or single >= 0.5 and function < 0.14:
+    if double >= STUFFED or single >= 0.5 and function < 0.14 and sum(map(len, words)) >= 3 * len(words):
         return True
     nouns = [x for x in body if x.count(",") >= 5 and x.count(",") * 5 >= len(x.split())]
     return function < 0.04 and len(nouns) * 2 >= len(at)
