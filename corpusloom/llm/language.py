@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import columns, spread
-from corpusloom.llm.mojibake import Repairer
+from corpusloom.llm.mojibake import Repairer, repaired
 from corpusloom.llm.page import Classifier, Page
 from corpusloom.llm.quality import Readable, is_row
 from corpusloom.llm.residue import CANDIDATE, candidate_hashes, page_signs, recurring
@@ -237,11 +237,8 @@ def document_languages(
                             continue
                         candidates += [(key, source, h) for h in candidate_hashes(signs)]
                     at = page.body()
-                    body = [page.lines[i] for i in at]
-                    joined = "\n".join(body)
-                    if not joined.isascii() and _GARBLED.search(joined):
-                        for number, _, fixed in repairer.check(joined):
-                            body[number - 1] = fixed
+                    joined = repaired("\n".join(page.lines[i] for i in at), repairer)
+                    body = joined.split("\n")
                     if not _has_words(joined, readable):
                         continue
                     first = len(lines)
@@ -273,9 +270,6 @@ def _has_words(text: str, readable: Readable) -> bool:
     return letters > 0 and sum(len(t) for t in tokens if readable(t)) >= MIN_READABLE * letters
 
 
-_GARBLED = re.compile("[ÃÂâ√├Ôа-яА-Я]|[\x80-\x9f]")
-
-
 def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray, candidates: list[tuple] = ()) -> pa.RecordBatch:
     out: list[tuple] = [(key, -1, None, None, None, source, h) for key, source, h in candidates]
     for key, label, first, last in heads:

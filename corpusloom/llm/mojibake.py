@@ -200,6 +200,20 @@ class Repairer:
         return out
 
 
+#: A text without any of these has no stretch of wrong decoding long enough to hide its words.
+_SIGNS = re.compile("[ÃÂâ√├Ôа-яА-Я]|[\x80-\x9f]")
+
+
+def repaired(text: str, repairer: Repairer) -> str:
+    """The text with its garbled lines restored as far as possible, for operators that look at words."""
+    if text.isascii() or not _SIGNS.search(text):
+        return text
+    lines = text.split("\n")
+    for number, _, restored in repairer.check(text):
+        lines[number - 1] = restored
+    return "\n".join(lines)
+
+
 def garbled_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, garbled, restored): every line with wrongly decoded characters, with the original where it can be had.
 

@@ -27,13 +27,16 @@ SCORES = {PROSE: -400, HEADING: -600, LIST: -150, TABLE: -300, TITLE: -60, RELAT
 #: Capacities of edges: neighbours, and lines of one inferred block.
 ADJACENT, SAME_BLOCK = 30, 450
 
+#: A box of references has at most so many entries; further lines of their shape are judged by themselves.
+BOX_ENTRIES = 4
+
 #: A line longer than this many characters is never looked up as a phrase.
 PHRASE_CHARS = 170
 
-_SEPARATED = re.compile(r" [^\sA-Za-z0-9]{1,6} |\t")
+_SEPARATED = re.compile(r" [^\sA-Za-z0-9]{1,12} |\t")
 _MARK = re.compile(r"^(?:[-–*•›»>]|\d{1,3}[.)])\s+")
-_TITLE_MARK = re.compile(r"^(?:[-›»>•*]\s+)?")
-_TITLE_SHAPE = re.compile(r"\s[:–-]\s|\s\d{4}$|\(\d{4}\)$|, [A-ZÀ-ÞŽ]\S*$|^\S+ [^,.;!?]+ [A-ZÀ-Þ]+$")
+_TITLE_MARK = re.compile(r"^(?:-|[^\sA-Za-z0-9*•–]{1,12})\s+")
+_TITLE_SHAPE = re.compile(r"\s(?:[:–-]|[^\sA-Za-z0-9]{1,12})\s|\s\d{4}$|\(\d{4}\)$|, [A-ZÀ-Þ]\S*(?: [A-ZÀ-Þ]\S*)?$|^(?:\S+ )+[A-ZÀ-Þ]{3,}$")
 _ARTICLE = re.compile(r"^(?:le|la|les|l.|the|der|die|das|el|los|las|il|lo|gli|i|un|una|une)\b", re.I)
 _END = re.compile(r"[.!?…:;]['\"”»)\]\s]*$")
 _CELLS = re.compile(r"\||\t|;")
@@ -81,7 +84,7 @@ def line_kind(line: str) -> int:
     title = _TITLE_MARK.sub("", line)
     capital = title[:1].isupper()
     ended = bool(_END.search(line))
-    if capital and not ended and len(line) <= 110:
+    if capital and not ended and len(line) <= 110 and line[0] not in "*•–0123456789":
         if _TITLE_SHAPE.search(title) or _ARTICLE.match(title):
             return TITLE
     if _MARK.match(line):
@@ -205,13 +208,13 @@ def label_lines(lines: list[str], kinds: list[int], title: str | None) -> list[b
     edges = []
     if MESSAGE in kinds:
         place_messages(kinds, score)
-    block = False  # within the entries of a box of references
+    block = 0  # entries that the open box of references may still have
     for i, kind in enumerate(kinds):
         if name and len(lines[i]) < len(name) + 6 and " ".join(lines[i].lstrip("# ").lower().split()) == name:
-            score[i], block = -600, False
+            score[i], block = -600, 0
             kind = HEADING
-        follows = block and kind == TITLE
+        follows = block > 0 and kind == TITLE
         if i:
             edges.append((i - 1, i, SAME_BLOCK if follows else ADJACENT))
-        block = kind == RELATED or follows
+        block = BOX_ENTRIES if kind == RELATED else block - 1 if follows else 0
     return minimum_cut(score, edges)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.common import columns, map_rows, spread
+from corpusloom.llm.mojibake import Repairer, repaired
 from corpusloom.llm.page import FILLER, HEADING, MESSAGE, PHRASE_CHARS, Classifier, Page
 from corpusloom.llm.residue import page_signs
 from corpusloom.llm.spam import is_spam
@@ -273,12 +274,12 @@ def document_kinds(
     texts = list(sample)
 
     def make():
-        kind_of, readable = Classifier(), Readable(texts)
+        kind_of, readable, repairer = Classifier(), Readable(texts), Repairer()
 
         def one(key, text, title):
             if key is None or not text:
                 return []
-            page = Page(text, title, kind_of)
+            page = Page(repaired(text, repairer), title, kind_of)
             kind = page_kind(page, readable)
             if kind is None or any(page.kinds[i] in (MESSAGE, FILLER) for i in page.body()) or any(s for s, _ in page_signs(page)) or is_spam(page):
                 return []
