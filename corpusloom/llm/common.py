@@ -8,15 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.storage import spread
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input at least one partition per core.
-
-    Only an input with fewer splits than the session has cores is shuffled, so the
-    cost is bounded by that many splits; larger inputs stay as they were read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+__all__ = ["columns", "map_rows", "spread"]
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:

@@ -230,16 +230,15 @@ def document_languages(
                 for key, text, title, label, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if key is None or not text:
                         continue
-                    page = Page(text, title, kind_of)
+                    page = Page(repaired(text, repairer), title, kind_of)
                     if without_residue:
                         signs = page_signs(page)
                         if any(sign != CANDIDATE for sign, _ in signs):
                             continue
                         candidates += [(key, source, h) for h in candidate_hashes(signs)]
                     at = page.body()
-                    joined = repaired("\n".join(page.lines[i] for i in at), repairer)
-                    body = joined.split("\n")
-                    if not _has_words(joined, readable):
+                    body = [page.lines[i] for i in at]
+                    if not _has_words("\n".join(body), readable):
                         continue
                     first = len(lines)
                     for i, line in zip(at, body, strict=True):

@@ -124,7 +124,7 @@ texte à compléter; text to be completed; text folgt noch; texto pendiente; tes
 *xxx à renseigner xxx*; *xxx to be filled in xxx*; *xxx bitte ausfüllen xxx*; *xxx por rellenar xxx*; *xxx da compilare xxx*;
 *[nom du produit]*; *[product name]*; *[name of the product]*; *[produktname]*; *[nombre del producto]*; *[nome del prodotto]*;
 ajoutez une description de la rubrique*; add a description of this section*; *beschreibung der rubrik*; *beschreibung dieses bereichs*; añada una descripción de la sección*; *una descripción de la sección*; aggiungi una descrizione della sezione*;
-votre titre ici*; your title here*; ihr titel hier*; su título aquí*; il tuo titolo qui*; *lorem ipsum*
+votre titre ici*; your title here*; ihr titel hier*; su título aquí*; il tuo titolo qui*; lorem ipsum*
 """
 
 #: Notes to the author that count anywhere in a line, in this spelling.

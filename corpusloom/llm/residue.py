@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import columns, map_rows, spread
 from corpusloom.llm.lexicon import FIELDS, LATIN_FILLER, has_note, skeleton
+from corpusloom.llm.mojibake import Repairer, repaired
 from corpusloom.llm.page import FILLER, MESSAGE, OTHER, PHRASE_CHARS, PROSE, TITLE, Classifier, Page
 from corpusloom.storage import checkpointed
 
@@ -24,7 +25,7 @@ _PLACEHOLDER = re.compile(
 _OPENERS = ("{", "[", "%%", "@@", "<%")
 
 #: A placeholder that a text quotes as its example stands between such marks.
-_QUOTED_BEFORE, _QUOTED_AFTER = re.compile(r"[`“«\"‘„']\s*$"), re.compile(r"^\s*[`”»\"’“']")
+_QUOTED_BEFORE, _QUOTED_AFTER = re.compile(r"[`“«\"‘„'\ufffd]\s*$"), re.compile(r"^\s*[`”»\"’“'\ufffd]")
 
 #: Words that messages of servers, browsers and templates are made of.
 _WEAK = re.compile(
@@ -110,12 +111,12 @@ def residue_signs(
     """(id, source, sign, key): signs of residue in the main body of each document, before any grouping."""
 
     def make():
-        kind_of = Classifier()
+        kind_of, repairer = Classifier(), Repairer()
 
         def one(key, text, title, source):
             if not text:
                 return []
-            return [(key, source, sign, k) for sign, k in dict.fromkeys(page_signs(Page(text, title, kind_of)))]
+            return [(key, source, sign, k) for sign, k in dict.fromkeys(page_signs(Page(repaired(text, repairer), title, kind_of)))]
 
         return one
 

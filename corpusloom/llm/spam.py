@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.common import columns, map_rows, spread
+from corpusloom.llm.mojibake import Repairer, repaired
 from corpusloom.llm.page import FILLER, LIST, MESSAGE, TABLE, TITLE, Classifier, Page
 from corpusloom.llm.residue import LATIN_MARKS, has_placeholder, is_latin_filler
 
@@ -138,10 +139,10 @@ def spam_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def make():
-        kind_of = Classifier()
+        kind_of, repairer = Classifier(), Repairer()
 
         def one(key, text, title):
-            return [(key,)] if key is not None and text and is_spam(Page(text, title, kind_of)) else []
+            return [(key,)] if key is not None and text and is_spam(Page(repaired(text, repairer), title, kind_of)) else []
 
         return one
 
