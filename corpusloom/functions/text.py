@@ -6,64 +6,103 @@ import html
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-#: White space of the text model, a fixed set that differs from Java's and Python's own.
-WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _PLANE = r"&&[\x{0}-\x{FFFF}]"
-WORD = f"[^{WHITE}]+"
-LETTERS, NUMBERS = rf"[\p{{L}}{_PLANE}]", rf"[\p{{N}}{_PLANE}]"
+#: White space of the text model, a fixed set that differs from Java's and Python's own.  It is a string of characters to look
+#: up, which is several times faster than a negated class of ranges.
+WHITE_CHARS = "\t\n\x0b\x0c\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LETTERS, NUMBERS = rf"[\p{{L}}{_PLANE}]++", rf"[\p{{N}}{_PLANE}]++"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("int")
+def _removed(text: Column, pattern: str) -> Column:
+    """Number of characters in runs of a class.
+
+    Runs are cut out and lengths compared; counting matches would build an array of
+    them, one string a match.
+    """
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("int")
 
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, in which a character beyond the basic plane counts twice."""
-    return (F.length(text) + _count(text, r"[\x{10000}-\x{10FFFF}]")).cast("int")
+    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+
+
+def _astral(text: Column) -> Column:
+    return utf16_length(text) - F.length(text)
+
+
+def _shown(text: Column) -> Column:
+    """Number of characters that are no white space."""
+    return F.length(F.translate(text, WHITE_CHARS, ""))
+
+
+def _marked(text: Column) -> Column:
+    """Length of a text with one mark in place of each run of visible characters."""
+    return F.length(F.regexp_replace(F.translate(text, WHITE_CHARS, " " * len(WHITE_CHARS)), "[^ ]++", "x"))
 
 
 def words(text: Column) -> Column:
-    return _count(text, WORD)
+    """Number of runs of visible characters."""
+    return (_marked(text) + _shown(text) - F.length(text)).cast("int")
 
 
 def letters(text: Column) -> Column:
-    return _count(text, LETTERS)
+    return _removed(text, LETTERS)
 
 
 def numbers(text: Column) -> Column:
-    return _count(text, NUMBERS)
+    return _removed(text, NUMBERS)
 
 
 def visible(text: Column) -> Column:
     """Units that are no white space."""
-    return (_count(text, f"[^{WHITE}]") + _count(text, r"[\x{10000}-\x{10FFFF}]")).cast("int")
+    return (_shown(text) + _astral(text)).cast("int")
 
 
 def others(text: Column) -> Column:
     return visible(text) - letters(text) - numbers(text)
 
 
+def _ends_shown(text: Column) -> Column:
+    """1 if the last character is no white space, else 0."""
+    return F.length(F.translate(F.substring(text, -1, 1), WHITE_CHARS, ""))
+
+
 def average_word_length(text: Column, strict_parity: bool = True) -> Column:
     """Integer mean length of words; with ``strict_parity`` a word that ends the text counts one unit less, as the model has it."""
-    short = F.when(text.rlike(f"[^{WHITE}]\\z"), 1).otherwise(0) if strict_parity else F.lit(0)
+    short = _ends_shown(text) if strict_parity else F.lit(0)
     return F.when(words(text) > 0, F.floor((visible(text) - short) / words(text))).when(text.isNotNull(), 0).cast("int")
 
 
-def statistics(text: Column, strict_parity: bool = True) -> list[Column]:
-    """The statistics of a block: chars, words, avg_word_length, letter_chars, number_chars, other_chars."""
-    return [
-        utf16_length(text).alias("chars"), words(text).alias("words"), average_word_length(text, strict_parity).alias("avg_word_length"),
-        letters(text).alias("letter_chars"), numbers(text).alias("number_chars"), others(text).alias("other_chars"),
-    ]
+STATISTICS = ("chars", "words", "avg_word_length", "letter_chars", "number_chars", "other_chars")
+
+
+def with_statistics(df: DataFrame, text_col: str = "text", strict_parity: bool = True) -> DataFrame:
+    """Rows with the statistics of a text: chars, words, avg_word_length, letter_chars, number_chars, other_chars.
+
+    Each class is matched once; the results are arithmetic over those columns, in a
+    projection of its own, since conditions would otherwise match again.
+    """
+    text = F.col(text_col)
+    base = df.withColumns(
+        {
+            "chars": utf16_length(text), "_length": F.length(text), "_shown": _shown(text), "_marked": _marked(text), "letter_chars": letters(text),
+            "number_chars": numbers(text), "_short": _ends_shown(text) if strict_parity else F.lit(0),
+        }
+    )
+    shown, count = F.col("_shown") + F.col("chars") - F.col("_length"), F.col("_marked") + F.col("_shown") - F.col("_length")
+    average = F.when(count > 0, F.floor((shown - F.col("_short")) / count)).when(text.isNotNull(), 0).cast("int")
+    out = base.withColumns({"words": count.cast("int"), "avg_word_length": average, "other_chars": (shown - F.col("letter_chars") - F.col("number_chars")).cast("int")})
+    return out.drop("_length", "_shown", "_marked", "_short")
 
 
 def trimmed(text: Column) -> Column:
     """Text without white space of the model at both ends."""
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def csv_encoded(text: Column) -> Column:

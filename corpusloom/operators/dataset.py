@@ -59,13 +59,13 @@ def records(docs: DataFrame, uri: str, timestamp: Column, lang: str, title: str,
     """Dataset records: the thirteen columns, with statistics of the text as it is written."""
     from corpusloom.functions.url import is_pdf
 
-    names = ("Chars", "Words", "AvgWordsLength", "LetterChars", "NumberChars", "OtherChars")
-    stats = dict(zip(names, T.statistics(F.col(text)), strict=True))
-    order = ("Words", "AvgWordsLength", "Chars", "LetterChars", "NumberChars", "OtherChars")
-    return docs.select(
+    names = {"Words": "words", "AvgWordsLength": "avg_word_length", "Chars": "chars", "LetterChars": "letter_chars", "NumberChars": "number_chars", "OtherChars": "other_chars"}
+    heads = docs.select(
         F.col(uri).alias("Uri"), F.date_format(timestamp, "MM/dd/yyyy HH:mm:ss").alias("Timestamp"), F.col(lang).alias("Lang"), F.col(title).alias("Title"),
-        F.col(text).alias("Text"), *(stats[n].alias(n) for n in order), F.col(website).alias("Website"), is_pdf(F.col(uri)).alias("PDF"),
+        F.col(text).alias("Text"), F.col(website).alias("Website"), is_pdf(F.col(uri)).alias("PDF"),
     )
+    made = T.with_statistics(heads, "Text")
+    return made.select("Uri", "Timestamp", "Lang", "Title", "Text", *(F.col(own).alias(name) for name, own in names.items()), "Website", "PDF")
 
 
 def write_dataset(rows: DataFrame, folder: str, records_per_file: int = 1_000_000) -> None:

@@ -17,6 +17,7 @@ from corpusloom.operators import dataset as D
 from corpusloom.operators import frontier as FR
 from corpusloom.plans import crawl
 from corpusloom.sources import files, html, render
+from corpusloom.storage import spread
 from corpusloom.streaming import unique as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,20 +51,20 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_text_stats(spark: SparkSession, path: str) -> DataFrame:
-    return _docs(spark, path).select("doc_id", *T.statistics(F.col("text")))
+    return T.with_statistics(spread(_docs(spark, path).select("doc_id", "text"))).select("doc_id", *T.STATISTICS)
 
 
 @query
 def q_avg_word_len(spark: SparkSession, path: str) -> DataFrame:
     text = F.col("text")
-    return _docs(spark, path).select("doc_id", T.average_word_length(text).alias("strict"), T.average_word_length(text, False).alias("plain"))
+    return spread(_docs(spark, path).select("doc_id", "text")).select("doc_id", T.average_word_length(text).alias("strict"), T.average_word_length(text, False).alias("plain"))
 
 
 @query
 def q_element_stats(spark: SparkSession, path: str) -> DataFrame:
     """Statistics of every element text, beside the ones the table holds."""
     own = _elements(spark, path).where("text IS NOT NULL")
-    return own.select("element_id", *T.statistics(F.col("text")))
+    return T.with_statistics(own.select("element_id", "text")).select("element_id", *T.STATISTICS)
 
 
 @query
@@ -180,7 +181,7 @@ def q_scope_path(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, path: str) -> DataFrame:
-    blocks = B.explode_blocks(_docs(spark, path), keep=("source",))
+    blocks = B.explode_blocks(spread(_docs(spark, path).select("doc_id", "source", "text")), keep=("source",))
     return B.claim_unique(blocks, "source", ("doc_id", "pos")).withColumn("words", T.words(F.col("block")))
 
 
@@ -442,7 +443,7 @@ def q_website_table(spark: SparkSession, path: str) -> DataFrame:
 @query
 def q_records(spark: SparkSession, path: str) -> DataFrame:
     """Dataset records made anew from the documents, without the text itself."""
-    made = D.records(_docs(spark, path).where("text IS NOT NULL"), "uri", F.col("crawled_at"), "lang", "title", "text", "source")
+    made = D.records(spread(_docs(spark, path).where("text IS NOT NULL")), "uri", F.col("crawled_at"), "lang", "title", "text", "source")
     return made.select("Uri", "Timestamp", "Lang", "Title", F.md5("Text").alias("Digest"), "Words", "AvgWordsLength", "Chars", "LetterChars", "NumberChars", "OtherChars", "Website", "PDF")
 
 
@@ -451,7 +452,7 @@ def q_parquet_roundtrip(spark: SparkSession, path: str) -> DataFrame:
     """Records written by split and website, and read again."""
     from corpusloom.storage import shared_folder
 
-    made = D.records(_docs(spark, path).where("text IS NOT NULL"), "uri", F.col("crawled_at"), "lang", "title", "text", "source")
+    made = D.records(spread(_docs(spark, path).where("text IS NOT NULL")), "uri", F.col("crawled_at"), "lang", "title", "text", "source")
     split = D.with_split(made, "Website", F.md5("Uri"), id_col="Uri")
     folder = f"{shared_folder(spark)}/dataset-{spark.sparkContext.applicationId}-{abs(hash(path)) % 10**8}"
     D.write_dataset(split, folder)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.storage import spread
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
 SKIPPED = frozenset(("script", "noscript", "style", "svg"))
@@ -571,7 +573,7 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
 
-    return pages.select(F.col(id_col).cast("bigint"), F.col(html_col)).mapInArrow(work, ELEMENTS_DDL)
+    return spread(pages.select(F.col(id_col).cast("bigint"), F.col(html_col))).mapInArrow(work, ELEMENTS_DDL)
 
 
 def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -590,4 +592,4 @@ def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             cols = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema=schema)
 
-    return pages.select(F.col(id_col).cast("bigint"), F.col(html_col)).mapInArrow(work, "page_id bigint, pos int, kind string, href string, nofollow boolean, base string")
+    return spread(pages.select(F.col(id_col).cast("bigint"), F.col(html_col))).mapInArrow(work, "page_id bigint, pos int, kind string, href string, nofollow boolean, base string")

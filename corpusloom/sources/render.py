@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.sources.files import CSV_HEADER
 
-_STATS = ("chars", "words", "avg_word_length", "letter_chars", "number_chars", "other_chars")
-
 
 def csv_lines(elements: DataFrame) -> DataFrame:
     """Elements with ``line``: their row of the CSV table, in the JVM.
@@ -20,8 +18,8 @@ def csv_lines(elements: DataFrame) -> DataFrame:
     Text rows carry language, statistics, hash and uniqueness; a group's row its title or
     the coordinates of its cell; its end nothing.
     """
-    stats = dict(zip(_STATS, T.statistics(F.col("text")), strict=True))
-    numbers = [stats[n].cast("string") for n in ("chars", "words", "avg_word_length", "letter_chars", "number_chars", "other_chars")]
+    elements = T.with_statistics(elements)
+    numbers = [F.col(n).cast("string") for n in T.STATISTICS]
     quoted = lambda c: F.concat(F.lit('"'), T.csv_encoded(F.coalesce(c, F.lit(""))), F.lit('"'))
     flag = F.when(F.col("is_unique"), "True").when(~F.col("is_unique"), "False").otherwise("")
     head = F.concat_ws(";", "elt_type", "cmd", F.col("nesting_level").cast("string"))
@@ -29,7 +27,7 @@ def csv_lines(elements: DataFrame) -> DataFrame:
     label = F.when(F.col("elt_type").isin("TableHeader", "TableCell"), T.cell_coordinates(F.col("row"), F.col("rowspan"), F.col("col"), F.col("colspan"))).otherwise(F.col("text"))
     start = F.concat(head, F.lit(";"), quoted(label), F.lit(";" * 9))
     line = F.when(F.col("cmd") == "Text", full).when(F.col("cmd") == "Title", full).when(F.col("cmd") == "End", F.concat(head, F.lit(";" * 10))).otherwise(start)
-    return elements.withColumn("line", line)
+    return elements.withColumn("line", line).drop(*T.STATISTICS)
 
 
 def csv_documents(elements: DataFrame, id_col: str = "page_id") -> DataFrame:

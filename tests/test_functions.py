@@ -36,7 +36,7 @@ CASES = ["a", "ab cd", "ab cd ", "", "😀", "½ Ⅷ 3", "  x y　", "l’ét
 
 
 def test_statistics(spark):
-    rows = spark.createDataFrame([(t,) for t in CASES], "t string").select("t", *T.statistics(F.col("t"))).collect()
+    rows = spark.createDataFrame([(t,) for t in CASES], "t string").transform(lambda d: T.with_statistics(d, "t")).collect()
     for r in rows:
         assert (r.chars, r.words, r.avg_word_length) == stats_of(r.t), r.t
     by = {r.t: r for r in rows}
@@ -47,7 +47,7 @@ def test_statistics(spark):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=40), min_size=1, max_size=20))
 def test_statistics_add_up(spark, texts):
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *T.statistics(F.col("t"))).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").transform(lambda d: T.with_statistics(d, "t")).collect()
     for r in rows:
         assert (r.chars, r.words, r.avg_word_length) == stats_of(r.t)
         assert r.letter_chars + r.number_chars + r.other_chars == r.chars - sum(c in WHITE for c in r.t)
