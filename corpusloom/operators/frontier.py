@@ -72,6 +72,31 @@ def is_crawl_error(status: Column, message: Column) -> Column:
     return failed & ~missing
 
 
+def is_bot_protected(status: Column, headers: Column) -> Column:
+    """An error response of a bot protection, told by its header."""
+    return F.coalesce(status >= 400, F.lit(False)) & F.map_contains_key(headers, F.lit("X-DataDome"))
+
+
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait from a Retry-After header that is a number or a date; null for neither, never negative."""
+    date = F.try_to_timestamp(F.regexp_replace(header, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = header.try_cast("double")
+    waited = F.unix_timestamp(date) - F.unix_timestamp(now)
+    known = F.coalesce(seconds, waited.cast("double"))
+    return F.when(known.isNotNull(), F.greatest(known, F.lit(0.0)))
+
+
+def aligned_scheme(url: Column, root: Column) -> Column:
+    """A URL under the scheme of the root, if both are of the web; robots rules hold for one scheme of a host."""
+    web = U.scheme(url).isin("http", "https") & U.scheme(root).isin("http", "https")
+    return F.when(web, F.concat(U.scheme(root), F.regexp_replace(url, "^[A-Za-z]+", ""))).otherwise(url)
+
+
+def left_host(url: Column, response_url: Column) -> Column:
+    """Whether a response came from another host than was asked, so that its page must be judged again."""
+    return F.coalesce(U.host(url) != U.host(response_url), F.lit(False))
+
+
 def is_redirect(url: Column, response_url: Column) -> Column:
     return F.coalesce(U.canonical(url) != U.canonical(response_url), F.lit(False))
 

@@ -23,12 +23,19 @@ class Rounds:
     frontier: DataFrame
 
 
-def links_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, parent, pos, url): absolute links of pages, each address once a page, in order; ``nofollow`` ones are left out."""
+def links_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", robots_tag_col: str | None = None) -> DataFrame:
+    """(page_id, parent, pos, url): absolute links of pages, each address once a page, in order.
+
+    Left out are ``nofollow`` links, all links of a page whose robots header or meta tag
+    forbids to follow, and a canonical link of a page to itself.
+    """
+    if robots_tag_col:
+        pages = pages.where(~F.coalesce(F.lower(robots_tag_col).rlike("nofollow|none"), F.lit(False)))
     found = html_links(pages, id_col, html_col).where("NOT nofollow")
     own = found.join(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("parent")), "page_id")
     base = F.when(F.col("base").isNull(), F.col("parent")).otherwise(FR.resolve(F.col("parent"), F.col("base")))
-    made = own.select("page_id", "parent", "pos", FR.resolve(base, F.col("href")).alias("url"))
+    made = own.select("page_id", "parent", "pos", "kind", FR.resolve(base, F.col("href")).alias("url"))
+    made = made.where((F.col("kind") != "canonical") | (F.lower("url") != F.lower(U.canonical(F.col("parent")))))
     return made.groupBy("page_id", "parent", "url").agg(F.min("pos").alias("pos"))
 
 

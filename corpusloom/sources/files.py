@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+#: Fixed header of the CSV table of a document.
 CSV_HEADER = "DocEltType;DocEltCmd;NestingLevel;Text;Lang;Chars;Words;AvgWordsLength;LetterChars;NumberChars;OtherChars;HashCode;IsUnique"
 
 
@@ -34,6 +35,7 @@ def read_elements_csv(spark: SparkSession, folder: str) -> DataFrame:
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.dataframe.csv").csv(folder).withColumn("path", F.col("_metadata.file_path"))
 
 
+#: Fixed marks of the older text form.
 _LEGACY_PROPERTY = r"^## NLPTextDocument (\w+) ?(.*)$"
 _LEGACY_ELEMENT = r"^## (\d+) (\w+) (Start|End|Items) ?(.*)$"
 

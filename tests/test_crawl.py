@@ -101,3 +101,23 @@ def test_decisions(spark):
         FR.links_decision(F.lit(True), F.lit(False), F.lit(1)).alias("external"), FR.redirect_target(F.lit("http://h/a/b"), F.lit("c%20#f")).alias("target"),
     ).first()
     assert (r.ok, r.status, r.external, r.target) == (None, "status", "external", "http://h/a/c")
+
+
+def test_response_rules(spark):
+    now = F.lit("2023-01-04 11:00:00").cast("timestamp")
+    r = spark.range(1).select(
+        FR.retry_after(F.lit("120"), now).alias("seconds"), FR.retry_after(F.lit("Wed, 04 Jan 2023 11:00:30 GMT"), now).alias("date"), FR.retry_after(F.lit("soon"), now).alias("none"),
+        FR.aligned_scheme(F.lit("http://h/a"), F.lit("https://h/")).alias("aligned"), FR.left_host(F.lit("http://h/a"), F.lit("http://o/a")).alias("left"),
+        FR.is_bot_protected(F.lit(403), F.create_map(F.lit("X-DataDome"), F.lit("x"))).alias("bot"), FR.is_bot_protected(F.lit(200), F.create_map(F.lit("X-DataDome"), F.lit("x"))).alias("no"),
+    ).first()
+    assert (r.seconds, r.date, r.aligned, r.left, r.bot, r.no) == (120.0, 30.0, "https://h/a", True, True, False) and r.none is None
+
+
+def test_links_of_pages(spark):
+    rows = [
+        (1, "http://h.example/a", '<link rel=canonical href="/A"><a href="b">x</a><a href="b#y">x</a>', None), (2, "http://h.example/c", '<link rel=canonical href="/d">', "noindex"),
+        (3, "http://h.example/e", '<a href="f">x</a>', "NOFOLLOW"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, tag string")
+    got = sorted((r.page_id, r.url) for r in crawl.links_of(pages, robots_tag_col="tag").collect())
+    assert got == [(1, "http://h.example/b"), (2, "http://h.example/d")]
