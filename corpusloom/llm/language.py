@@ -30,13 +30,20 @@ MIN_WORDS, MIN_SHARE = 8, 0.6
 #: Of the words of such a line, so many are of letters; numbers and cells of tables say nothing.
 MIN_LETTER_WORDS = 5
 
-#: A text has a language if so large a part of its characters is in readable words.
-MIN_READABLE = 0.3
+#: A text has a language if so large a part of its tokens with letters, by characters, is readable.
+MIN_READABLE = 0.45
 
 #: At most so many labelled samples and words are used for training; a bound, not a share of the input.
 MAX_SAMPLES = 5_000
 
+#: Bounds of the sample of labelled documents that widens the lexicon, and when a word belongs to a language.
+MAX_LABELLED, LABEL_DOCS, LABEL_SHARE = 3_000, 4, 0.75
+
+#: A named language stands against another one of so little more weight.
+MARGIN = 0.1
+
 _WORD = re.compile(r"[^\W\d_]+")
+_CELL = re.compile(r"[\s;|]+")
 
 
 def word_features(word: str, lexicon: dict[str, set[str]]) -> list[int]:
@@ -126,12 +133,37 @@ class Tagger:
         return Tagger(self.weights, self.transition, self.start, self.lexicon)
 
 
-def train(samples: Iterable[tuple[str, str]], words: Iterable[tuple[str, str]], rounds: int = 60, seed: int = 6) -> Tagger:
+def labelled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MAX_LABELLED) -> list[tuple[str, str]]:
+    """(language, word) of words that stand almost only in documents of one label.
+
+    Taken from a bounded sample: the ``most`` labelled documents of least hash, found by
+    a top-k of each task.  Some labels are wrong, hence a word needs LABEL_SHARE of its
+    documents, and at least LABEL_DOCS, in one language.
+    """
+    own = columns(docs, id=id_col, text=text_col, label=label_col).where("text IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
+    rows = own.orderBy(F.xxhash64("id"), "id").limit(most).select("text", "label").collect()
+    counts: dict[str, np.ndarray] = {}
+    for text, label in rows:
+        lang = named_language(label)
+        if lang is not None:
+            for word in set(_WORD.findall(_TARGET.sub(" ", text.lower()))):
+                counts.setdefault(word, np.zeros(len(LANGUAGES), np.int64))[LANGUAGES.index(lang)] += 1
+    return [
+        (LANGUAGES[int(n.argmax())], word)
+        for word, n in sorted(counts.items())
+        if n.max() >= LABEL_DOCS and n.max() >= LABEL_SHARE * n.sum()
+    ]
+
+
+def train(
+    samples: Iterable[tuple[str, str]], words: Iterable[tuple[str, str]], more_words: Iterable[tuple[str, str]] = (), rounds: int = 60, seed: int = 6
+) -> Tagger:
     """Fit the field on labelled samples by gradient ascent of the penalised likelihood.
 
     Sequences are the samples themselves and as many code-switched ones made of
     stretches of two or three of them, from which transitions between languages are
-    learned.  At most MAX_SAMPLES of each input are used.
+    learned.  At most MAX_SAMPLES of each input are used.  ``more_words`` enter the lexicon
+    alone, whose weight is learned from the samples.
     """
     rng = np.random.default_rng(seed)
     lexicon: dict[str, set[str]] = {}
@@ -151,6 +183,9 @@ def train(samples: Iterable[tuple[str, str]], words: Iterable[tuple[str, str]],
             seq += cut
             tags += [y] * len(cut)
         sequences.append((seq, tags))
+    for lang, word in more_words:
+        if lang in LANGUAGES:
+            lexicon.setdefault(word.lower(), set()).add(lang)
     types = sorted({w for s, _ in sequences for w in s})
     at = {w: i for i, w in enumerate(types)}
     features = [word_features(w, lexicon) for w in types]
@@ -208,7 +243,7 @@ def document_languages(
     """(id, line_no, lang, confidence, named): language of each document and of each foreign line of its main body.
 
     ``line_no`` 0 is the document, whose language is the one of most words of the main
-    body; a further row is given for every line of at least MIN_WORDS words in another
+    body, or the named one where both are within MARGIN; a further row is given for every line of at least MIN_WORDS words in another
     language.  ``named`` is the language the label names.  Confidence is the share of the
     marginal probability, from forward-backward over each line.  Lines are tagged in
     batches within one narrow pass; the model has a fixed size.  Documents without
@@ -260,13 +295,17 @@ def document_languages(
     return made.where("hash IS NULL").select(*named).join(cases, "id", "left_anti").withColumnRenamed("id", id_col)
 
 
+_LETTERS = re.compile(r"[^\W\d_]{3}")
+
+
 def _has_words(text: str, readable: Readable) -> bool:
-    """Function words, or else enough characters in readable words."""
+    """Function words, or else enough readable ones among the tokens with letters; numbers and marks say nothing."""
     tokens = text.split()
     if sum(map(FUNCTION_WORDS.__contains__, tokens)) * 8 >= len(tokens) > 0:
         return True
-    letters = sum(map(len, tokens))
-    return letters > 0 and sum(len(t) for t in tokens if readable(t)) >= MIN_READABLE * letters
+    tokens = [t for t in _CELL.split(text) if _LETTERS.search(t)]
+    known = sum(len(t) for t in tokens if readable(t))
+    return known >= 12 and known >= MIN_READABLE * sum(map(len, tokens))
 
 
 def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray, candidates: list[tuple] = ()) -> pa.RecordBatch:
@@ -278,6 +317,8 @@ def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray
             continue
         main = int(total.argmax())
         named = named_language(label)
+        if named is not None and float(total[main] - total[LANGUAGES.index(named)]) < MARGIN * mass:
+            main = LANGUAGES.index(named)
         out.append((key, 0, LANGUAGES[main], float(total[main]) / mass, named, None, None))
         for i in range(first, last):
             number, words = numbers[i]

@@ -174,6 +174,7 @@ def quality_statistics(
 
 _BULLET = re.compile(r"^(?:[-–*•›»>+]|\d{1,3}[.)]|[a-z]\))\s+")
 _PAIR = re.compile(r"^\S+(?: \S+){0,4} ?[,:–-] \S+(?: \S+){0,5}$")
+_CELLS = re.compile(r"[\s;|]+")
 _GAPS = re.compile(r"\s{2,}")
 _NUMBER = re.compile(r"^[\d.,%€$£()/+-]*\d[\d.,%€$£()/+-]*$")
 _READABLE = re.compile(r"^[(«“\"'¿¡]*[^\W\d_]+(?:[’'-][^\W\d_]+)*[.,;:!?)»”\"'…]*$")
@@ -239,7 +240,7 @@ def page_kind(page: Page, readable: Readable) -> str | None:
         elif line[-1] in ".!?" and len(line) > 30:
             sentences += 1
             prose += len(line)
-    tokens = " ".join(page.lines[i] for i in at).split()
+    tokens = [t for t in _CELLS.split("\n".join(page.lines[i] for i in at)) if t]
     if rows * 2 > total:
         cells = sum(map(readable, tokens)) + sum(_NUMBER.match(t) is not None for t in tokens)
         if cells * 3 >= len(tokens):

@@ -75,7 +75,7 @@ def p5_classes(spark: SparkSession, path: str) -> DataFrame:
 
 def _languages(spark: SparkSession, path: str, without_residue: bool = False) -> DataFrame:
     words = _fixed(spark, path, "common_words", "lang", "word")
-    tagger = language.train(_fixed(spark, path, "lang_samples", "lang", "text"), words)
+    tagger = language.train(_fixed(spark, path, "lang_samples", "lang", "text"), words, language.labelled_words(_docs(spark, path)))
     return language.document_languages(_docs(spark, path), tagger, _clean_sample(spark, path), without_residue=without_residue)
 
 

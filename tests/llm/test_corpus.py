@@ -296,3 +296,18 @@ def test_tokenizer_path_is_checked(spark, tmp_path, monkeypatch):
 def test_no_collect_of_documents(spark):
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("http://h").alias("rooturl"))
     assert repeated.repeated_lines(docs, min_docs=2).count() == 3
+
+
+def test_labelled_words_of_a_bounded_sample(spark):
+    rows = [(i, "matelas promo Dorval", "fr", 1) for i in range(12)] + [(100 + i, "removals promo Dorval", "en_GB", 1) for i in range(12)]
+    rows += [(200, "matelas", "en", 1), (201, None, "fr", 1), (202, "x", None, 1), (None, "x", "fr", 1), (203, "matelas", "xx", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, label int")
+    assert language.labelled_words(docs) == [("fr", "matelas"), ("en", "removals")]
+    assert language.labelled_words(docs, most=2) == [] and language.labelled_words(docs.limit(0)) == []
+
+
+def test_close_call_keeps_the_named_language(spark, tagger):
+    docs = spark.createDataFrame([(1, "zorvat plimex quolst mertin vabrun doltek", None, lang, "s") for lang in ("fr", "it")], "doc_id bigint, text string, title string, lang string, source string")
+    rows = language.document_languages(docs, tagger, ["zorvat plimex quolst mertin vabrun doltek"]).collect()
+    close = [r for r in rows if r.lang == r.named]
+    assert len(rows) == 2 and len(close) >= 1
