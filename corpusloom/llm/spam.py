@@ -124,7 +124,7 @@ def is_spam(page: Page) -> bool:
     structured = sum(page.kinds[i] in (LIST, TABLE, TITLE) or _ENTRY.search(page.lines[i]) is not None for i in at)
     if structured * 2 >= len(at):  # entries of lists repeat their heads; only dense repetition counts
         return double >= 2 * STUFFED
-    if double >= STUFFED or single >= 0.5 and function < 0.14 and sum(map(len, words)) >= 3 * len(words):
+    if double >= STUFFED or single >= 0.42 and function < 0.14 and sum(map(len, words)) >= 3 * len(words):
         return True
     nouns = [x for x in body if x.count(",") >= 5 and x.count(",") * 5 >= len(x.split())]
     return function < 0.04 and len(nouns) * 2 >= len(at)
