@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 
 from corpusloom.llm.common import columns, map_rows, spread
 from corpusloom.llm.mojibake import Repairer, repaired
-from corpusloom.llm.page import FILLER, HEADING, MESSAGE, PHRASE_CHARS, Classifier, Page
-from corpusloom.llm.residue import page_signs
+from corpusloom.llm.page import HEADING, PHRASE_CHARS, Classifier, Page
+from corpusloom.llm.residue import CANDIDATE, candidate_hashes, page_signs, recurring
 from corpusloom.llm.spam import is_spam
+from corpusloom.storage import checkpointed
 
 #: A text is cut into chunks of so many characters; their counts are added up by a tree.
 CHUNK = 1 << 16
@@ -263,33 +264,38 @@ def _readable_share(tokens: list[str], readable: Readable) -> float:
 
 
 def document_kinds(
-    docs: DataFrame, residue: DataFrame, sample: Iterable[str], id_col: str = "doc_id", text_col: str = "text", title_col: str = "title"
+    docs: DataFrame, sample: Iterable[str], id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", source_col: str = "source"
 ) -> DataFrame:
     """(id, kind): documents whose main body is a list, a table or junk.
 
     ``sample`` is a bounded sample of clean text and words that tells readable letter
-    sequences.  Cases of ``residue`` (one id column) and spam are left out, the first by
-    an anti-join of ids alone.  Null, empty and all-frame texts give no row; repeated
-    rows give one row; null ids are left out.
+    sequences.  Cases of residue and spam are left out; their signs are read off the same
+    page in the same pass, and only candidate lines of residue, which recurrence across
+    sources decides about, and the few rows found are shuffled.  Null, empty and
+    all-frame texts give no row; repeated rows give one row; null ids are left out.
     """
     texts = list(sample)
 
     def make():
         kind_of, readable, repairer = Classifier(), Readable(texts), Repairer()
 
-        def one(key, text, title):
+        def one(key, text, title, source):
             if key is None or not text:
                 return []
             page = Page(repaired(text, repairer), title, kind_of)
-            kind = page_kind(page, readable)
-            if kind is None or any(page.kinds[i] in (MESSAGE, FILLER) for i in page.body()) or any(s for s, _ in page_signs(page)) or is_spam(page):
+            signs = page_signs(page)
+            if any(sign != CANDIDATE for sign, _ in signs):
                 return []
-            return [(key, kind)]
+            rows = [(key, None, source, h) for h in candidate_hashes(signs)]
+            kind = page_kind(page, readable)
+            if kind is not None and not is_spam(page):
+                rows.append((key, kind, None, None))
+            return rows
 
         return one
 
-    rows = map_rows(
-        spread(columns(docs, id=id_col, text=text_col, title=title_col)), "id bigint, kind string", make, [("id", pa.int64()), ("kind", pa.string())]
-    )
-    cases = residue.select(residue[residue.columns[0]].alias("id"))
-    return rows.distinct().join(cases, "id", "left_anti").withColumnRenamed("id", id_col)
+    fields = [("id", pa.int64()), ("kind", pa.string()), ("source", pa.string()), ("hash", pa.int64())]
+    rows = spread(columns(docs, id=id_col, text=text_col, title=title_col, source=source_col))
+    made = checkpointed(map_rows(rows, "id bigint, kind string, source string, hash bigint", make, fields))
+    cases = recurring(made.where("hash IS NOT NULL").select("id", "source", "hash"))
+    return made.where("hash IS NULL").select("id", "kind").distinct().join(cases, "id", "left_anti").withColumnRenamed("id", id_col)

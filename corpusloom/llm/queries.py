@@ -53,8 +53,7 @@ def p3_cleaned(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, path: str) -> DataFrame:
-    docs = _docs(spark, path)
-    return quality.document_kinds(docs, residue.residue_documents(docs), _clean_sample(spark, path))
+    return quality.document_kinds(_docs(spark, path), _clean_sample(spark, path))
 
 
 def p4_statistics(spark: SparkSession, path: str) -> DataFrame:
