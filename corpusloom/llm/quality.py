@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import NamedTuple
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from corpusloom.llm.common import columns, map_rows, spread
 from corpusloom.llm.mojibake import Repairer, repaired
-from corpusloom.llm.page import HEADING, PHRASE_CHARS, Classifier, Page
+from corpusloom.llm.page import PHRASE_CHARS, Classifier, Page
 from corpusloom.llm.residue import CANDIDATE, candidate_hashes, page_signs, recurring
 from corpusloom.llm.spam import is_spam
 from corpusloom.storage import checkpointed
@@ -131,11 +131,11 @@ def close(c: Counts, common: frozenset[str]) -> Counts:
     )
 
 
-def tree(parts: list[Counts], common: frozenset[str]) -> Counts:
-    """Merge neighbours pairwise until one is left."""
+def tree(parts: list, known: object, join: Callable = merge, none: NamedTuple = Counts()):  # noqa: B008
+    """Merge neighbours pairwise until one is left; ``known`` tells words to ``join``, ``none`` is the count of nothing."""
     while len(parts) > 1:
-        parts = [reduce(lambda a, b: merge(a, b, common), parts[i : i + 2]) for i in range(0, len(parts), 2)]
-    return parts[0] if parts else Counts()
+        parts = [reduce(lambda a, b: join(a, b, known), parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else none
 
 
 def text_counts(text: str, common: frozenset[str], chunk: int = CHUNK) -> Counts:
@@ -220,54 +220,120 @@ def is_row(line: str) -> bool:
     return False
 
 
-def page_kind(page: Page, readable: Readable) -> str | None:
-    """``list``, ``table`` or ``junk``, or None for prose and for pages without a body."""
-    at = page.body()
-    lines = [page.lines[i] for i in at if page.kinds[i] != HEADING]
-    if not lines:
-        if not at:
-            return None
-        lines = [page.lines[i] for i in at]
-    rows = entries = prose = sentences = 0
-    total = len(lines)
+class Shapes(NamedTuple):
+    """Partial counts of the shapes of lines; :func:`join_shapes` of neighbours is associative.
+
+    ``text`` and ``headings`` hold lines, rows, entries, sentences, characters of prose and
+    characters of the lines that are no headings and of those that are.  Tokens end at
+    line ends at the latest, so they are counted with their line.  A line may go on in the
+    next stretch: ``head`` and ``tail`` are the open first and last one, which are kept whole
+    because a row is known by all its cells; without a newline the stretch is all head.
+    """
+
+    text: tuple[int, ...] = (0,) * 6
+    headings: tuple[int, ...] = (0,) * 6
+    tokens: int = 0
+    token_chars: int = 0
+    readable: int = 0
+    readable_chars: int = 0
+    numbers: int = 0
+    newline: bool = False
+    head: str = ""
+    tail: str = ""
+
+
+def _shape(line: str) -> tuple[int, int, int, int]:
+    """Whether a line is a row, an entry or a sentence, and its characters of prose."""
+    if len(line) > PHRASE_CHARS and "|" not in line and "\t" not in line and ";" not in line and "  " not in line:
+        return 0, 0, 0, len(line)
+    if is_row(line):
+        return 1, 0, 0, 0
+    if len(line) <= 90 and (_BULLET.match(line) or _PAIR.match(line) and line[-1] not in ".!?" or line[-1] not in ".!?:…" and line.count(" ") <= 9):
+        return 0, 1, 0, 0
+    return (0, 0, 1, len(line)) if line[-1] in ".!?" and len(line) > 30 else (0, 0, 0, 0)
+
+
+def _with_lines(c: Shapes, lines: Iterable[str], readable: Readable) -> Shapes:
+    """Counts with whole lines added; blank ones count for nothing."""
+    sums = ([*c.text], [*c.headings])
+    tokens, token_chars, known, known_chars, numbers = c[2:7]
     for line in lines:
-        if len(line) > PHRASE_CHARS and "|" not in line and "\t" not in line and ";" not in line and "  " not in line:
-            prose += len(line)
+        if not line:
             continue
-        if is_row(line):
-            rows += 1
-        elif len(line) <= 90 and (_BULLET.match(line) or _PAIR.match(line) and line[-1] not in ".!?" or line[-1] not in ".!?:…" and line.count(" ") <= 9):
-            entries += 1
-        elif line[-1] in ".!?" and len(line) > 30:
-            sentences += 1
-            prose += len(line)
-    tokens = [t for t in _CELLS.split("\n".join(page.lines[i] for i in at)) if t]
-    if rows * 2 > total:
-        cells = sum(map(readable, tokens)) + sum(_NUMBER.match(t) is not None for t in tokens)
-        if cells * 3 >= len(tokens):
-            return "table"
-    if prose * 2 > sum(map(len, lines)) and (sentences or prose) and _readable_share(tokens, readable) >= 0.35:
+        own = sums[line[0] == "#"]
+        row, entry, sentence, prose = _shape(line)
+        own[0] += 1
+        own[1] += row
+        own[2] += entry
+        own[3] += sentence
+        own[4] += prose
+        own[5] += len(line)
+        for token in _CELLS.split(line):
+            if token:
+                tokens += 1
+                token_chars += len(token)
+                if readable(token):
+                    known += 1
+                    known_chars += len(token)
+                elif _NUMBER.match(token):
+                    numbers += 1
+    return Shapes(tuple(sums[0]), tuple(sums[1]), tokens, token_chars, known, known_chars, numbers, c.newline, c.head, c.tail)
+
+
+def count_shapes(text: str, readable: Readable) -> Shapes:
+    """Counts of one chunk of a body of stripped lines."""
+    rows = text.split("\n")
+    if len(rows) == 1:
+        return Shapes(head=text)
+    return _with_lines(Shapes(newline=True, head=rows[0], tail=rows[-1]), rows[1:-1], readable)
+
+
+def join_shapes(a: Shapes, b: Shapes, readable: Readable) -> Shapes:
+    """Counts of a stretch and the one after it, with the line across the seam put together."""
+    text, headings = (tuple(map(sum, zip(x, y, strict=True))) for x, y in zip(a[:2], b[:2], strict=True))
+    sums = (text, headings, *(x + y for x, y in zip(a[2:7], b[2:7], strict=True)))
+    if not a.newline:
+        return Shapes(*sums, b.newline, a.head + b.head, b.tail)
+    if not b.newline:
+        return Shapes(*sums, True, a.head, a.tail + b.head)
+    return _with_lines(Shapes(*sums, True, a.head, b.tail), [a.tail + b.head], readable)
+
+
+def body_shapes(lines: list[str], readable: Readable, chunk: int = CHUNK) -> Shapes:
+    """Final counts of the lines of a body, by chunks and a tree over them."""
+    text = "\n".join(lines)
+    c = tree([count_shapes(text[i : i + chunk], readable) for i in range(0, len(text), chunk)], readable, join_shapes, Shapes())
+    return _with_lines(c, (c.head, c.tail), readable)
+
+
+def kind_of_shapes(c: Shapes) -> str | None:
+    """Kind by the ratios of the merged counts; headings decide only where there is nothing else."""
+    total, rows, entries, sentences, prose, chars = c.text if c.text[0] else c.headings
+    if not total:
+        return None
+    share = c.readable_chars / max(1, c.token_chars)
+    if rows * 2 > total and (c.readable + c.numbers) * 3 >= c.tokens:
+        return "table"
+    if prose * 2 > chars and (sentences or prose) and share >= 0.35:
         return None
-    share = _readable_share(tokens, readable)
-    if share < 0.35 and not entries * 2 > total:
-        return "junk"
-    if entries * 2 > total and share >= 0.35:
-        return "list"
     if share < 0.35:
         return "junk"
-    return None
+    return "list" if entries * 2 > total else None
 
 
-def _readable_share(tokens: list[str], readable: Readable) -> float:
-    """Share of characters in readable words."""
-    return sum(len(t) for t in tokens if readable(t)) / max(1, sum(map(len, tokens)))
+def page_kind(page: Page, readable: Readable, chunk: int = CHUNK) -> str | None:
+    """``list``, ``table`` or ``junk``, or None for prose and for pages without a body."""
+    return kind_of_shapes(body_shapes([page.lines[i] for i in page.body()], readable, chunk))
 
 
 def document_kinds(
-    docs: DataFrame, sample: Iterable[str], id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", source_col: str = "source"
-) -> DataFrame:
+    docs: DataFrame, sample: Iterable[str], id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", source_col: str = "source",
+    chunk: int = CHUNK,
+) -> DataFrame:
     """(id, kind): documents whose main body is a list, a table or junk.
 
+    The body is cut into chunks whose counts of shapes are associative, with the open line at
+    both ends as boundary state; a tree merges them and the ratios decide.
     ``sample`` is a bounded sample of clean text and words that tells readable letter
     sequences.  Cases of residue and spam are left out; their signs are read off the same
     page in the same pass, and only candidate lines of residue, which recurrence across
@@ -287,7 +353,7 @@ def document_kinds(
             if any(sign != CANDIDATE for sign, _ in signs):
                 return []
             rows = [(key, None, source, h) for h in candidate_hashes(signs)]
-            kind = page_kind(page, readable)
+            kind = page_kind(page, readable, chunk)
             if kind is not None and not is_spam(page):
                 rows.append((key, kind, None, None))
             return rows

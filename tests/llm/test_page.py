@@ -196,6 +196,20 @@ def test_kinds(spark):
     assert {r.doc_id: r.kind for r in quality.document_kinds(docs, sample).collect()} == {1: "list", 2: "table", 3: "junk", 9: "table"}
 
 
+def test_kinds_do_not_depend_on_chunks():
+    readable = quality.Readable(["le contrat protège la banque et la clientèle", "budget projet réseau facture crédit", PROSE])
+    rng = random.Random(5)
+    parts = ["# Budget", "- contrat : banque", "a | b | 3", "banque\t12", "budget;projet;facture", PROSE, PROSE * 2, "qx7§ z9k# vv", "Le contrat protège la banque et le budget."]
+    for _ in range(200):
+        lines = [rng.choice(parts) for _ in range(rng.randint(0, 7))]
+        alone = quality._with_lines(quality.Shapes(), lines, readable)
+        for chunk in (1, 2, 7, 50, 10_000):
+            c = quality.body_shapes(lines, readable, chunk)
+            assert c[:7] == alone[:7], (lines, chunk)
+            assert c.text[0] + c.headings[0] == len(lines)
+            assert quality.kind_of_shapes(c) == quality.kind_of_shapes(alone)
+
+
 # ---- wrong decodings ----
 
 CLEAN_LINES = ["L’échéance européenne garantit à Noël la clôture – où l’été coûte 45 €.", "Der Außenvermerk verändert die Prüfänderung über Jahre.", "La compañía electrónica está aquí, ¿no?", "Così perché la società è più sicura."]
