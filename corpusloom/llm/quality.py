@@ -354,7 +354,7 @@ def document_kinds(
                 return []
             rows = [(key, None, source, h) for h in candidate_hashes(signs)]
             kind = page_kind(page, readable, chunk)
-            if kind is not None and not is_spam(page):
+            if kind is not None and not is_spam(page, readable):
                 rows.append((key, kind, None, None))
             return rows
 

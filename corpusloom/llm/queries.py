@@ -116,7 +116,7 @@ def p9_shares(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, path: str) -> DataFrame:
-    return spam.spam_documents(_docs(spark, path))
+    return spam.spam_documents(_docs(spark, path), sample=_clean_sample(spark, path))
 
 
 QUERIES: dict[str, Query] = {

@@ -157,6 +157,37 @@ def test_recurrence_by_gap():
     assert spam.recurrence(far)[1] == 0.0
 
 
+CYCLE = [f"w{a}{b}" for a, b in itertools.product("abcdefghij", "klmnopqr")]  # 80 words
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        " ".join(CYCLE * 10),
+        "\n".join(" ".join(CYCLE[i : i + 16]) for i in range(0, 80, 16)) * 3,
+        " ".join(f"{w} de la {v}." for w, v in zip(CYCLE[::2], CYCLE[1::2], strict=True)) * 4,
+        " ".join([a + b for a, b in itertools.product(CYCLE[:30], "abcdefghijklmnopqrst")] * 3),
+    ],
+)
+def test_cycles_longer_than_the_near_lags_are_spam(text):
+    assert spam.is_spam(Page(text, None, Classifier()))
+
+
+@pytest.mark.parametrize("separator", [" | ", "; ", " · ", "   ", " "])
+def test_noun_lists_with_any_separator_are_spam(separator):
+    nouns = "montre matelas banque facture budget réseau crédit prime contrat marché clôture annexe".split()
+    readable = quality.Readable([" ".join(nouns)])
+    assert spam.is_spam(Page(separator.join(nouns) + "\n" + separator.join(reversed(nouns)), None, Classifier()), readable)
+    assert not spam.is_spam(Page("khww nnmqqrd fksrjjvxh lmdkslqzp chfgxpk dz jwjf ptzz wdqjwt jfhzwjrwj jrk httjf", None, Classifier()), readable)
+
+
+def test_dominant_lag_of_far_cycles():
+    _, _, regular, _, recurring, lag = spam.recurrence(CYCLE * 10)
+    assert regular == 1.0 and recurring == pytest.approx(0.9) and lag == 80
+    rng = random.Random(3)
+    assert spam.recurrence([rng.choice(CYCLE) for _ in range(4_000)])[2] < spam.REGULAR
+
+
 # ---- quality ----
 
 COMMON = frozenset(("le", "la", "the"))
