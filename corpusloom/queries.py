@@ -17,7 +17,7 @@ from corpusloom.operators import dataset as D
 from corpusloom.operators import frontier as FR
 from corpusloom.plans import crawl
 from corpusloom.sources import files, html, render
-from corpusloom.storage import spread
+from corpusloom.storage import checkpointed, spread
 from corpusloom.streaming import unique as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,6 +544,14 @@ def q_links_nofollow(spark: SparkSession, path: str) -> DataFrame:
     return crawl.links_of(_sample_pages(spark)).select("page_id", "url")
 
 
+def _page_view(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the pages of all documents, with uniqueness claimed over the pages of each site."""
+    rows = html.html_elements(_html_pages(spark, path)).join(_docs(spark, path).select(F.col("doc_id").alias("page_id"), F.col("source").alias("site")), "page_id")
+    rows = checkpointed(rows)  # read again for the claim, the groups and the rows themselves
+    texts = B.claim_unique(rows.where("text IS NOT NULL"), "site", ("page_id", "pos"), "text").select("page_id", "pos", "is_unique")
+    return rows.join(texts, ["page_id", "pos"], "left")
+
+
 def _sample_view(spark: SparkSession) -> DataFrame:
     """Rows of two pages of one site, with uniqueness claimed over both."""
     pages = [
@@ -559,19 +567,31 @@ def q_group_unique(spark: SparkSession, path: str) -> DataFrame:
     return B.group_unique(_sample_view(spark))
 
 
+@query
+def q_group_unique_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The groups of q_group_unique, of the pages of all documents."""
+    return B.group_unique(_page_view(spark, path))
+
+
+@query
+def q_html_sections_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The sections of q_html_sections, of the pages of all documents."""
+    return html.html_elements(_html_pages(spark, path)).where("elt_type = 'Section' AND cmd = 'Start'").select("page_id", "text", "nesting_level")
+
+
 @query
 def q_unique_view(spark: SparkSession, path: str) -> DataFrame:
-    return B.unique_view(_sample_view(spark)).select("page_id", "pos", "elt_type", "cmd", "text")
+    return B.unique_view(_page_view(spark, path)).select("page_id", "pos", "elt_type", "cmd", "text")
 
 
 @query
 def q_render_markdown(spark: SparkSession, path: str) -> DataFrame:
-    return render.render_documents(B.unique_view(_sample_view(spark)), "markdown")
+    return render.render_documents(B.unique_view(_page_view(spark, path)), "markdown")
 
 
 @query
 def q_render_html(spark: SparkSession, path: str) -> DataFrame:
-    return render.render_documents(B.unique_view(_sample_view(spark)), "html")
+    return render.render_documents(B.unique_view(_page_view(spark, path)), "html")
 
 
 @query

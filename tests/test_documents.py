@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom import queries as core
 from corpusloom.operators import blocks as B
 from corpusloom.sources import files, html, render
 
@@ -72,6 +73,20 @@ def test_unique_view(spark):
     assert (words.total_words, words.unique_words) == (2, 1)  # a title counts although its section is dropped
 
 
+def test_unique_view_queries_cover_the_documents(spark, tmp_path):
+    docs = [(1, "# X\ndup\nnew", "s"), (2, "# Y\ndup\n# Z\nother", "s"), (3, "dup", "s"), (4, "dup", "t"), (5, None, "t")]
+    rows = [(i, text, source, f"http://{source}.example/{i}", f"T{i}") for i, text, source in docs]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, uri string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {(r.page_id, r.text) for r in core.q_unique_view(spark, str(tmp_path)).where("text IS NOT NULL").collect()}
+    assert kept == {(1, "X"), (1, "dup"), (1, "new"), (2, "Z"), (2, "other"), (4, "dup")}
+    groups = {(r.page_id, r.contains_unique) for r in core.q_group_unique_pages(spark, str(tmp_path)).collect()}
+    assert groups == {(1, True), (2, False), (2, True)}
+    text = {r.page_id: r.text for r in core.q_render_markdown(spark, str(tmp_path)).collect()}
+    assert set(text) == {1, 2, 4} and text[1] == "# X\n\ndup\n\nnew\n\n\n" and text[2].startswith("# Z")
+    preview = {r.page_id: r.text for r in core.q_render_html(spark, str(tmp_path)).collect()}
+    assert set(preview) == {1, 2, 4} and "<h1>Z</h1>" in preview[2]
+
+
 def test_claim_takes_one_of_each_text(spark):
     rows = [("a", 1, 0, "x"), ("a", 1, 1, "x"), ("a", 2, 0, "x"), ("a", 2, 1, "y"), ("b", 1, 0, "x"), (None, 3, 0, "x"), (None, 4, 0, "x")]
     got = B.claim_unique(spark.createDataFrame(rows, "source string, doc_id int, pos int, block string"), "source", ("doc_id", "pos")).where("is_unique").collect()
