@@ -109,9 +109,8 @@ class Tagger:
                 index[w] = len(index)
         return [index[w] for w in words]
 
-    def line_sums(self, lines: list[list[int]]) -> np.ndarray:
-        """Sum of the marginals over the words of each line, lines of like length together."""
-        out = np.zeros((len(lines), len(LANGUAGES)), np.float32)
+    def _marginals(self, lines: list[list[int]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of lines of like length, the marginals of their words, and which places hold a word."""
         order = sorted((i for i, x in enumerate(lines) if x), key=lambda i: len(lines[i]))
         at = 0
         while at < len(order):
@@ -126,9 +125,31 @@ class Tagger:
                 padded[r, : len(lines[i])] = lines[i]
                 mask[r, : len(lines[i])] = True
             marginals, _, _ = forward_backward(self.rows[padded], mask, self.transition, self.start)
+            yield part, marginals, mask
+
+    def line_sums(self, lines: list[list[int]]) -> np.ndarray:
+        """Sum of the marginals over the words of each line."""
+        out = np.zeros((len(lines), len(LANGUAGES)), np.float32)
+        for part, marginals, mask in self._marginals(lines):
             out[part] = (marginals * mask[:, :, None]).sum(axis=1)
         return out
 
+    def line_runs(self, lines: list[list[int]]) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]]]:
+        """The sums of :meth:`line_sums`, and for each line its runs of words of one most probable language:
+        first and last word from 1, language, mean marginal of that language."""
+        out = np.zeros((len(lines), len(LANGUAGES)), np.float32)
+        runs: list[list[tuple[int, int, int, float]]] = [[] for _ in lines]
+        for part, marginals, mask in self._marginals(lines):
+            out[part] = (marginals * mask[:, :, None]).sum(axis=1)
+            best = marginals.argmax(axis=2)
+            for r, i in enumerate(part):
+                n = len(lines[i])
+                ends = [*(np.flatnonzero(np.diff(best[r, :n])) + 1).tolist(), n]
+                for start, end in zip([0, *ends], ends, strict=False):
+                    lang = int(best[r, start])
+                    runs[i].append((start + 1, end, lang, float(marginals[r, start:end, lang].mean())))
+        return out, runs
+
     def fresh(self) -> Tagger:
         return Tagger(self.weights, self.transition, self.start, self.lexicon)
 
@@ -243,6 +264,7 @@ def document_languages(
     label_col: str = "lang",
     source_col: str = "source",
     without_residue: bool = False,
+    stretches: bool = False,
 ) -> DataFrame:
     """(id, line_no, lang, confidence, named): language of each document and of each foreign line of its main body.
 
@@ -254,6 +276,12 @@ def document_languages(
     readable text in the main body, null or empty ones and null ids give no row; repeated
     rows give repeated rows.  ``without_residue`` leaves out the cases of problem 2, whose
     signs are read off the same pages in the same pass.
+
+    With ``stretches`` the rows are (id, line_no, start, end, lang, confidence, named), and in
+    place of whole lines there is one for every run of words in another language than the
+    main one, of whatever length and in whatever line of the main body; ``start`` and ``end`` are
+    its first and last word, counted from 1 over the words of letters outside link targets,
+    and null for the document.
     """
     texts = list(sample)
     shared = docs.sparkSession.sparkContext.broadcast(tagger.fresh())  # FEATURES x 5 floats and the word list
@@ -285,13 +313,14 @@ def document_languages(
                             line = _TARGET.sub(" ", line)
                         words = _WORD.findall(line.lower())
                         lines.append(tag.ids(words))
-                        numbers.append((page.numbers[i], line.count(" ") + 1 if len(words) >= MIN_LETTER_WORDS and not is_row(line) else 0))
+                        numbers.append((page.numbers[i], line.count(" ") + 1 if len(words) >= MIN_LETTER_WORDS and (not is_row(line) or _is_sentence(line)) else 0))
                     heads.append((key, label, first, len(lines)))
-                yield _decide(heads, numbers, tag.line_sums(lines), candidates)
+                sums, runs = tag.line_runs(lines) if stretches else (tag.line_sums(lines), None)
+                yield _decide(heads, numbers, sums, candidates, runs)
 
     rows = spread(columns(docs, id=id_col, text=text_col, title=title_col, label=label_col, source=source_col))
-    made = rows.mapInArrow(work, "id bigint, line_no int, lang string, confidence double, named string, source string, hash bigint")
-    named = ["id", "line_no", "lang", "confidence", "named"]
+    made = rows.mapInArrow(work, "id bigint, line_no int, lang string, confidence double, named string, source string, hash bigint, start int, end int")
+    named = ["id", "line_no", *(["start", "end"] if stretches else []), "lang", "confidence", "named"]
     if not without_residue:
         return made.select(*named).withColumnRenamed("id", id_col)
     made = checkpointed(made)  # a few words a document, used three times
@@ -312,8 +341,15 @@ def _has_words(text: str, readable: Readable) -> bool:
     return known >= 12 and known >= MIN_READABLE * sum(map(len, tokens))
 
 
-def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray, candidates: list[tuple] = ()) -> pa.RecordBatch:
-    out: list[tuple] = [(key, -1, None, None, None, source, h) for key, source, h in candidates]
+def _is_sentence(line: str) -> bool:
+    """Prose in the shape of a row: parted by semicolons or wide spaces, but ended as a sentence."""
+    return line.rstrip()[-1:] in (".", "!", "?") and "|" not in line and "\t" not in line
+
+
+def _decide(
+    heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray, candidates: list[tuple] = (), runs: list[list[tuple]] | None = None
+) -> pa.RecordBatch:
+    out: list[tuple] = [(key, -1, None, None, None, source, h, None, None) for key, source, h in candidates]
     for key, label, first, last in heads:
         total = sums[first:last].sum(axis=0)
         mass = float(total.sum())
@@ -323,17 +359,20 @@ def _decide(heads: list[tuple], numbers: list[tuple[int, int]], sums: np.ndarray
         named = named_language(label)
         if named is not None and float(total[main] - total[LANGUAGES.index(named)]) < MARGIN * mass:
             main = LANGUAGES.index(named)
-        out.append((key, 0, LANGUAGES[main], float(total[main]) / mass, named, None, None))
+        out.append((key, 0, LANGUAGES[main], float(total[main]) / mass, named, None, None, None, None))
         for i in range(first, last):
             number, words = numbers[i]
+            if runs is not None:
+                out += [(key, number, LANGUAGES[lang], sure, named, None, None, start, end) for start, end, lang, sure in runs[i] if lang != main]
+                continue
             best = int(sums[i].argmax())
             if words >= MIN_WORDS and best != main:
                 share = float(sums[i, best] / sums[i].sum())
                 if share >= MIN_SHARE:
-                    out.append((key, number, LANGUAGES[best], share, named, None, None))
-    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.int64()]
+                    out.append((key, number, LANGUAGES[best], share, named, None, None, None, None))
+    types = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
     cols = list(zip(*out, strict=True)) or [[]] * len(types)
-    names = ["id", "line_no", "lang", "confidence", "named", "source", "hash"]
+    names = ["id", "line_no", "lang", "confidence", "named", "source", "hash", "start", "end"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 

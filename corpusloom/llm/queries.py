@@ -72,10 +72,10 @@ def p5_classes(spark: SparkSession, path: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _languages(spark: SparkSession, path: str, without_residue: bool = False) -> DataFrame:
+def _languages(spark: SparkSession, path: str, without_residue: bool = False, stretches: bool = False) -> DataFrame:
     words = _fixed(spark, path, "common_words", "lang", "word")
     tagger = language.train(_fixed(spark, path, "lang_samples", "lang", "text"), words, language.labelled_words(_docs(spark, path)))
-    return language.document_languages(_docs(spark, path), tagger, _clean_sample(spark, path), without_residue=without_residue)
+    return language.document_languages(_docs(spark, path), tagger, _clean_sample(spark, path), without_residue=without_residue, stretches=stretches)
 
 
 def p6_found(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +83,8 @@ def p6_found(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p6_languages(spark: SparkSession, path: str) -> DataFrame:
-    return _languages(spark, path).withColumn("confidence", F.round("confidence", 4))
+    """Language of each document and of each run of words in another one."""
+    return _languages(spark, path, stretches=True).withColumn("confidence", F.round("confidence", 4))
 
 
 def p7_found(spark: SparkSession, path: str) -> DataFrame:

@@ -185,6 +185,23 @@ def test_document_languages(spark, tagger):
     assert all(0.5 < r.confidence <= 1 for r in everything.where("line_no = 0 AND doc_id < 5").collect())
 
 
+def test_stretches_in_another_language(spark, tagger):
+    fr, de, en = SAMPLES[0][1], SAMPLES[2][1], "The report delays the account."
+    whole = f"{de.rstrip('.')}; {de.rstrip('.')}; {de}"
+    lines = [f"{fr} {fr}", f"{fr} {de}", en, whole]
+    docs = spark.createDataFrame([(1, "\n".join([fr] * 6 + lines), None, "fr", "s"), (2, None, None, "fr", "s")], "doc_id bigint, text string, title string, lang string, source string")
+    rows = language.document_languages(docs, tagger, [t for _, t in SAMPLES], stretches=True).collect()
+    runs = [r for r in rows if r.line_no]
+    n = len(language._WORD.findall(fr)), len(language._WORD.findall(f"{fr} {de}"))
+    inside = [r for r in runs if r.line_no == 8 and r.lang == "de"]
+    assert max(r.end for r in inside) == n[1] and abs(min(r.start for r in inside) - n[0] - 1) <= 1
+    assert [(r.start, r.end, r.lang) for r in runs if r.line_no == 9] == [(1, 5, "en")]
+    assert all(0.2 < r.confidence <= 1 for r in runs) and not [r for r in runs if r.line_no < 8]
+    assert [(r.start, r.end, r.lang) for r in rows if not r.line_no] == [(None, None, "fr")]
+    found = language.label_faults(language.document_languages(docs, tagger, [t for _, t in SAMPLES]))
+    assert (1, 10, "de") in set(map(tuple, found.collect()))
+
+
 # ---- tokens, packing, mixing ----
 
 
