@@ -2,8 +2,9 @@
 
 One page is one graph.  Every non-blank line is a node; the additive log-odds
 of :func:`line_score` give its two terminal capacities (frame against body),
-neighbouring lines are joined by smoothness edges, and lines inferred to share
-one block of the page (a box head and its entries, a menu) by stronger ones.
+neighbouring lines are joined by smoothness edges, and the head of a box of
+references and its entries, inferred from the text, by stronger ones.  There are no
+edges from the proximity of elements in the page's tree: only text is read.
 The cut of least capacity labels the page.  Everything here works on a single
 text and is plain Python, so that a partition is one pass without a shuffle.
 """
