@@ -50,6 +50,15 @@ _LOW, _UP = "a-zàâäáãåæçéèêëíìîïñóòôöõœúùûüß", "A-Z
 _WORD = rf"(?:[{_UP}]?[{_LOW}]+|[{_UP}]+|[A-Z][a-z]+[A-Z][{_LOW}]+|\d+)"
 #: A word of the five languages with what may stand before, within and after it.
 _PLAIN = re.compile(rf"[\"'(\[«‹“„‘‚¿¡*_#>|~£€$-]*{_WORD}(?:[’'‑–—/.,:&@_%€+·|()\"«»“”-]+{_WORD})*[\"')\]»›”“’‘.,;:!?…%€°ºª®™*_|~-]*")
+#: What any garbled text holds: a character that clean text of the five languages lacks or rarely has, or a capital letter or
+#: mark in a place where no clean word has it.  A text without either is clean and not looked at word by word.
+_RARE = re.compile("[^\x00-\x7fàâäáãåæçéèêëíìîïñóòôöõœúùûüßÀÂÄÁÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜŒ€£°§ªº«»‹›“”„‘’–—…•·©®™¿¡\u00a0\u202f\u2009" + SYMBOLS + "]")
+_PLACED = re.compile(
+    r"[âïÀÂÄÁÇÉÈÊËÍÎÏÑÓÔÖÚÙÛÜŒ“”„–—…•·‹›¿¡©®™](?:"
+    r"(?<=[âï])(?=[^\x00-\x7fàâäáãåæçéèêëíìîïñóòôöõœúùûüß’])|(?<=Â)(?=[^\x00-\x7f])|(?<=Ô)(?=Ç)"
+    r"|(?<=[a-zß-ÿœ0-9][À-ÖØ-ÞŒ])|(?<=[A-ZÀ-Þ][À-ÖØ-ÞŒ])(?=[a-zß-ÿœ])|(?<=[ \n\t][ÂÄÁÇÊËÍÎÏÑÖÚÛÜŒ])(?![^\W\d_])"
+    r"|(?<=[^\W\d_][“”„–—…•·‹›¿¡©®™])(?=[^\W\d_])|(?<=[a-zß-ÿœ][—¡¿])(?!\w)|(?<= …)(?= [^\W\d_]))"
+)
 #: Words and marks that stand alone in clean text.
 _ALONE = frozenset("àÀèÈéóÓ–—…«»‹›•·’“”€°")
 _MARKS = re.compile(r"[%€$°:;!?,.…»«›‹–—·)(|*-]+")
@@ -266,6 +275,8 @@ class Repairer:
 
     def check(self, text: str) -> list[tuple[int, str, str]]:
         """(line number, garbled line, restored line) of the lines of a text with garbled characters."""
+        if not (_RARE.search(text) or _PLACED.search(text)):
+            return []
         kept, votes, words = [], Counter(), {}
         for number, line in enumerate(text.split("\n"), 1):
             if line.isascii():
