@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.storage import spread
 
-__all__ = ["columns", "map_rows", "spread"]
+__all__ = ["SALTS", "columns", "map_rows", "salted", "salted_semi", "spread"]
+
+#: Parts into which the rows of one join key are cut by a hash of their id; adaptive execution splits a part further.
+SALTS = 8
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:
@@ -45,3 +48,19 @@ def map_rows(
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def salted(rows: DataFrame, keys: DataFrame, on: list[str], spread_by: str, how: str = "inner") -> DataFrame:
+    """Join of many rows with few distinct keys, so that a key that a third of all rows have is no single task.
+
+    Rows are cut into SALTS parts by a hash of ``spread_by`` and keys are repeated for each
+    part; no row is lost, and equal rows stay equal.
+    """
+    many = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    few = keys.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return many.join(few, [*on, "_salt"], how).drop("_salt")
+
+
+def salted_semi(rows: DataFrame, keys: DataFrame, on: list[str], spread_by: str) -> DataFrame:
+    """Rows whose key is among the keys; see :func:`salted`."""
+    return salted(rows, keys, on, spread_by, "left_semi")

@@ -112,6 +112,8 @@ fehler 0*; *angeforderte seite*nicht gefunden*; *interner fehler ist aufgetreten
 errore 0*; *pagina richiesta non è stata trovata*; *si è verificato un errore interno*; *sessione è scaduta*; accesso negato*; *per manutenzione*; *in manutenzione*;
 *serveur met trop de temps*; *aucun résultat ne correspond à votre recherche*; *page n’existe plus*;
 *server took too long*; *need to allow scripts*; *no results match your search*; *page no longer exists*; *this site can’t be reached*; sqlstate[*; warning: include(*; gateway time-out*; service unavailable*; request id *; traceback (most recent call last)*; java.*exception*; *fatal error: *; loading...; loading…;
+undefined index: *; undefined variable*; undefined offset*; notice: undefined *; parse error: *; connection timed out*; connection refused*; connection reset*; too many requests*; bad request*;
+*not available in your region*; *not available in your country*; *complete the captcha*; *verify you are human*; *verify that you are not a robot*; checking your browser*; you have been blocked*; database error*; *error establishing a database connection*; bandwidth limit exceeded*; account suspended*;
 *server antwortet nicht rechtzeitig*; *ihrer suche gibt es keine treffer*; *diese seite gibt es nicht mehr*;
 *servidor tarda demasiado*; *ningún resultado coincide con su búsqueda*; *página ya no existe*;
 *server impiega troppo tempo*; *nessun risultato corrisponde alla tua ricerca*; *pagina non esiste più*
@@ -157,14 +159,17 @@ class Phrases:
     """Whole-line test of a skeleton against many phrases.
 
     Phrases with a fixed beginning are found by its first letters; for the others their
-    longest fixed part must stand in the line.  Only then is the pattern tried.
+    longest fixed part must stand in the line.  Only then is the pattern tried.  The fixed parts of
+    a phrase must make up a part of the line, a larger one if it may stand anywhere.
     """
 
     HEAD = 3
+    HEAD_PART, INSIDE_PART = 24, 7
 
     def __init__(self, block: str):
         self.by_head: dict[str, list[re.Pattern[str]]] = {}
         self.inside: list[tuple[str, re.Pattern[str]]] = []
+        self.letters: dict[re.Pattern[str], int] = {}
         for phrase in _items(block):
             parts = [skeleton_part(p) for p in _trimmed(phrase).split("*")]
             if not any(p.strip() for p in parts):
@@ -174,16 +179,14 @@ class Phrases:
                 self.by_head.setdefault(parts[0][: self.HEAD], []).append(pattern)
             else:
                 self.inside.append((max(parts, key=len), pattern))
+            self.letters[pattern] = sum(map(len, parts))
 
     def match(self, key: str) -> bool:
-        for pattern in self.by_head.get(key[: self.HEAD], ()):
-            if pattern.match(key):
-                return True
-        return any(part in key and pattern.match(key) for part, pattern in self.inside)
+        return self.begins(key) or any(part in key and self.INSIDE_PART * self.letters[p] >= len(key) and p.match(key) for part, p in self.inside)
 
     def begins(self, key: str) -> bool:
         """Match of phrases with a fixed beginning alone."""
-        return any(pattern.match(key) for pattern in self.by_head.get(key[: self.HEAD], ()))
+        return any(self.HEAD_PART * self.letters[p] >= len(key) and p.match(key) for p in self.by_head.get(key[: self.HEAD], ()))
 
 
 def _trimmed(phrase: str) -> str:

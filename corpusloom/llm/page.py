@@ -28,11 +28,10 @@ SCORES = {PROSE: -400, HEADING: -600, LIST: -150, TABLE: -300, TITLE: -60, RELAT
 #: Capacities of edges: neighbours, and lines of one inferred block.
 ADJACENT, SAME_BLOCK = 30, 450
 
-#: A box of references has at most so many entries; further lines of their shape are judged by themselves.
-BOX_ENTRIES = 4
-
-#: A line longer than this many characters is never looked up as a phrase.
-PHRASE_CHARS = 170
+#: Log-odds that a title-shaped line is an entry of the box of references it stands in: of the first entry, and how much
+#: less with each further one; on a page that has titles outside of boxes as well it falls faster.  The edge to the next
+#: entry falls too, so the cut ends a long run of such lines by itself and no number of entries is fixed.
+ENTRY, ENTRY_FALL, LISTED_FALL, EDGE_FALL = 40, 8, 24, 25
 
 _SEPARATED = re.compile(r" [^\sA-Za-z0-9]{1,12} |\t")
 _MARK = re.compile(r"^(?:[-–*•›»>]|\d{1,3}[.)])\s+")
@@ -42,6 +41,13 @@ _ARTICLE = re.compile(r"^(?:le|la|les|l.|the|der|die|das|el|los|las|il|lo|gli|i|
 _END = re.compile(r"[.!?…:;]['\"”»)\]\s]*$")
 _CELLS = re.compile(r"\||\t|;")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Ends of sentences within a line.
+_SENTENCES = re.compile(r"(?<=[^\W\d_][.!?…])\s+(?=[^\W\d_a-z])")
+_DIGITS = re.compile(r"[0-9]+")
+#: Longer than any label of a menu.
+LABEL_LENGTH = max(map(len, LABEL_KEYS | RELATED_KEYS)) + 4
+#: Beginnings of all phrases that have a fixed one.
+HEADS = frozenset(h for phrases in (FRAME_PHRASES, MESSAGE_PHRASES, FILLER_PHRASES) for h in phrases.by_head) | {x[: FRAME_PHRASES.HEAD] for x in RELATED_KEYS}
 _URL = re.compile(r"https?:|www\.|\w\.(?:example|test|com|org|net)\b")
 
 
@@ -50,21 +56,43 @@ def _labels(parts: list[str]) -> int:
 
 
 def line_kind(line: str) -> int:
-    """Kind of one stripped, non-blank line, without regard to its place."""
+    """Kind of one stripped, non-blank line, without regard to its place: that of its phrase, else that of its shape."""
     if line[0] == "#":
         return HEADING
-    if len(line) > PHRASE_CHARS:
-        if line.count("|") > 2 or line.count("\t") > 2:
-            parts = [p for p in _SEPARATED.split(line) if p.strip()]
-            return FRAME if _labels(parts) * 2 > len(parts) else TABLE
-        return PROSE
+    kind = phrase_kind(line)
+    return shape_kind(line) if kind is None else kind
+
+
+def phrase_kind(line: str) -> int | None:
+    """Kind that the fixed phrases give a line of any length, None if they say nothing.
+
+    A phrase must make up a part of what it is found in.  It may be the whole line; of a line of more than two sentences
+    the first one must be a phrase of the frame, or half of them messages or fillers.
+    """
+    low = line.lower()
+    if not low.isascii():
+        low = low.encode("ascii", "ignore").decode()
+    low = " ".join(low.split())
+    inside = next(INSIDE.iter(low if low.isalpha() else _DIGITS.sub("0", low)), None) is not None
     key = skeleton(line)
     bare = _MARK.sub("", key)
+    if len(line) > LABEL_LENGTH:
+        if not inside and bare[: FRAME_PHRASES.HEAD] not in HEADS and _SEPARATED.search(line) is None:
+            return None
+        sentences = _SENTENCES.split(line)
+        if len(sentences) > 1:
+            keys = [_MARK.sub("", skeleton(x)) for x in sentences]
+            for phrases, kind in _PHRASES[:2]:
+                if 2 * sum(phrases.match(x) for x in keys) >= len(keys):
+                    return kind
+            if FRAME_PHRASES.match(keys[0]):
+                return FRAME
+            if len(sentences) > 2:
+                return None
     if bare in LABEL_KEYS:
         return FRAME
     if bare in RELATED_KEYS or bare.rstrip(" :") in RELATED_KEYS:
         return RELATED
-    inside = next(INSIDE.iter(bare), None) is not None
     for phrases, kind in _PHRASES:
         if phrases.match(bare) if inside else phrases.begins(bare):
             return kind
@@ -78,6 +106,13 @@ def line_kind(line: str) -> int:
         hits = _labels(parts)
         if hits and (hits * 2 >= len(parts) or skeleton(parts[0]) in LABEL_KEYS):
             return FRAME
+    return None
+
+
+def shape_kind(line: str) -> int:
+    """Kind of a line by its shape alone."""
+    if line[0] == "#":
+        return HEADING
     if line.startswith("|") or line.count(";") > 2 or line.count("\t") > 1:
         return TABLE
     if _URL.search(line):
@@ -96,13 +131,15 @@ def line_kind(line: str) -> int:
 
 
 class Classifier:
-    """Kinds of lines with a bounded memory, since frames recur on every page of a site."""
+    """Kinds of lines with a bounded memory of short ones, since frames recur on every page of a site."""
+
+    KEPT = 170  # characters; longer lines are judged anew each time, by the same rules
 
     def __init__(self, bound: int = 40_000):
         self.bound, self.memory = bound, {}
 
     def __call__(self, line: str) -> int:
-        if len(line) > PHRASE_CHARS:
+        if len(line) > self.KEPT:
             return line_kind(line)
         kind = self.memory.get(line)
         if kind is None:
@@ -179,43 +216,66 @@ class Page:
         return [i for i, out in enumerate(self.frame) if not out]
 
 
-def place_messages(kinds: list[int], score: list[int]) -> None:
+def place_messages(lines: list[str], kinds: list[int], score: list[int]) -> None:
     """Scores of server and browser messages by their place.
 
-    Above the first line of real content, below the last one, or between two lines of
-    the frame a message is a notice of the frame; elsewhere it stands for content.  On
-    a page without any real content it is the main body.
+    Beside content of any kind a request to allow scripts is a notice of the frame, and so is another
+    message above the first line of real content, below the last one, or between two lines of
+    the frame; elsewhere it stands for content.  On a page without content it is the main body.
     """
+    own = sum(k not in (FRAME, RELATED, MESSAGE, HEADING, TITLE) for k in kinds)
     content = [i for i, k in enumerate(kinds) if k in (PROSE, LIST, TABLE)]
-    if not content:
-        return
-    first = min(content[0], next((i for i, k in enumerate(kinds) if k == HEADING), content[0]))
+    first = min(content[0], next((i for i, k in enumerate(kinds) if k == HEADING), content[0])) if content else 0
     last = len(kinds) - 1
     for i, kind in enumerate(kinds):
         if kind != MESSAGE:
             continue
-        if i < first or i > content[-1] and i < last:
+        if own > 1 and _SCRIPTS.search(lines[i]):
+            score[i] = 300
+        elif content and (i < first or i > content[-1] and i < last):
             score[i] = 300
-        elif 0 < i < last and kinds[i - 1] in (FRAME, RELATED) and kinds[i + 1] in (FRAME, RELATED):
+        elif content and 0 < i < last and kinds[i - 1] in (FRAME, RELATED) and kinds[i + 1] in (FRAME, RELATED):
             score[i] = 100
 
 
+#: Words of notices that a page needs scripts or is still loading.
+_SCRIPTS = re.compile(r"script|skript|loading|wird geladen|chargement|cargando|caricamento", re.I)
+
+
 def label_lines(lines: list[str], kinds: list[int], title: str | None) -> list[bool]:
     """True for each line outside the main body."""
     if not any(k in (FRAME, RELATED, MESSAGE) for k in kinds):
         return [False] * len(lines)
-    name = " ".join((title or "").lower().split())
     score = [SCORES[k] for k in kinds]
-    edges = []
+    kinds = list(kinds)
     if MESSAGE in kinds:
-        place_messages(kinds, score)
-    block = 0  # entries that the open box of references may still have
+        place_messages(lines, kinds, score)
+    for i in own_titles(lines, title):
+        score[i], kinds[i] = -600, HEADING
+    edges = box_edges(kinds, score)
+    return minimum_cut(score, edges)
+
+
+def own_titles(lines: list[str], title: str | None) -> list[int]:
+    """Lines that repeat the title of their document."""
+    name = " ".join((title or "").lower().split())
+    return [i for i, x in enumerate(lines) if name and len(x) < len(name) + 6 and " ".join(x.lstrip("# ").lower().split()) == name]
+
+
+def box_edges(kinds: list[int], score: list[int]) -> list[tuple[int, int, int]]:
+    """Smoothness edges of a page, those of entries of boxes of references being stronger; the scores of entries are set in place."""
+    entries = titles = 0
+    place = [0] * len(kinds)  # from 1 in a box
     for i, kind in enumerate(kinds):
-        if name and len(lines[i]) < len(name) + 6 and " ".join(lines[i].lstrip("# ").lower().split()) == name:
-            score[i], block = -600, 0
-            kind = HEADING
-        follows = block > 0 and kind == TITLE
+        entries = 1 if kind == RELATED else entries + 1 if entries and kind == TITLE else 0
+        place[i] = entries - 1 if entries > 1 else 0
+        titles += kind == TITLE and not place[i]
+    fall = LISTED_FALL if titles > 5 else ENTRY_FALL
+    edges = []
+    for i in range(len(kinds)):
+        k = place[i]
+        if k:
+            score[i] = ENTRY - fall * (k - 1)
         if i:
-            edges.append((i - 1, i, SAME_BLOCK if follows else ADJACENT))
-        block = BOX_ENTRIES if kind == RELATED else block - 1 if follows else 0
-    return minimum_cut(score, edges)
+            edges.append((i - 1, i, max(ADJACENT, SAME_BLOCK - EDGE_FALL * (k - 1)) if k else ADJACENT))
+    return edges

@@ -32,7 +32,7 @@ _DOT = re.compile(r"\w\.[^\W\d_]|://")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-Þ])")
 _TARGET = re.compile(r"\(?\bhttps?://\S+|\bwww\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|com|org|net|info|shop|biz|de|fr|it|es|co\.uk)\b\S*")
 _ENTRY = re.compile(r"^\S+(?: \S+){0,3} ?[,:] \S+(?: \S+){0,3}$|\s{3,}|\t|;.*;|\(\d{4}\)$")
-_HASHTAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
+_HASHTAG = re.compile(r"(?:^|\s)#[^\W\d_]{3}\w*(?=[\s,.;!]|$)")
 
 #: Words are compared without letters outside ASCII, so that wrong decodings stay words.
 FUNCTION_WORDS = frozenset(filter(None, (_NON_ASCII.sub("", w) for w in _FUNCTION.split())))
@@ -187,7 +187,7 @@ def is_spam(page: Page, readable: Callable[[str], bool] | None = None) -> bool:
         return double >= 2 * STUFFED or cyclic and recurring >= CYCLES and lag > FAR
     if cyclic and recurring >= (CYCLES if function >= 0.14 else LISTED_CYCLES):
         return True
-    if double >= STUFFED or single >= 0.42 and function < 0.14 and sum(map(len, words)) >= 3 * len(words):
+    if (double >= STUFFED or single >= 0.42 and function < 0.14) and sum(map(len, words)) >= 3 * len(words):
         return True
     nouns = [x for x in body if x.count(",") >= 5 and x.count(",") * 5 >= len(x.split())]
     return function < 0.04 and len(nouns) * 2 >= len(at)

@@ -49,10 +49,35 @@ def test_messages_by_place():
     body = "Le contrat protège la banque, parce que les clients l’ont demandé."
     notice = "Veuillez activer JavaScript pour afficher cette page."
     assert frame(f"{notice}\n# Titre\n{body}\n{body}") == [1]
-    assert frame(f"# Titre\n{notice}\n{body}") == []
+    assert frame(f"# Titre\n{notice}\n{body}\n{body}") == [2]
+    error = "Une erreur interne est survenue."
+    assert frame(f"# Titre\n{body}\n{error}\n{body}") == []
     assert frame(notice) == [] and frame(f"{notice}\nHaut de page") == [2]
 
 
+@pytest.mark.parametrize("more", range(0, 12))
+def test_notices_of_any_length(more):
+    notice = "We use cookies to improve your visit." + " You can change your choice at any time in the settings of this page." * more
+    assert frame(f"{notice}\n# Head\nThe team funds the transfer, because the customers asked for it.") == [1]
+
+
+def test_long_prose_about_cookies_is_content():
+    text = "The report says that many pages set more trackers than they need, and that we use cookies without thinking. " * 4
+    assert frame(f"Home\n# Head\n{text}\n{text}") == [1]
+
+
+@pytest.mark.parametrize("entries", range(1, 13))
+def test_boxes_of_references_have_any_number_of_entries(entries):
+    box = "\n".join(f"- Additional insurer {2000 + i} – shared reform" for i in range(entries))
+    body = "The detailed team funds the regional transfer, because the customers asked for it."
+    assert frame(f"# Head\n{body}\nRead also\n{box}\n{body}") == list(range(3, 4 + entries))
+
+
+def test_a_list_after_a_box_is_content():
+    entries = "\n".join(f"Insurer {2000 + i} – shared reform" for i in range(60))
+    assert len(frame(f"# Head\n{entries}\nRead also\n- Tariff – reform\n{entries}")) < 12
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(3)
     for _ in range(150):
@@ -93,17 +118,32 @@ def test_frame_lines(spark):
 
 @pytest.mark.parametrize(
     "line",
-    ["Le {{ name }} couvre", "# Projet - le [[amount]]", "${product_name} @@AUTHOR@@", "prix %%PRICE%%", "<%= contactEmail %>", "{% amount %}", "{author} dit", "voir [link] ici", "#{user.firstname}"],
+    ["Le {{ name }} couvre", "# Projet - le [[amount]]", "${product_name} @@AUTHOR@@", "prix %%PRICE%%", "<%= contactEmail %>", "{% amount %}", "{author} dit", "voir [link] ici", "#{user.firstname}", "[Insert company name]", "$TITLE$ news", "hello __NAME__", "[votre nom ici]"],
 )
 def test_placeholders(line):
     assert residue.has_placeholder(line)
 
 
-@pytest.mark.parametrize("line", ["La balise “{{name}}” sert d’exemple", "la notation « {{ x }} » indique", "Das Zeichen `${value}` dient", "renvoi [21]", "[montre](https://a.example/1)", "{ }", "50 % des %%", "[dft] 35"])
+@pytest.mark.parametrize("line", ["La balise “{{name}}” sert d’exemple", "la notation « {{ x }} » indique", "Das Zeichen `${value}` dient", "renvoi [21]", "[montre](https://a.example/1)", "{ }", "50 % des %%", "[dft] 35", "**__bold__** text", "$5 or $6$", "[company report](https://a.example/1)"])
 def test_no_placeholders(line):
     assert not residue.has_placeholder(line)
 
 
+def test_unknown_messages_come_out_of_groups(spark):
+    body = "The detailed team funds the regional transfer, because the customers asked for it. It goes on."
+    rows = [(i, "This content is not for your place", None, f"s{i}") for i in range(4)]
+    rows += [(10 + i, f"This shared line is not for your place\n{body}\n{body}\n{body}", None, f"s{i}") for i in range(4)]
+    rows += [(20, "Connection timed out while contacting upstream", None, "a"), (21, f"# T\nLoading…\n{body}\n{body}", "T", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, title string, source string")
+    assert sorted(r.doc_id for r in residue.residue_documents(docs).collect()) == [0, 1, 2, 3, 20]
+
+
+def test_long_messages_keep_their_keys_apart(spark):
+    head = "Undefined index: id in a very long path " + "/var/www" * 40
+    signs = residue.residue_signs(spark.createDataFrame([(1, head + " one", None, "a"), (2, head + " two", None, "a")], "doc_id bigint, text string, title string, source string"))
+    assert signs.select("key").distinct().count() == 2
+
+
 def test_residue_documents(spark):
     good = "Un administrateur reçoit parfois un message d’erreur 404 et cherche d’où vient le lien cassé. Le budget suit."
     odd = "The server at gate {} is asleep, come back"
