@@ -21,7 +21,7 @@ def skeleton(line: str) -> str:
     key = line.lower()
     if not key.isascii():
         key = key.encode("ascii", "ignore").decode()
-    return _SPACES.sub(" ", _DIGITS.sub("0", key)).strip()
+    return " ".join(_DIGITS.sub("0", key).split())
 
 
 #: Labels of menus, buttons and footers: a whole line or a whole menu entry.
@@ -156,37 +156,49 @@ def _items(block: str) -> list[str]:
 
 
 class Phrases:
-    """Whole-line test of a skeleton against many phrases.
+    """Whole-line test of a skeleton against the phrases of several lists, the earlier list first.
 
-    Phrases with a fixed beginning are found by its first letters; for the others their
-    longest fixed part must stand in the line.  Only then is the pattern tried.  The fixed parts of
+    Phrases with a fixed beginning are found by its first letters, the others by one
+    automaton over their longest fixed parts; only then is a pattern tried.  The fixed parts of
     a phrase must make up a part of the line, a larger one if it may stand anywhere.
     """
 
     HEAD = 3
     HEAD_PART, INSIDE_PART = 24, 7
 
-    def __init__(self, block: str):
-        self.by_head: dict[str, list[re.Pattern[str]]] = {}
-        self.inside: list[tuple[str, re.Pattern[str]]] = []
-        self.letters: dict[re.Pattern[str], int] = {}
-        for phrase in _items(block):
-            parts = [skeleton_part(p) for p in _trimmed(phrase).split("*")]
-            if not any(p.strip() for p in parts):
-                continue
-            pattern = re.compile(".*".join(map(re.escape, parts)) + "$")
-            if len(parts[0]) >= self.HEAD:
-                self.by_head.setdefault(parts[0][: self.HEAD], []).append(pattern)
-            else:
-                self.inside.append((max(parts, key=len), pattern))
-            self.letters[pattern] = sum(map(len, parts))
-
-    def match(self, key: str) -> bool:
-        return self.begins(key) or any(part in key and self.INSIDE_PART * self.letters[p] >= len(key) and p.match(key) for part, p in self.inside)
-
-    def begins(self, key: str) -> bool:
-        """Match of phrases with a fixed beginning alone."""
-        return any(self.HEAD_PART * self.letters[p] >= len(key) and p.match(key) for p in self.by_head.get(key[: self.HEAD], ()))
+    def __init__(self, blocks: list[str]):
+        self.by_head: dict[str, list[tuple[int, int, re.Pattern[str]]]] = {}
+        inside: dict[str, list[tuple[int, int, re.Pattern[str]]]] = {}
+        for number, block in enumerate(blocks):
+            for phrase in _items(block):
+                parts = [skeleton_part(p) for p in _trimmed(phrase).split("*")]
+                if not any(p.strip() for p in parts):
+                    continue
+                pattern, letters = re.compile(".*".join(map(re.escape, parts)) + "$"), sum(map(len, parts))
+                if len(parts[0]) >= self.HEAD:
+                    self.by_head.setdefault(parts[0][: self.HEAD], []).append((number, self.HEAD_PART * letters, pattern))
+                else:
+                    inside.setdefault(max(parts, key=len), []).append((number, self.INSIDE_PART * letters, pattern))
+        self.automaton = ahocorasick.Automaton()
+        for part, patterns in inside.items():
+            self.automaton.add_word(part, patterns)
+        self.automaton.make_automaton()
+
+    def may(self, key: str) -> bool:
+        """Whether any phrase can stand in a key."""
+        return key[: self.HEAD] in self.by_head or next(self.automaton.iter(key), None) is not None
+
+    def number(self, key: str) -> int | None:
+        """Number of the first list with a phrase that is the whole key."""
+        found = None
+        for number, longest, pattern in self.by_head.get(key[: self.HEAD], ()):
+            if (found is None or number < found) and longest >= len(key) and pattern.match(key):
+                found = number
+        for _, patterns in self.automaton.iter(key):
+            for number, longest, pattern in patterns:
+                if (found is None or number < found) and longest >= len(key) and pattern.match(key):
+                    found = number
+        return found
 
 
 def _trimmed(phrase: str) -> str:
@@ -201,17 +213,28 @@ def skeleton_part(text: str) -> str:
 
 LABEL_KEYS = frozenset(skeleton(x) for x in _items(LABELS))
 RELATED_KEYS = frozenset(skeleton(x) for x in _items(RELATED))
-FRAME_PHRASES, MESSAGE_PHRASES, FILLER_PHRASES = Phrases(FRAME), Phrases(MESSAGES), Phrases(FILLERS)
-#: Fixed parts of all phrases without a fixed beginning; a line without any of them needs only :meth:`Phrases.begins`.
-INSIDE = ahocorasick.Automaton()
-for _phrases in (FRAME_PHRASES, MESSAGE_PHRASES, FILLER_PHRASES):
-    for _part, _ in _phrases.inside:
-        INSIDE.add_word(_part, True)
-INSIDE.make_automaton()
-_NOTE_PARTS = tuple(_NON_ASCII.sub("", x) for x in _items(NOTES))
+#: Messages are tried before fillers, and these before phrases of the frame.
+PHRASES = Phrases([MESSAGES, FILLERS, FRAME])
+
+
+def _automaton(words: list[str]) -> ahocorasick.Automaton:
+    made = ahocorasick.Automaton()
+    for word in words:
+        made.add_word(word, True)
+    made.make_automaton()
+    return made
+
+
+_NOTE_AUTOMATON = _automaton([_NON_ASCII.sub("", x) for x in _items(NOTES)])
+_LATIN_AUTOMATON = _automaton([w for w in LATIN_FILLER if len(w) > 4])  # one of these is in any line that is mostly of the filler's words
 
 
 def has_note(line: str) -> bool:
     """A note to the author stands in the line; letters outside ASCII are left out of the comparison."""
     bare = line if line.isascii() else line.encode("ascii", "ignore").decode()
-    return any(x in bare for x in _NOTE_PARTS)
+    return next(_NOTE_AUTOMATON.iter(bare), None) is not None
+
+
+def has_latin(key: str) -> bool:
+    """A word of the filler stands in a lower-cased text."""
+    return next(_LATIN_AUTOMATON.iter(key), None) is not None

@@ -14,13 +14,14 @@ from __future__ import annotations
 import re
 from collections import deque
 
-from corpusloom.llm.lexicon import FILLER_PHRASES, FRAME_PHRASES, INSIDE, LABEL_KEYS, MESSAGE_PHRASES, RELATED_KEYS, skeleton
+from corpusloom.llm.lexicon import LABEL_KEYS, RELATED_KEYS, skeleton
+from corpusloom.llm.lexicon import PHRASES as KNOWN
 
 # Kinds of lines; the page operators share them.
 PROSE, HEADING, LIST, TABLE, TITLE, RELATED, FRAME, OTHER, MESSAGE, FILLER = range(10)
 
-#: Lists of phrases in the order they are tried.
-_PHRASES = ((MESSAGE_PHRASES, MESSAGE), (FILLER_PHRASES, FILLER), (FRAME_PHRASES, FRAME))
+#: Kinds of the lists of phrases.
+_PHRASES = (MESSAGE, FILLER, FRAME)
 
 #: Log-odds (in hundredths) that a line of a kind belongs to the frame.
 SCORES = {PROSE: -400, HEADING: -600, LIST: -150, TABLE: -300, TITLE: -60, RELATED: 500, FRAME: 500, OTHER: -120, MESSAGE: -200, FILLER: -500}
@@ -46,9 +47,9 @@ _SENTENCES = re.compile(r"(?<=[^\W\d_][.!?…])\s+(?=[^\W\d_a-z])")
 _DIGITS = re.compile(r"[0-9]+")
 #: Longer than any label of a menu.
 LABEL_LENGTH = max(map(len, LABEL_KEYS | RELATED_KEYS)) + 4
-#: Beginnings of all phrases that have a fixed one.
-HEADS = frozenset(h for phrases in (FRAME_PHRASES, MESSAGE_PHRASES, FILLER_PHRASES) for h in phrases.by_head) | {x[: FRAME_PHRASES.HEAD] for x in RELATED_KEYS}
-_URL = re.compile(r"https?:|www\.|\w\.(?:example|test|com|org|net)\b")
+#: Beginnings of all labels and heads of boxes.
+LABEL_HEADS = frozenset(x[: KNOWN.HEAD] for x in RELATED_KEYS | LABEL_KEYS)
+_URL = re.compile(r"\.(?:example|test|com|org|net)\b|https?:|www\.")
 
 
 def _labels(parts: list[str]) -> int:
@@ -63,29 +64,26 @@ def line_kind(line: str) -> int:
     return shape_kind(line) if kind is None else kind
 
 
-def phrase_kind(line: str) -> int | None:
+def phrase_kind(line: str, key: str | None = None, parts: list[str] | None = None) -> int | None:
     """Kind that the fixed phrases give a line of any length, None if they say nothing.
 
     A phrase must make up a part of what it is found in.  It may be the whole line; of a line of more than two sentences
     the first one must be a phrase of the frame, or half of them messages or fillers.
     """
-    low = line.lower()
-    if not low.isascii():
-        low = low.encode("ascii", "ignore").decode()
-    low = " ".join(low.split())
-    inside = next(INSIDE.iter(low if low.isalpha() else _DIGITS.sub("0", low)), None) is not None
-    key = skeleton(line)
-    bare = _MARK.sub("", key)
-    if len(line) > LABEL_LENGTH:
-        if not inside and bare[: FRAME_PHRASES.HEAD] not in HEADS and _SEPARATED.search(line) is None:
-            return None
+    bare = _MARK.sub("", skeleton(line) if key is None else key)
+    if parts is None:
+        parts = parted(line)
+    known = KNOWN.may(bare)
+    if not known and len(parts) < 2 and (len(line) > LABEL_LENGTH or bare[: KNOWN.HEAD] not in LABEL_HEADS):
+        return None
+    if known and len(line) > LABEL_LENGTH:
         sentences = _SENTENCES.split(line)
         if len(sentences) > 1:
-            keys = [_MARK.sub("", skeleton(x)) for x in sentences]
-            for phrases, kind in _PHRASES[:2]:
-                if 2 * sum(phrases.match(x) for x in keys) >= len(keys):
-                    return kind
-            if FRAME_PHRASES.match(keys[0]):
+            kinds = [KNOWN.number(_MARK.sub("", skeleton(x))) for x in sentences]
+            for number in (0, 1):
+                if 2 * kinds.count(number) >= len(kinds):
+                    return _PHRASES[number]
+            if kinds[0] == 2:
                 return FRAME
             if len(sentences) > 2:
                 return None
@@ -93,15 +91,14 @@ def phrase_kind(line: str) -> int | None:
         return FRAME
     if bare in RELATED_KEYS or bare.rstrip(" :") in RELATED_KEYS:
         return RELATED
-    for phrases, kind in _PHRASES:
-        if phrases.match(bare) if inside else phrases.begins(bare):
-            return kind
+    number = KNOWN.number(bare) if known else None
+    if number is not None:
+        return _PHRASES[number]
     head, colon, _ = bare.partition(" : ")
     if not colon:
         head, colon, _ = bare.partition(": ")
     if colon and head in RELATED_KEYS:
         return FRAME
-    parts = [p for p in _SEPARATED.split(line) if p.strip()]
     if len(parts) > 1:
         hits = _labels(parts)
         if hits and (hits * 2 >= len(parts) or skeleton(parts[0]) in LABEL_KEYS):
@@ -109,6 +106,11 @@ def phrase_kind(line: str) -> int | None:
     return None
 
 
+def parted(line: str) -> list[str]:
+    """Items of a line between separators."""
+    return [p for p in _SEPARATED.split(line) if p.strip()] if _SEPARATED.search(line) else [line]
+
+
 def shape_kind(line: str) -> int:
     """Kind of a line by its shape alone."""
     if line[0] == "#":
@@ -216,26 +218,30 @@ class Page:
         return [i for i, out in enumerate(self.frame) if not out]
 
 
-def place_messages(lines: list[str], kinds: list[int], score: list[int]) -> None:
+def message_scores(kinds: list[int], scripts: list[bool]) -> dict[int, int]:
     """Scores of server and browser messages by their place.
 
     Beside content of any kind a request to allow scripts is a notice of the frame, and so is another
     message above the first line of real content, below the last one, or between two lines of
     the frame; elsewhere it stands for content.  On a page without content it is the main body.
     """
+    if MESSAGE not in kinds:
+        return {}
     own = sum(k not in (FRAME, RELATED, MESSAGE, HEADING, TITLE) for k in kinds)
     content = [i for i, k in enumerate(kinds) if k in (PROSE, LIST, TABLE)]
     first = min(content[0], next((i for i, k in enumerate(kinds) if k == HEADING), content[0])) if content else 0
     last = len(kinds) - 1
+    out = {}
     for i, kind in enumerate(kinds):
         if kind != MESSAGE:
             continue
-        if own > 1 and _SCRIPTS.search(lines[i]):
-            score[i] = 300
-        elif content and (i < first or i > content[-1] and i < last):
-            score[i] = 300
+        if own > 1 and scripts[i] or content and (i < first or i > content[-1] and i < last):
+            out[i] = 300
         elif content and 0 < i < last and kinds[i - 1] in (FRAME, RELATED) and kinds[i + 1] in (FRAME, RELATED):
-            score[i] = 100
+            out[i] = 100
+        else:
+            out[i] = SCORES[MESSAGE]
+    return out
 
 
 #: Words of notices that a page needs scripts or is still loading.
@@ -248,8 +254,8 @@ def label_lines(lines: list[str], kinds: list[int], title: str | None) -> list[b
         return [False] * len(lines)
     score = [SCORES[k] for k in kinds]
     kinds = list(kinds)
-    if MESSAGE in kinds:
-        place_messages(lines, kinds, score)
+    for i, s in message_scores(kinds, [k == MESSAGE and _SCRIPTS.search(x) is not None for k, x in zip(kinds, lines, strict=True)]).items():
+        score[i] = s
     for i in own_titles(lines, title):
         score[i], kinds[i] = -600, HEADING
     edges = box_edges(kinds, score)

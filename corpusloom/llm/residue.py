@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import columns, map_rows, salted_semi, spread
-from corpusloom.llm.lexicon import FIELDS, LATIN_FILLER, has_note, skeleton
+from corpusloom.llm.lexicon import FIELDS, LATIN_FILLER, has_latin, has_note, skeleton
 from corpusloom.llm.mojibake import Repairer, repaired
 from corpusloom.llm.page import _SENTENCES, FILLER, HEADING, MESSAGE, Classifier, Page
 from corpusloom.storage import checkpointed
@@ -69,10 +69,6 @@ def has_placeholder(line: str) -> bool:
     return False
 
 
-#: One of these is in any line that is mostly of the filler's words.
-LATIN_MARKS = tuple(sorted(w for w in LATIN_FILLER if len(w) > 4))
-
-
 def is_latin_filler(line: str) -> bool:
     words = re.findall(r"[^\W\d_]+", line.lower())
     return len(words) >= 5 and sum(w in LATIN_FILLER for w in words) * 10 >= len(words) * 7
@@ -93,7 +89,7 @@ def page_signs(page: Page) -> list[tuple[int, str]]:
     body = "\n".join([page.lines[i] for i in at])
     low = body.lower()
     placeholders = any(x in body for x in _OPENERS) and _PLACEHOLDER.search(body) is not None
-    notes, latin = has_note(body), any(w in low for w in LATIN_MARKS)
+    notes, latin = has_note(body), has_latin(low)
     own = [i for i in at if page.kinds[i] != HEADING]
     bare = len(own) <= BARE_LINES and all(len(_SENTENCES.split(page.lines[i])) <= 2 for i in own)
     signs = []

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from corpusloom.llm.common import columns, map_rows, spread
 from corpusloom.llm.mojibake import Repairer, repaired
 from corpusloom.llm.page import FILLER, LIST, MESSAGE, TABLE, TITLE, Classifier, Page
-from corpusloom.llm.residue import LATIN_MARKS, has_placeholder, is_latin_filler
+from corpusloom.llm.lexicon import has_latin
+from corpusloom.llm.residue import has_placeholder, is_latin_filler
 
 #: Fixed function words of the five languages; a list of nouns has none of them.
 _FUNCTION = """
@@ -162,7 +163,7 @@ def is_spam(page: Page, readable: Callable[[str], bool] | None = None) -> bool:
     at = page.body()
     body = [page.lines[i] for i in at if page.kinds[i] not in (TABLE, FILLER, MESSAGE)]
     low = "\n".join(body).lower()
-    if any(w in low for w in LATIN_MARKS):
+    if has_latin(low):
         body = [x for x in body if not is_latin_filler(x)]
     body = [x for x in body if not has_placeholder(x)]
     listed = [page.lines[i] for i in at if page.kinds[i] not in (FILLER, MESSAGE) and len(page.lines[i]) > 40]
