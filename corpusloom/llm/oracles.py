@@ -23,6 +23,14 @@ SQL: dict[str, str] = {
     + """
 SELECT l.doc_id, l.line_no FROM lettered l JOIN spans s ON l.root = s.root AND l.k = s.k JOIN sizes z ON z.root = l.root
 WHERE s.docs >= 5 AND s.docs * 20 >= z.n""",
+    "p3_block_lines": _LINES
+    + """
+, following AS (
+  SELECT doc_id, root, line_no, k, lead(k) OVER w AS k2, lead(line_no) OVER w AS next_no FROM lettered WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+pairs AS (SELECT root, k, k2, count(DISTINCT doc_id) AS docs FROM following WHERE k2 IS NOT NULL GROUP BY root, k, k2)
+SELECT DISTINCT f.doc_id, CAST(unnest(range(f.line_no, f.next_no + 1)) AS INTEGER) AS line_no
+FROM following f JOIN pairs p ON f.root = p.root AND f.k = p.k AND f.k2 = p.k2 JOIN sizes z ON z.root = f.root
+WHERE p.docs >= 5 AND p.docs * 20 >= z.n""",
     "p3_cleaned": _LINES
     + """
 , hits AS (

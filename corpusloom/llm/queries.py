@@ -48,6 +48,11 @@ def p3_found(spark: SparkSession, path: str) -> DataFrame:
     return repeated.repeated_lines(_docs(spark, path))
 
 
+def p3_block_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of blocks of two and more lines that span many documents of their root as blocks."""
+    return repeated.repeated_block_lines(_docs(spark, path))
+
+
 def p3_cleaned(spark: SparkSession, path: str) -> DataFrame:
     return repeated.without_repeated_lines(_docs(spark, path))
 
@@ -123,7 +128,7 @@ def p10_found(spark: SparkSession, path: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_main_text, p2_found, p2_messages, p3_found, p3_cleaned, p4_found, p4_statistics, p5_found, p5_classes, p6_found,
+        p1_found, p1_main_text, p2_found, p2_messages, p3_found, p3_block_lines, p3_cleaned, p4_found, p4_statistics, p5_found, p5_classes, p6_found,
         p6_languages, p7_found, p7_restored, p7_titles, p8_packed, p8_report, p9_mix, p9_shares, p10_found,
     )
 }

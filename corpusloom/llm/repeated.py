@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import columns, spread
+from corpusloom.llm.common import columns, salted, salted_semi, spread
+from corpusloom.storage import written
 
 #: A block counts if it stands in so many documents and in such a part of the documents of its root.
 MIN_DOCS, MIN_PART = 5, 0.05
 
-#: Longest common prefix that is followed; longer blocks are chains of overlapping ones.
+#: Lines of a suffix that the sort compares.  A longer block that spans many documents is a chain of overlapping ones of
+#: this length, each of which spans as many, so the lines that blocks cover do not depend on it.
 DEPTH = 4
 
 _SPACES = re.compile(r"[ \t\r]+")
@@ -38,12 +40,13 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, root_col: str) -> DataF
     return columns(docs, id=id_col, text=text_col, root=root_col).where("root IS NOT NULL AND id IS NOT NULL").select("id", "text", _root("root").alias("root"))
 
 
-_NAMES = ["root", *(f"s{k}" for k in range(DEPTH)), "first", "id", "line_no"]
-_DDL = "root bigint, " + ", ".join(f"s{k} bigint" for k in range(DEPTH)) + ", first int, id bigint, line_no int"
+_LINES = [f"s{k}" for k in range(DEPTH)]
+_NAMES = ["root", *(f"s{k}" for k in range(DEPTH)), "first", "id", "line_no", "next_no"]
+_DDL = "root bigint, " + ", ".join(f"s{k} bigint" for k in range(DEPTH)) + ", first int, id bigint, line_no int, next_no int"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a line: the identifiers of it and the next lines of its document.  Bit d of ``first`` says that the
+    """One row a line with a letter: the identifiers of it and the next lines of its document.  Bit d of ``first`` says that the
     document has not had the same d + 1 lines before, so that summing bits counts documents."""
     memory: dict[str, int] = {}
     for batch in batches:
@@ -85,17 +88,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first[at] |= 1 << k
                     first[s[k] == 0] &= ~(1 << k)  # too near the end of the document for so long a block
             signed = [pa.array(x.view(np.int64)) for x in s]
+            following = np.array([*numbers[1:], 0], np.int32)
+            following = np.where(s[1] != 0, following, 0)  # number of the next line of the document, 0 after the last
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(roots, np.uint64).view(np.int64)), *signed, pa.array(first), pa.array([o[1] for o in owners], pa.int64()), pa.array(numbers, pa.int32())],
+                [pa.array(np.array(roots, np.uint64).view(np.int64)), *signed, pa.array(first), pa.array([o[1] for o in owners], pa.int64()), pa.array(numbers, pa.int32()), pa.array(following, pa.int32())],
                 names=_NAMES,
             )
 
 
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal prefixes in the sorted suffixes of one partition, as (root, depth, block, line, docs).
+def _intervals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Runs of equal prefixes in the sorted suffixes of one partition, as (root, depth, s0, ..., docs), lines beyond the depth being 0.
 
     A run at the edge of a partition may go on in the next one and is always given, with
-    its part of the count; an inner run is whole and is given only if it has enough.
+    its part of the count; an inner run is whole and is given only if it has at least ``least`` documents.
     """
     open_: list[tuple[tuple, int, bool] | None] = [None] * DEPTH
     last: np.ndarray | None = None
@@ -103,8 +108,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(k: int, run: tuple[tuple, int, bool], edge: bool) -> None:
         key, docs, from_edge = run
-        if key[k + 1] and docs and (edge or from_edge or docs >= MIN_DOCS):
-            out.append((key[0], k + 1, xxhash.xxh3_64_intdigest(repr(key[1 : k + 2])) - (1 << 63), key[1], docs))
+        if key[k + 1] and docs and (edge or from_edge or docs >= least):
+            out.append((key[0], k + 1, *key[1 : k + 2], *[0] * (DEPTH - k - 1), docs))
 
     for batch in batches:
         n = batch.num_rows
@@ -132,9 +137,9 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums = np.add.reduceat(bit, starts)
                 if open_[k] is not None:
                     done(k, open_[k], False)
-                for i in np.flatnonzero(sums[:-1] >= MIN_DOCS) if len(starts) > 1 else ():
+                for i in np.flatnonzero(sums[:-1] >= least) if len(starts) > 1 else ():
                     done(k, (tuple(m[:, starts[i]].tolist()), int(sums[i]), False), False)
-                if last is None and len(starts) > 1 and sums[0] < MIN_DOCS:
+                if last is None and len(starts) > 1 and sums[0] < least:
                     done(k, (tuple(m[:, 0].tolist()), int(sums[0]), True), True)
                 open_[k] = (tuple(m[:, starts[-1]].tolist()), int(sums[-1]), last is None and len(starts) == 1)
         last = whole[:, -1]
@@ -148,33 +153,34 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _interval_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["root", "depth", "block", "line", "docs"])
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * DEPTH, pa.int64()]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["root", "depth", *_LINES, "docs"])
 
 
-def repeated_blocks(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root_col: str = "rooturl", min_docs: int = MIN_DOCS, min_part: float = MIN_PART
-) -> DataFrame:
-    """(root, depth, block, line, docs): blocks of 1 to DEPTH lines that span many documents of one root.
-
-    The suffixes of the line sequences of all documents are sorted by (root, line ids),
-    which is the suffix array of each root's concatenated lines; runs of a common prefix
-    are its intervals.  The sort is by ranges with the document as last key, so a root or
-    a line that a third of all rows have is spread over many partitions; their parts of
-    an interval are added up.  Nothing is collected or broadcast.
-    """
+def suffix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root_col: str = "rooturl") -> tuple[DataFrame, DataFrame]:
+    """Suffixes of the line sequences of all documents, written once, and (root, n): the documents of each root."""
     rows = _inputs(docs, id_col, text_col, root_col)
-    order = ["root", *(f"s{k}" for k in range(DEPTH)), "id", "line_no"]
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = spread(rows).mapInArrow(_suffixes, _DDL).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    ordered = suffixes.select("root", *(f"s{k}" for k in range(DEPTH)), "first", "id", "line_no")
-    runs = ordered.mapInArrow(_intervals, "root bigint, depth int, block bigint, line bigint, docs bigint")
-    spans = runs.groupBy("root", "depth", "block", "line").agg(F.sum("docs").alias("docs"))
-    # the same hash as of the suffixes is taken in Python, once a distinct root
     counts = rows.groupBy("root").agg(F.countDistinct("id").alias("n"))
-    sizes = counts.mapInArrow(_hashed_roots, "root bigint, n bigint")
-    return spans.where(F.col("docs") >= min_docs).join(sizes, "root").where(F.col("docs") >= F.col("n") * min_part - 1e-9).select("root", "depth", "block", "line", "docs")
+    # the same hash as of the suffixes is taken in Python, once a distinct root
+    return written(spread(rows).mapInArrow(_suffixes, _DDL)), counts.mapInArrow(_hashed_roots, "root bigint, n bigint")
+
+
+def repeated_blocks(suffixes: DataFrame, sizes: DataFrame, min_docs: int = MIN_DOCS, min_part: float = MIN_PART) -> DataFrame:
+    """(root, depth, s0, ..., docs): blocks of 1 to DEPTH lines that span many documents of one root.
+
+    The suffixes are sorted by (root, line ids), which is the suffix array of each root's
+    concatenated lines; runs of a common prefix are its intervals.  The sort is by ranges with the
+    document as last key, so a root or a line that a third of all rows have is spread over
+    many partitions; their parts of an interval are added up.  Nothing is collected or broadcast.
+    """
+    order = ["root", *_LINES, "id", "line_no"]
+    partitions = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select("root", *_LINES, "first", "id", "line_no")
+    ddl = "root bigint, depth int, " + ", ".join(f"{x} bigint" for x in _LINES) + ", docs bigint"
+    runs = ordered.mapInArrow(lambda batches: _intervals(batches, min_docs), ddl)
+    spans = runs.groupBy("root", "depth", *_LINES).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    return salted(spans, sizes, ["root"], "s0").where(F.col("docs") >= F.col("n") * min_part - 1e-9).select("root", "depth", *_LINES, "docs")
 
 
 def _hashed_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +201,24 @@ def repeated_lines(
     cover most is the shortest one, since each line of a spanning block spans as many
     documents itself; hence occurrences are those of the first lines of all blocks.
     """
-    blocks = repeated_blocks(docs, id_col, text_col, root_col, min_docs, min_part)
-    keys = blocks.where("depth = 1").select("root", F.col("line").alias("s0"))
-    lines = spread(_inputs(docs, id_col, text_col, root_col)).mapInArrow(_suffixes, _DDL).select("root", "s0", "id", "line_no")
-    return lines.join(keys, ["root", "s0"], "left_semi").select(F.col("id").alias(id_col), "line_no")
+    suffixes, sizes = suffix_rows(docs, id_col, text_col, root_col)
+    keys = repeated_blocks(suffixes, sizes, min_docs, min_part).where("depth = 1").select("root", "s0")
+    return salted_semi(suffixes.select("root", "s0", "id", "line_no"), keys, ["root", "s0"], "id").select(F.col("id").alias(id_col), "line_no")
+
+
+def repeated_block_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root_col: str = "rooturl", min_docs: int = MIN_DOCS, min_part: float = MIN_PART
+) -> DataFrame:
+    """(id, line_no): every line within a block of two or more lines that spans many documents of its root as a block.
+
+    Fewer lines than :func:`repeated_lines` gives, since lines that recur each by itself are no block, and more, since what
+    stands between two lines of a block goes with it: blank lines, rules and other lines without a letter.  Longer blocks
+    are chains of pairs.  Rows that are equal in the input give their lines once.
+    """
+    suffixes, sizes = suffix_rows(docs, id_col, text_col, root_col)
+    keys = repeated_blocks(suffixes, sizes, min_docs, min_part).where("depth = 2").select("root", "s0", "s1")
+    pairs = salted_semi(suffixes.select("root", "s0", "s1", "id", "line_no", "next_no"), keys, ["root", "s0", "s1"], "id")
+    return pairs.select(F.col("id").alias(id_col), F.explode(F.sequence("line_no", "next_no")).alias("line_no")).distinct()
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", root_col: str = "rooturl", **limits) -> DataFrame:

@@ -50,13 +50,33 @@ def test_repeated_lines_equal_counting(spark, seed, partitions):
 def test_blocks_and_deletion(spark):
     rows = [(i, f"Mentions légales\nDonnées personnelles\ntexte {chr(97 + i)}", "http://h") for i in range(8)]
     docs = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id bigint, text string, rooturl string")
-    depth = {r.depth: r.docs for r in repeated.repeated_blocks(docs).where("depth = 2").collect()}
+    depth = {r.depth: r.docs for r in repeated.repeated_blocks(*repeated.suffix_rows(docs)).where("depth = 2").collect()}
     assert depth == {2: 8}  # rows that stand there three times count once
     clean = repeated.without_repeated_lines(docs.where("doc_id > 0")).collect()
     assert {r.doc_id: r.text for r in clean} == {i: f"texte {chr(97 + i)}" for i in range(1, 8)}
     assert repeated.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_blocks_of_several_lines_are_not_lines_of_their_own(spark):
+    """Depth 1 and 2 differ: lines that recur apart from each other are no block, and rules within a block go with it."""
+    block = "Share this\n---\n\nPrint this\nClose this\nLeave this\nDrop this\nLast of this"
+    rows = [(i, f"{block}\ntext {chr(97 + i)}\nAlone", "h") for i in range(6)] + [(10 + i, f"Alone\nother {chr(97 + i)}\nPrint this", "h") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, rooturl string")
+    got = sorted(tuple(r) for r in repeated.repeated_block_lines(docs).collect())
+    assert got == [(i, n) for i in range(6) for n in range(1, 9)]  # six lines, a rule and a blank one
+    single = {tuple(r) for r in repeated.repeated_lines(docs).collect()}
+    assert (0, 10) in single and (12, 3) in single and (0, 2) not in single
+    assert repeated.repeated_block_lines(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1, 2, 3, 4])
+def test_any_bound_of_documents(spark, bound):
+    rows = [(i, "\n".join(f"line {chr(97 + k)}" for k in range(6) if i < k + 1), "h") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, rooturl string")
+    want = sorted((i, n) for i in range(6) for n, k in enumerate(range(i, 6), 1) if k + 1 >= bound)
+    assert sorted(tuple(r) for r in repeated.repeated_lines(docs, min_docs=bound, min_part=0.0).collect()) == want
+
+
 # ---- near-duplicates ----
 
 
