@@ -21,6 +21,7 @@ _FIELDS = [
     ("id", pa.int64()), ("site", pa.int64()), ("place", pa.int32()), ("numbers", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64())),
     ("keys", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64())),
 ]
+_CLASSES = ("hashes", "ns", "ofs")
 _DDL = "id bigint, site bigint, place int, numbers array<int>, bits array<bigint>, keys array<bigint>, heads array<bigint>"
 
 
@@ -50,7 +51,7 @@ def _reader(keep_text: bool):
 
 
 def _counted(made: DataFrame) -> DataFrame:
-    """(uid, classes): of each document, the bits of those of its lines and beginnings that stand in several documents of its site.
+    """(uid, hashes, ns, ofs): of each document, those of its lines and beginnings that stand in several documents of its site, in how many, of how many.
 
     Counts are partial sums by (site, hash); only lines in two documents or more are joined back to the
     documents, in parts by a hash of the document, so a line that a third of a site's pages share is no single task.
@@ -60,13 +61,20 @@ def _counted(made: DataFrame) -> DataFrame:
     sizes = made.where("site IS NOT NULL").groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     known = salted(counts, sizes, ["site"], "hash").select("site", "hash", "n", "of")
     rows = salted(each, known, ["site", "hash"], "uid").select("uid", F.struct("hash", "n", "of").alias("x"))
-    return rows.groupBy("uid").agg(F.collect_list("x").alias("classes"))
+    own = rows.groupBy("uid").agg(F.collect_list("x").alias("x"))
+    return own.select("uid", F.col("x.hash").alias("hashes"), F.col("x.n").alias("ns"), F.col("x.of").alias("ofs"))
 
 
-def _full_bits(bits: list[int], keys: list[int], heads: list[int], classes: list[dict] | None) -> list[int]:
-    if not classes:
+def _lists(column: pa.ListArray) -> list[list]:
+    """Python lists of a column of lists of numbers, by one conversion of all values; null is an empty list."""
+    ends, values = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False).tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _full_bits(bits: list[int], keys: list[int], heads: list[int], hashes: list[int], ns: list[int], ofs: list[int]) -> list[int]:
+    if not hashes:
         return bits
-    known = {c["hash"]: (c["n"], c["of"]) for c in classes}
+    known = {h: (n, of) for h, n, of in zip(hashes, ns, ofs, strict=True)}
     out = []
     for b, k, h in zip(bits, keys, heads, strict=True):
         if k in known:
@@ -86,13 +94,13 @@ def _fitted(rows: DataFrame, documents: int) -> np.ndarray:
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, int] = {}
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for values in zip(*map(_lists, batch.columns), strict=True):
                 for b in _full_bits(*values):
                     found[b] = found.get(b, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["mask", "n"])
 
     below = min(linemodel.PLACES, MAX_FIT_DOCS * linemodel.PLACES // max(1, documents) + 1)
-    sample = rows.where(F.col("place") < below).select("bits", "keys", "heads", "classes")
+    sample = rows.where(F.col("place") < below).select("bits", "keys", "heads", *_CLASSES)
     counts = sample.mapInArrow(masks, "mask bigint, n bigint").groupBy("mask").agg(F.sum("n").alias("n"))
     got = counts.orderBy(F.desc("n"), "mask").limit(MAX_FIT_MASKS).collect()
     return linemodel.fit(np.array([r.mask for r in got], np.int64), np.array([r.n for r in got], np.int64))
@@ -108,7 +116,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, title_col: str, site_
     classes = checkpointed(_counted(made))
     joined = made.join(classes, "uid", "left")
     weights = _fitted(joined, made.count())
-    return joined.select("id", "numbers", "bits", "keys", "heads", "classes", *(["lines"] if keep_text else [])).mapInArrow(make(weights), ddl)
+    return joined.select("id", "numbers", "bits", "keys", "heads", *_CLASSES, *(["lines"] if keep_text else [])).mapInArrow(make(weights), ddl)
 
 
 def frame_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title", site_col: str = "source") -> DataFrame:
@@ -129,7 +137,7 @@ def frame_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             scorer = linemodel.Scorer(weights)
             for batch in batches:
                 ids, numbers = [], []
-                for key, own, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, own, *values in zip(batch.column(0).to_pylist(), *map(_lists, batch.columns[1:]), strict=True):
                     cut = [n for n, out in zip(own, scorer.label(_full_bits(*values)), strict=True) if out]
                     ids += [key] * len(cut)
                     numbers += cut
@@ -151,12 +159,12 @@ def main_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             scorer = linemodel.Scorer(weights)
             for batch in batches:
                 ids, texts = [], []
-                for key, _, bits, keys, heads, classes, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, lines, _, *values in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), *map(_lists, batch.columns[1:-1]), strict=True):
                     ids.append(key)
                     if lines is None:
                         texts.append(None)
                         continue
-                    label = scorer.label(_full_bits(bits, keys, heads, classes))
+                    label = scorer.label(_full_bits(*values))
                     texts.append("\n".join(line for line, out in zip(lines, label, strict=True) if not out))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "main_text"])
 

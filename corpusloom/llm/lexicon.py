@@ -163,7 +163,7 @@ class Phrases:
     a phrase must make up a part of the line, a larger one if it may stand anywhere.
     """
 
-    HEAD = 3
+    HEAD, LONG_HEAD = 3, 7
     HEAD_PART, INSIDE_PART = 24, 7
 
     def __init__(self, blocks: list[str]):
@@ -176,7 +176,8 @@ class Phrases:
                     continue
                 pattern, letters = re.compile(".*".join(map(re.escape, parts)) + "$"), sum(map(len, parts))
                 if len(parts[0]) >= self.HEAD:
-                    self.by_head.setdefault(parts[0][: self.HEAD], []).append((number, self.HEAD_PART * letters, pattern))
+                    head = parts[0][: self.LONG_HEAD if len(parts[0]) >= self.LONG_HEAD else self.HEAD]
+                    self.by_head.setdefault(head, []).append((number, self.HEAD_PART * letters, pattern))
                 else:
                     inside.setdefault(max(parts, key=len), []).append((number, self.INSIDE_PART * letters, pattern))
         self.automaton = ahocorasick.Automaton()
@@ -186,14 +187,15 @@ class Phrases:
 
     def may(self, key: str) -> bool:
         """Whether any phrase can stand in a key."""
-        return key[: self.HEAD] in self.by_head or next(self.automaton.iter(key), None) is not None
+        return key[: self.HEAD] in self.by_head or key[: self.LONG_HEAD] in self.by_head or next(self.automaton.iter(key), None) is not None
 
     def number(self, key: str) -> int | None:
         """Number of the first list with a phrase that is the whole key."""
         found = None
-        for number, longest, pattern in self.by_head.get(key[: self.HEAD], ()):
-            if (found is None or number < found) and longest >= len(key) and pattern.match(key):
-                found = number
+        for head in (key[: self.HEAD], key[: self.LONG_HEAD]):
+            for number, longest, pattern in self.by_head.get(head, ()):
+                if (found is None or number < found) and longest >= len(key) and pattern.match(key):
+                    found = number
         for _, patterns in self.automaton.iter(key):
             for number, longest, pattern in patterns:
                 if (found is None or number < found) and longest >= len(key) and pattern.match(key):
@@ -226,6 +228,7 @@ def _automaton(words: list[str]) -> ahocorasick.Automaton:
 
 
 _NOTE_AUTOMATON = _automaton([_NON_ASCII.sub("", x) for x in _items(NOTES)])
+_MARKS_AUTOMATON = _automaton([skeleton(x) for x in _items(NOTES)] + [w for w in LATIN_FILLER if len(w) > 4])
 _LATIN_AUTOMATON = _automaton([w for w in LATIN_FILLER if len(w) > 4])  # one of these is in any line that is mostly of the filler's words
 
 
@@ -235,6 +238,11 @@ def has_note(line: str) -> bool:
     return next(_NOTE_AUTOMATON.iter(bare), None) is not None
 
 
+def has_marks(key: str) -> bool:
+    """A note or a word of the filler may stand in a line of this skeleton."""
+    return next(_MARKS_AUTOMATON.iter(key), None) is not None
+
+
 def has_latin(key: str) -> bool:
     """A word of the filler stands in a lower-cased text."""
     return next(_LATIN_AUTOMATON.iter(key), None) is not None

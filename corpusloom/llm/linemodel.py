@@ -15,10 +15,10 @@ import re
 import numpy as np
 import xxhash
 
-from corpusloom.llm.lexicon import has_latin, has_note, skeleton
+from corpusloom.llm.lexicon import has_marks, has_note, skeleton
 from corpusloom.llm.page import (
-    _END, _MARK, _SCRIPTS, _SEPARATED, _URL, FILLER, FRAME, HEADING, LIST, MESSAGE, OTHER, PROSE, RELATED, TABLE, TITLE, Classifier, box_edges,
-    message_scores, minimum_cut, own_titles, parted, phrase_kind, shape_kind,
+    _MARK, _SCRIPTS, _SEPARATED, _URL, FILLER, FRAME, HEADING, LIST, MESSAGE, OTHER, PROSE, RELATED, TABLE, TITLE, Classifier, box_edges,
+    is_ended, message_scores, minimum_cut, own_titles, parted, phrase_kind, shape_kind,
 )
 from corpusloom.llm.residue import has_placeholder, is_latin_filler
 from corpusloom.llm.spam import FUNCTION_WORDS
@@ -46,7 +46,7 @@ PLACES = 1 << 30
 LIMIT, TITLE_SCORE, RESIDUE_SCORE = 600, -600, -500
 
 _DATE = re.compile(r"0[./-]0[./-]0|\(c\)")  # of a skeleton
-_WORDS = re.compile(r"[a-z]+")
+_NO_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}
 
 
 def document_class(n: int, of: int) -> int:
@@ -86,15 +86,15 @@ class LineReader:
             bits |= 1 << PHRASES[phrase]
             if phrase == MESSAGE and _SCRIPTS.search(line):
                 bits |= 1 << SCRIPT
-        if phrase == FILLER or has_placeholder(line) or has_note(line) or has_latin(key) and is_latin_filler(line):
+        if phrase == FILLER or has_placeholder(line) or has_marks(key) and (has_note(line) or is_latin_filler(line)):
             bits |= 1 << RESIDUE
         bits |= 1 << LENGTHS + min(7, max(0, len(line).bit_length() - 4))
-        words = _WORDS.findall(key)
-        letters = sum(map(len, words))
+        words, letters = key.split(), len(key.translate(_NO_LETTERS))
         head, colon, _ = line.partition(":")
         led = bool(colon) and len(head) < 30
-        bits |= bool(_END.search(line)) << ENDED | (len(parts) > 1) << PARTED | led << COLON
-        bits |= (sum(map(line.count, "0123456789")) * 10 > 3 * len(line)) << NUMBERS | ("©" in line or bool(_DATE.search(key))) << DATED
+        bits |= is_ended(line) << ENDED | (len(parts) > 1) << PARTED | led << COLON
+        bits |= ("0" in key and sum(map(line.count, "0123456789")) * 10 > 3 * len(line)) << NUMBERS
+        bits |= ("©" in line or "0" in key and bool(_DATE.search(key))) << DATED
         bits |= (bool(_URL.search(line)) or "@" in line) << LINKED | (sum(map(FUNCTION_WORDS.__contains__, words)) * 5 >= len(words) > 0) << FUNCTION
         bits |= bool(_MARK.match(line)) << MARKED | (len(words) <= 3) << FEW_WORDS | (letters * 2 < len(line)) << FEW_LETTERS
         own = key.lstrip("#-*> ")

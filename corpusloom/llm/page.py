@@ -39,7 +39,6 @@ _MARK = re.compile(r"^(?:[-–*•›»>]|\d{1,3}[.)])\s+")
 _TITLE_MARK = re.compile(r"^(?:-|[^\sA-Za-z0-9*•–]{1,12})\s+")
 _TITLE_SHAPE = re.compile(r"\s(?:[:–-]|[^\sA-Za-z0-9]{1,12})\s|\s\d{4}$|\(\d{4}\)$|, [A-ZÀ-Þ]\S*(?: [A-ZÀ-Þ]\S*)?$|^(?:\S+ )+[A-ZÀ-Þ]{3,}$")
 _ARTICLE = re.compile(r"^(?:le|la|les|l.|the|der|die|das|el|los|las|il|lo|gli|i|un|una|une)\b", re.I)
-_END = re.compile(r"[.!?…:;]['\"”»)\]\s]*$")
 _CELLS = re.compile(r"\||\t|;")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Ends of sentences within a line.
@@ -115,15 +114,14 @@ def shape_kind(line: str) -> int:
     """Kind of a line by its shape alone."""
     if line[0] == "#":
         return HEADING
-    if line.startswith("|") or line.count(";") > 2 or line.count("\t") > 1:
+    if line[0] == "|" or line.count(";") > 2 or line.count("\t") > 1:
         return TABLE
     if _URL.search(line):
         return OTHER
-    title = _TITLE_MARK.sub("", line)
-    capital = title[:1].isupper()
-    ended = bool(_END.search(line))
-    if capital and not ended and len(line) <= 110 and line[0] not in "*•–0123456789":
-        if _TITLE_SHAPE.search(title) or _ARTICLE.match(title):
+    ended = is_ended(line)
+    if not ended and len(line) <= 110 and line[0] not in "*•–0123456789":
+        title = _TITLE_MARK.sub("", line)
+        if title[:1].isupper() and (_TITLE_SHAPE.search(title) or _ARTICLE.match(title)):
             return TITLE
     if _MARK.match(line):
         return LIST
@@ -132,6 +130,14 @@ def shape_kind(line: str) -> int:
     return OTHER
 
 
+def is_ended(line: str) -> bool:
+    """Whether a line ends as a sentence."""
+    return line.rstrip("'\"”»)] \t\r")[-1:] in _ENDINGS
+
+
+_ENDINGS = frozenset(".!?…:;")
+
+
 class Classifier:
     """Kinds of lines with a bounded memory of short ones, since frames recur on every page of a site."""
 
