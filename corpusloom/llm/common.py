@@ -54,11 +54,11 @@ def salted(rows: DataFrame, keys: DataFrame, on: list[str], spread_by: str, how:
     """Join of many rows with few distinct keys, so that a key that a third of all rows have is no single task.
 
     Rows are cut into SALTS parts by a hash of ``spread_by`` and keys are repeated for each
-    part; no row is lost, and equal rows stay equal.
+    part; no row is lost, and equal rows stay equal.  Keys grow with the data, so they are never broadcast.
     """
     many = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     few = keys.withColumn("_salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    return many.join(few, [*on, "_salt"], how).drop("_salt")
+    return many.join(few.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def salted_semi(rows: DataFrame, keys: DataFrame, on: list[str], spread_by: str) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import columns, spread
-from corpusloom.storage import checkpointed
+from corpusloom.llm.common import columns, salted, salted_semi, spread
+from corpusloom.storage import checkpointed, written
 
 #: Shingle frequencies are counted in so many buckets: 1 MB of counts at any size of the corpus.
 BUCKETS = 1 << 18
@@ -28,6 +28,9 @@ LOW_LEVEL, LEVELS = -8, 33
 #: of agreeing samples estimates the weighted similarity with a deviation of at most 0.06, so this is four of them.
 LEAST_AGREEMENT = 0.6
 
+#: Where plain similarity decides, the weighted one must be so large a part of the threshold.
+LEAST_WEIGHTED = 0.5
+
 #: A bucket of more rows is compared block against block.
 BLOCK = 256
 
@@ -145,8 +148,11 @@ def shingle_idf(docs: DataFrame, size: int, min_words: int) -> np.ndarray:
     return np.log1p(df[BUCKETS] / np.maximum(df[:BUCKETS], 1)).astype(np.float32)
 
 
-def signatures(docs: DataFrame, size: int, min_words: int, idf: np.ndarray) -> DataFrame:
-    """(id, content, content2, sig, bands): two hashes of the set of shingles, one byte a sample, and one key a band."""
+def signatures(docs: DataFrame, size: int, min_words: int, idf: np.ndarray, short: bool = False) -> DataFrame:
+    """(id, content, content2, sig, bands): two hashes of the set of shingles, one byte a sample, and one key a band.
+
+    With ``short`` texts of too few words come out as well, with hashes of their words and without samples.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # BUCKETS floats
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +162,13 @@ def signatures(docs: DataFrame, size: int, min_words: int, idf: np.ndarray) -> D
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingler.hashes(text, min_words) if text and key is not None else None
                 if hashes is None:
+                    if short and text is not None and key is not None:
+                        data = b" ".join(shingler.words(text))
+                        ids.append(key)
+                        first.append(xxhash.xxh3_64_intdigest(b"\x00" + data) - (1 << 63))
+                        second.append(xxhash.xxh64_intdigest(data) - (1 << 63))
+                        sigs.append(None)
+                        bands.append(None)
                     continue
                 shingles, counts = np.unique(hashes, return_counts=True)
                 data = shingles.tobytes()
@@ -182,47 +195,51 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-def _band_rows(reps: DataFrame) -> DataFrame:
-    """(key, rep): one row a band of each representative."""
+def _band_rows(made: DataFrame) -> DataFrame:
+    """(key, content): one row a band of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "content"])
 
-    return reps.select("rep", "bands").mapInArrow(work, "key bigint, rep bigint")
+    return made.where("bands IS NOT NULL").select("content", "bands").mapInArrow(work, "key bigint, content bigint")
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: representatives that share a band, each pair once.
+def candidate_pairs(made: DataFrame) -> DataFrame:
+    """(a, b), a < b: hashes of different texts that share a band, each pair once.
 
-    Keys that only one representative has are dropped by a count, which spills, before
-    anything is paired.  A large bucket is cut into blocks by a hash of the id; each pair of
-    blocks is a group of its own, so no task holds a whole bucket and no pair is lost.
+    A key is shared if the least and the greatest text under it differ, two partial aggregates, so equal copies, however
+    many, cost one row a task and no bucket is collected.  Only rows of shared keys go on, each text once a key.  A large
+    bucket is cut into blocks by a hash of the text; each pair of blocks is a group of its own, so no
+    task holds a whole bucket and no pair is lost.
     """
-    # one shuffle by key: the count and the lists below use the same partitions
-    shared = _band_rows(reps).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    small = shared.where(F.col("n") <= BLOCK).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
+    rows = _band_rows(made)
+    shared = rows.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least <> most").select("key")
+    placed = checkpointed(salted_semi(rows, shared, ["key"], "content").distinct())
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    small = salted(placed, sizes.where(F.col("n") <= BLOCK), ["key"], "content").groupBy("key").agg(F.sort_array(F.collect_list("content")).alias("m"))
     pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    large = shared.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
+    large = salted(placed, sizes.where(F.col("n") > BLOCK), ["key"], "content").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    large = large.withColumn("block", F.expr("pmod(xxhash64(content), blocks)"))
     every = F.expr("transform(sequence(0L, blocks - 1), o -> struct(least(o, block) AS lo, greatest(o, block) AS hi))")
-    placed = large.select("key", "rep", "block", F.explode(every).alias("cell"))
-    groups = placed.groupBy("key", "cell").agg(
-        F.collect_list(F.when(F.col("block") == F.col("cell.lo"), F.col("rep"))).alias("left"),
-        F.collect_list(F.when(F.col("block") == F.col("cell.hi"), F.col("rep"))).alias("right"),
+    cells = large.select("key", "content", "block", F.explode(every).alias("cell"))
+    groups = cells.groupBy("key", "cell").agg(
+        F.collect_list(F.when(F.col("block") == F.col("cell.lo"), F.col("content"))).alias("left"),
+        F.collect_list(F.when(F.col("block") == F.col("cell.hi"), F.col("content"))).alias("right"),
     )
     crossed = groups.select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y")).where("x <> y")
     blocked = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.where("a < b").union(blocked).distinct()
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose samples agree often enough; only signatures of a fixed size are moved."""
+def _agreeing(pairs: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ids (a, b) whose samples agree often enough; only signatures of a fixed size are moved."""
     least = LEAST_AGREEMENT * threshold
-    sig = reps.select("rep", "sig")
-    joined = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    joined = joined.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    sig = made.where("sig IS NOT NULL").select("id", "sig")
+    joined = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    joined = joined.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,29 +258,37 @@ def near_duplicates(
     min_words: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
+    plain: bool = False,
+    short: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Members (id, rep) and links (a, b, jaccard, weighted) between representatives.
 
     Documents with equal sets of shingles are one class, represented by its least id.
-    Representatives are sampled by improved consistent weighted sampling over TF-IDF
-    weights, banded, compared by samples, and verified on the whole texts: a link has a
-    Jaccard similarity of the sets of at least ``threshold``; the weighted one is given
-    beside it.  Shuffled are ids, band keys and signatures of fixed size, and the shingles
-    of documents that have a surviving partner.  Texts that are null or shorter than
-    ``min_words`` words, and rows without an id, take no part; repeated rows change nothing.
+    Texts are sampled by improved consistent weighted sampling over TF-IDF
+    weights, banded, compared by samples, and verified on the whole texts: a link has a weighted
+    Jaccard similarity of at least ``threshold``.  With ``plain`` the similarity of the sets without
+    weights decides instead, after a weighted one of at least LEAST_WEIGHTED of the threshold.  Shuffled are ids, band keys
+    and signatures of fixed size, and the shingles of documents that have a surviving partner.  Texts that are null
+    or shorter than ``min_words`` words, and rows without an id, take no part, unless ``short`` puts equal
+    short texts into one class; repeated rows change nothing.
     """
     rows = spread(columns(docs, id=id_col, text=text_col))
     idf = shingle_idf(rows, size, min_words)
-    made = checkpointed(signatures(rows, size, min_words, idf))
-    classes = made.groupBy("content", "content2").agg(F.min("id").alias("rep"), F.min_by(F.struct("sig", "bands"), "id").alias("x")).select("content", "content2", "rep", "x.sig", "x.bands")
-    reps = checkpointed(classes)
-    members = made.select("id", "content", "content2").join(reps.select("content", "content2", "rep"), ["content", "content2"]).select("id", "rep").distinct()
-    pairs = checkpointed(_agreeing(candidate_pairs(reps), reps, threshold))
-    return members, verified(pairs, rows, threshold, size, min_words, idf)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, min_words: int, idf: np.ndarray) -> DataFrame:
-    """(a, b, jaccard, weighted): exact similarity of the sets of shingles of both texts."""
+    made = written(signatures(rows, size, min_words, idf, short))
+    classes = written(made.groupBy("content", "content2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")))
+    several = classes.where("n > 1").select("content", "content2", "rep")
+    copies = salted(made.select("id", "content", "content2"), several, ["content", "content2"], "id").select("id", "rep").distinct()
+    members = copies.union(classes.where("n = 1").select(F.col("rep").alias("id"), "rep"))
+    named = classes.select("content", "rep")
+    found = candidate_pairs(made).join(named.select(F.col("content").alias("a"), F.col("rep").alias("x")), "a")
+    found = found.join(named.select(F.col("content").alias("b"), F.col("rep").alias("y")), "b")
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+    pairs = checkpointed(_agreeing(found, made.dropDuplicates(["id"]), threshold))
+    return members, verified(pairs, rows, threshold, size, min_words, idf, plain)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, min_words: int, idf: np.ndarray, exact: bool = False) -> DataFrame:
+    """(a, b, jaccard, weighted): exact similarities of both texts, of their sets of shingles and of their weighted ones, which decides unless ``exact``."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # BUCKETS floats
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
@@ -296,7 +321,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, min
                 plain.append(len(both) / (len(x) + len(y) - len(both)))
                 low, high = np.minimum(p[at_x], q[at_y]).sum(), np.maximum(p[at_x], q[at_y]).sum()
                 weighted.append(low / (p.sum() + q.sum() - p[at_x].sum() - q[at_y].sum() + high))
-            keep = pa.array(np.array(plain) >= threshold, pa.bool_())
+            first, second = np.array(plain), np.array(weighted)
+            keep = pa.array((first >= threshold) & (second >= LEAST_WEIGHTED * threshold) if exact else second >= threshold, pa.bool_())
             out = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(plain, pa.float64()), pa.array(weighted, pa.float64())]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in out], names=["a", "b", "jaccard", "weighted"])
 
@@ -313,5 +339,5 @@ def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     across = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
     several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
     copies = members.join(several, "rep", "left_semi")
-    within = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
+    within = salted(copies.select("rep", F.col("id").alias("x")), copies.select("rep", F.col("id").alias("y")), ["rep"], "x").where("x < y").select("x", "y")
     return across.union(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))

@@ -66,15 +66,24 @@ def p4_statistics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, path: str) -> DataFrame:
-    members, links = neardup.near_duplicates(_docs(spark, path), threshold=0.6, size=3, min_words=50)
+    members, links = neardup.near_duplicates(_docs(spark, path), threshold=0.6, size=3, min_words=50, plain=True)
     return neardup.duplicate_pairs(members, links)
 
 
 def p5_classes(spark: SparkSession, path: str) -> DataFrame:
-    """Class and number of linked classes of each document, for five-word shingles and a similarity of 0.8."""
-    members, links = neardup.near_duplicates(_docs(spark, path))
+    """Class and number of linked classes of each document, for five-word shingles and a weighted similarity of 0.8; documents
+    without text are classes of their own, and shorter ones are alike if their words are."""
+    docs = _docs(spark, path)
+    members, links = neardup.near_duplicates(docs, short=True)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(degree, "rep", "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = members.join(degree, "rep", "left").withColumnRenamed("id", "doc_id")
+    every = docs.select("doc_id").distinct().join(own, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p5_links(spark: SparkSession, path: str) -> DataFrame:
+    """Links between the representatives of classes, of which :func:`p5_classes` gives the members."""
+    return neardup.near_duplicates(_docs(spark, path))[1].select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("weighted", 4).alias("similarity"))
 
 
 def _languages(spark: SparkSession, path: str, without_residue: bool = False, stretches: bool = False) -> DataFrame:
@@ -128,7 +137,7 @@ def p10_found(spark: SparkSession, path: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_main_text, p2_found, p2_messages, p3_found, p3_block_lines, p3_cleaned, p4_found, p4_statistics, p5_found, p5_classes, p6_found,
+        p1_found, p1_main_text, p2_found, p2_messages, p3_found, p3_block_lines, p3_cleaned, p4_found, p4_statistics, p5_found, p5_classes, p5_links, p6_found,
         p6_languages, p7_found, p7_restored, p7_titles, p8_packed, p8_report, p9_mix, p9_shares, p10_found,
     )
 }

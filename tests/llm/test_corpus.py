@@ -102,12 +102,32 @@ def test_near_duplicates_against_all_pairs(spark):
     texts = corpus(4)
     docs = spark.createDataFrame([*texts.items(), (5000, None), (5001, "few words"), (None, texts[0])], "doc_id bigint, text string")
     want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if jaccard(texts[a], texts[b], 3) >= 0.6}
-    members, links = neardup.near_duplicates(docs, 0.6, 3, 50)
+    members, links = neardup.near_duplicates(docs, 0.6, 3, 50, plain=True)
     got = {(r.doc_id_a, r.doc_id_b) for r in neardup.duplicate_pairs(members, links).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) > 20
     assert {r.id for r in members.collect()} == set(texts)
 
 
+def test_the_weighted_similarity_decides(spark):
+    """Texts that share what every text has and differ in what is rare are alike by sets and not by weights."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"r{i}x{k}" for k in range(20))])) for i in range(30)] + [(100, " ".join(f"w{k}" for k in range(90)))]
+    rows.append((101, rows[-1][1] + " end"))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = {(r.a, r.b) for r in neardup.near_duplicates(docs, 0.55, 3, 5, plain=True)[1].collect()}
+    links = neardup.near_duplicates(docs, 0.55, 3, 5)[1].collect()
+    assert {(r.a, r.b) for r in links} == {(100, 101)} and all(r.weighted >= 0.55 for r in links)
+    assert (100, 101) in plain and all(jaccard(dict(rows)[a], dict(rows)[b], 3) >= 0.55 for a, b in plain)
+
+
+def test_short_and_missing_texts_have_a_class(spark):
+    rows = [(1, "Few Words"), (2, "few  words"), (3, None), (4, ""), (5, " "), (6, "other words"), (7, "a b c d e f"), (8, "a b c d e f")]
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), short=True)
+    assert {r.id: r.rep for r in members.collect()} == {1: 1, 2: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7} and links.count() == 0
+
+
 def test_copies_are_one_class(spark):
     text = " ".join(f"w{i}" for i in range(80))
     rows = [(i, text) for i in range(40)] + [(100, text.upper()), (101, text + " end")]
@@ -121,8 +141,9 @@ def test_copies_are_one_class(spark):
 def test_large_buckets_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     keys = np.arange(1, neardup.BANDS + 1, dtype=np.int64)
-    reps = spark.createDataFrame([(i, bytearray(np.where(keys == 1, 1, keys * 1000 + i).astype(np.int64).tobytes())) for i in range(23)], "rep bigint, bands binary")
-    got = sorted((r.a, r.b) for r in neardup.candidate_pairs(reps).collect())
+    rows = [(i, bytearray(np.where(keys == 1, 1, keys * 1000 + i).astype(np.int64).tobytes())) for i in range(23)]
+    made = spark.createDataFrame([*rows, rows[3], rows[3], (50, None)], "content bigint, bands binary")
+    got = sorted((r.a, r.b) for r in neardup.candidate_pairs(made).collect())
     assert got == list(itertools.combinations(range(23), 2))
 
 
