@@ -36,8 +36,9 @@ MIN_READABLE = 0.45
 #: At most so many labelled samples and words are used for training; a bound, not a share of the input.
 MAX_SAMPLES = 5_000
 
-#: Bounds of the sample of labelled documents that widens the lexicon, and when a word belongs to a language.
-MAX_LABELLED, LABEL_DOCS, LABEL_SHARE = 3_000, 4, 0.75
+#: About so many labelled documents, those of least hash, widen the lexicon; when a word belongs to a language; and how many words
+#: at most are taken, the most frequent ones.
+MAX_LABELLED, LABEL_DOCS, LABEL_SHARE, MAX_WORDS = 3_000, 4, 0.75, 100_000
 
 #: A named language stands against another one of so little more weight.
 MARGIN = 0.1
@@ -157,27 +158,31 @@ class Tagger:
 def labelled_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MAX_LABELLED) -> list[tuple[str, str]]:
     """(language, word) of words that stand almost only in documents of one label.
 
-    Taken from a bounded sample: the ``most`` labelled documents of least hash.  A count
-    gives the hash below which about twice as many rows lie, so only those leave their
-    tasks.  Some labels are wrong, hence a word needs LABEL_SHARE of its documents, and
-    at least LABEL_DOCS, in one language.
+    Taken from a sample of about ``most`` labelled documents, those whose hash is below a bound that a count of rows
+    gives.  Texts stay in their tasks, which add up the documents of each word and label; words that are decided
+    reach the driver, at most MAX_WORDS.  Some labels are wrong, hence a word needs LABEL_SHARE of its
+    documents, and at least LABEL_DOCS, in one language.
     """
     whole = 1 << 31
-    below = min(whole, 2 * most * whole // max(1, docs.count()) + 1)
-    own = columns(docs, id=id_col, text=text_col, label=label_col).withColumn("place", F.pmod(F.xxhash64("id"), F.lit(whole)))
-    own = own.where(f"place < {below} AND text IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL")
-    rows = own.orderBy("place", "id").limit(most).select("text", "label").collect()
-    counts: dict[str, np.ndarray] = {}
-    for text, label in rows:
-        lang = named_language(label)
-        if lang is not None:
-            for word in set(_WORD.findall(_TARGET.sub(" ", text.lower()))):
-                counts.setdefault(word, np.zeros(len(LANGUAGES), np.int64))[LANGUAGES.index(lang)] += 1
-    return [
-        (LANGUAGES[int(n.argmax())], word)
-        for word, n in sorted(counts.items())
-        if n.max() >= LABEL_DOCS and n.max() >= LABEL_SHARE * n.sum()
-    ]
+    below = min(whole, most * whole // max(1, docs.count()) + 1)
+    own = columns(docs, id=id_col, text=text_col, label=label_col)
+    own = own.where(f"pmod(xxhash64(id), {whole}L) < {below} AND text IS NOT NULL AND label IS NOT NULL AND id IS NOT NULL").select("text", "label")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lang = named_language(label)
+                if lang is not None:
+                    for word in set(_WORD.findall(_TARGET.sub(" ", text.lower()))):
+                        counts[lang, word] = counts.get((lang, word), 0) + 1
+        langs, words = zip(*counts, strict=True) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
+
+    by_lang = own.mapInArrow(work, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = by_lang.groupBy("word").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.max("n").alias("n"), F.sum("n").alias("of"))
+    decided = words.where(F.col("n") >= LABEL_DOCS).where(F.col("n") >= LABEL_SHARE * F.col("of"))
+    return sorted(((r.lang, r.word) for r in decided.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()), key=lambda x: x[1])
 
 
 def train(
@@ -215,7 +220,10 @@ def train(
     at = {w: i for i, w in enumerate(types)}
     features = [word_features(w, lexicon) for w in types]
     flat = np.concatenate([np.array(f) for f in features])
-    owner = np.repeat(np.arange(len(types)), [len(f) for f in features])
+    sizes = np.array([len(f) for f in features])
+    starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(types)), sizes)
+    order = np.argsort(flat, kind="stable")  # occurrences by feature, to add up gradients without scattered writes
+    used, firsts = np.unique(flat[order], return_index=True)
     longest = max(len(s) for s, _ in sequences)
     ids, gold, mask = (np.zeros((len(sequences), longest), k) for k in (np.int64, np.int64, bool))
     for r, (s, y) in enumerate(sequences):
@@ -229,22 +237,20 @@ def train(
     np.add.at(moves, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
     first = np.bincount(gold[:, 0], minlength=n).astype(float)
     state = [np.zeros_like(x) for x in (weights, transition, start)]
-    used = np.unique(flat)
+    at_word, at_tag = ids[mask], np.arange(n)
     for _ in range(rounds):
-        emission = np.zeros((len(types), n))
-        np.add.at(emission, owner, weights[flat])
+        emission = np.add.reduceat(weights[flat], starts, axis=0)
         marginals, pairs, _ = forward_backward(emission[ids], mask, transition, start)
-        expected = np.zeros((len(types), n))
-        np.add.at(expected, ids[mask], marginals[mask])
+        found = marginals[mask]
+        expected = np.stack([np.bincount(at_word, found[:, k], len(types)) for k in at_tag], axis=1)
         gradient = np.zeros_like(weights)
-        np.add.at(gradient, flat, (target - expected)[owner])
+        gradient[used] = np.add.reduceat((target - expected)[owner[order]], firsts, axis=0)
         for value, grad, memory, penalty in (
             (weights, gradient, state[0], 0.05), (transition, moves - pairs, state[1], 0.5), (start, first - marginals[:, 0].sum(axis=0), state[2], 0.5),
         ):
             grad = grad - penalty * value
             memory += grad * grad
             value += 0.25 * grad / np.sqrt(memory + 1e-8)
-    assert len(used) <= FEATURES
     return Tagger(weights, transition, start, lexicon)
 
 

@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.llm.common import columns, map_rows, spread
 from corpusloom.llm.mojibake import Repairer, repaired
@@ -31,9 +32,9 @@ class Counts(NamedTuple):
     """Partial counts of a stretch of text; ``+`` of neighbours is associative.
 
     A word or a line may go on in the next stretch.  ``head`` and ``tail`` hold the
-    letters before the first and after the last white space, so that the word across
-    a seam is counted once; ``one`` marks a stretch without any white space, whose head
-    is all of it.  Lines are counted at their newline, hence ``last`` and ``blank``
+    first KEEP letters before the first and after the last white space, and ``head_n`` and ``tail_n``
+    how many there are, so that the word across a seam is counted once; ``one`` marks a stretch
+    without any white space, whose head is all of it.  Lines are counted at their newline, hence ``last`` and ``blank``
     hold the end and the emptiness of the open last line.
     """
 
@@ -48,18 +49,20 @@ class Counts(NamedTuple):
     ended: int = 0
     one: bool = True
     head: str = ""
+    head_n: int = 0
     tail: str = ""
+    tail_n: int = 0
     first_line: str = ""
     last_line: str = ""
     newline: bool = False
 
 
-#: Ends of lines that may still grow are kept only as far as the counts need them.
+#: Letters of an open word that are kept; a longer one is no common word, so only its length counts.
 KEEP = 64
 
 
-def _word(text: str, common: frozenset[str]) -> int:
-    return text.lower().strip(".,;:!?'’\"()«»“”-") in common
+def _word(text: str, common: frozenset[str], n: int = 0) -> int:
+    return n <= KEEP and text.lower().strip(".,;:!?'’\"()«»“”-") in common
 
 
 def _line(text: str) -> tuple[int, int]:
@@ -77,7 +80,7 @@ def count(text: str, common: frozenset[str]) -> Counts:
     return Counts(
         len(text), len(inner), sum(map(len, inner)), len(_SYMBOL.findall(text)), letters, len(_DIGIT.findall(text)),
         sum(_word(w, common) for w in inner), sum(a for a, _ in done), sum(b for _, b in done),
-        len(parts) == 1, parts[0], parts[-1] if len(parts) > 1 else "", _edge(rows[0]), _edge(rows[-1]) if len(rows) > 1 else "", len(rows) > 1,
+        len(parts) == 1, parts[0][:KEEP], len(parts[0]), parts[-1][:KEEP] if len(parts) > 1 else "", len(parts[-1]) if len(parts) > 1 else 0, _edge(rows[0]), _edge(rows[-1]) if len(rows) > 1 else "", len(rows) > 1,
     )
 
 
@@ -92,16 +95,16 @@ def merge(a: Counts, b: Counts, common: frozenset[str]) -> Counts:
     if not a.chars or not b.chars:
         return a if a.chars else b
     extra = (0, 0, 0)
+    front, back = ((a.head + b.head)[:KEEP], a.head_n + b.head_n), ((a.tail + b.head)[:KEEP], a.tail_n + b.head_n)
     if a.one and b.one:
-        one, head, tail = True, a.head + b.head, ""
+        one, head, tail = True, front, ("", 0)
     elif a.one:
-        one, head, tail = False, a.head + b.head, b.tail
+        one, head, tail = False, front, (b.tail, b.tail_n)
     elif b.one:
-        one, head, tail = False, a.head, a.tail + b.head
+        one, head, tail = False, (a.head, a.head_n), back
     else:
-        one, head, tail = False, a.head, b.tail
-        seam = a.tail + b.head
-        extra = (1, len(seam), _word(seam, common)) if seam else extra
+        one, head, tail = False, (a.head, a.head_n), (b.tail, b.tail_n)
+        extra = (1, back[1], _word(a.tail + b.head, common, back[1])) if back[1] else extra
     open_a = a.last_line if a.newline else a.first_line
     seam_line = b.first_line or open_a  # the end of the line across the seam
     lines = ended = 0
@@ -117,16 +120,16 @@ def merge(a: Counts, b: Counts, common: frozenset[str]) -> Counts:
     return Counts(
         a.chars + b.chars, a.words + b.words + extra[0], a.word_chars + b.word_chars + extra[1], a.symbols + b.symbols,
         a.letters + b.letters, a.digits + b.digits, a.common + b.common + extra[2], a.lines + b.lines + lines, a.ended + b.ended + ended,
-        one, head, tail, first, last, a.newline or b.newline,
+        one, *head, *tail, first, last, a.newline or b.newline,
     )
 
 
 def close(c: Counts, common: frozenset[str]) -> Counts:
     """Final counts: what stands at both ends of the text is no longer open."""
-    ends = [w for w in (c.head, c.tail) if w]
+    ends = [w for w in ((c.head, c.head_n), (c.tail, c.tail_n)) if w[1]]
     rows = [_line(c.first_line), _line(c.last_line) if c.newline else (0, 0)]
     return c._replace(
-        words=c.words + len(ends), word_chars=c.word_chars + sum(map(len, ends)), common=c.common + sum(_word(w, common) for w in ends),
+        words=c.words + len(ends), word_chars=c.word_chars + sum(n for _, n in ends), common=c.common + sum(_word(w, common, n) for w, n in ends),
         lines=c.lines + sum(a for a, _ in rows), ended=c.ended + sum(b for _, b in rows),
     )
 
@@ -142,33 +145,56 @@ def text_counts(text: str, common: frozenset[str], chunk: int = CHUNK) -> Counts
     return close(tree([count(text[i : i + chunk], common) for i in range(0, len(text), chunk)], common), common)
 
 
+_STATISTICS = ["n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_line_ratio", "common_word_ratio", "n_lines", "prose"]
+
+
 def quality_statistics(
     docs: DataFrame, common_words: Iterable[str], id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
     """(id, n_words, mean_word_length, symbol_ratio, digit_ratio, ended_line_ratio, common_word_ratio, n_lines, prose) per document.
 
     A text is cut into chunks whose partial counts are associative, with the open word
-    and the open line at both ends as boundary state; a tree merges them.  All chunks
-    of a row are in one task, so nothing is shuffled and the working set is one chunk
-    and its counts.  ``common_words`` is a small fixed list.  Null and empty texts give
+    and the open line at both ends as boundary state; a tree merges them.  Texts of one chunk, which are most, are
+    counted where they stand.  The chunks of longer ones are rows of their own, spread over all tasks; their partial counts,
+    some 200 bytes each, are brought together by document and merged.  No task holds more
+    of a text than it was read with.  ``common_words`` is a small fixed list.  Null and empty texts give
     zero counts and null ratios; repeated rows and null ids are kept.
     """
     common = frozenset(w.lower() for w in common_words if w)
+    types = dict(zip(_STATISTICS, [pa.int64(), *[pa.float64()] * 5, pa.int64(), pa.bool_()], strict=True))
+    ddl = ", ".join(f"{n} {'bigint' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'double'}" for n, t in types.items())
+    fields = [("id", pa.int64()), *types.items()]
+    partial = [("c" + n, pa.string() if isinstance(v, str) else pa.bool_() if isinstance(v, bool) else pa.int64()) for n, v in zip(Counts._fields, Counts(), strict=True)]
+    parts_ddl = ", ".join(f"{n} {'string' if t == pa.string() else 'boolean' if t == pa.bool_() else 'bigint'}" for n, t in partial)
+
+    rows = spread(columns(docs, id=id_col, text=text_col))
+    long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    short = map_rows(rows.where(~long), "id bigint, " + ddl, lambda: lambda key, text: [(key, *_ratios(text_counts(text or "", common, chunk)))], fields)
+    starts = F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))
+    cut = rows.where(long).withColumn("uid", F.expr("uuid()")).select("id", "uid", F.explode(starts).alias("part"), "text")
+    cut = cut.select("id", "uid", "part", F.substring("text", F.col("part") * chunk + 1, F.lit(chunk)).alias("text"))
+    # the identifiers are random, so the chunks are written before anything is joined by them
+    chunks = checkpointed(cut).repartition(rows.sparkSession.sparkContext.defaultParallelism, "uid", "part")
+    made = map_rows(
+        chunks, f"id bigint, uid string, part int, {parts_ddl}", lambda: lambda key, uid, part, text: [(key, uid, part, *count(text, common))],
+        [("id", pa.int64()), ("uid", pa.string()), ("part", pa.int32()), *partial],
+    )
+    listed = made.groupBy("id", "uid").agg(F.sort_array(F.collect_list(F.struct("part", *(n for n, _ in partial)))).alias("parts"))
 
-    def make():
-        def one(key, text):
-            c = text_counts(text or "", common, chunk)
-            share = lambda n, of: n / of if of else None
-            common_share, ended, symbols = share(c.common, c.words), share(c.ended, c.lines), share(c.symbols, c.chars)
-            prose = bool(c.words >= 20 and common_share >= 0.12 and ended >= 0.3 and symbols <= 0.1)
-            return [(key, c.words, share(c.word_chars, c.words), symbols, share(c.digits, c.chars), ended, common_share, c.lines, prose)]
+    def merged():
+        def one(key, parts):
+            return [(key, *_ratios(close(tree([Counts(*list(p.values())[1:]) for p in parts], common), common)))]
 
         return one
 
-    names = ["id", "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_line_ratio", "common_word_ratio", "n_lines", "prose"]
-    types = [pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.int64(), pa.bool_()]
-    schema = "id bigint, n_words bigint, " + ", ".join(f"{n} double" for n in names[2:7]) + ", n_lines bigint, prose boolean"
-    return map_rows(spread(columns(docs, id=id_col, text=text_col)), schema, make, list(zip(names, types, strict=True))).withColumnRenamed("id", id_col)
+    return short.union(map_rows(listed.select("id", "parts"), "id bigint, " + ddl, merged, fields)).withColumnRenamed("id", id_col)
+
+
+def _ratios(c: Counts) -> tuple:
+    share = lambda n, of: n / of if of else None
+    common_share, ended, symbols = share(c.common, c.words), share(c.ended, c.lines), share(c.symbols, c.chars)
+    prose = bool(c.words >= 20 and common_share >= 0.12 and ended >= 0.3 and symbols <= 0.1)
+    return c.words, share(c.word_chars, c.words), symbols, share(c.digits, c.chars), ended, common_share, c.lines, prose
 
 
 # ---- kinds of documents that are no prose ----

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import boilerplate, language, mixing, mojibake, neardup, packing, quality, repeated, residue, spam
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Bound of the fixed tables of samples and words that are collected to train and to tell words.
-MAX_FIXED_ROWS = 5_000
+#: Bound, for each language, of the fixed tables of samples and words that are collected to train and to tell words.
+MAX_FIXED_ROWS = 1_000
+#: Bound of the list of common words, which is used whole.
+MAX_COMMON_WORDS = 100_000
 
 
 def _docs(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +22,16 @@ def _docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, path: str, table: str, *names: str) -> list[tuple]:
-    return [tuple(r) for r in spark.read.parquet(f"{path}/{table}.parquet").select(*names).orderBy(*names).limit(MAX_FIXED_ROWS).collect()]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*names))
+    rows = spark.read.parquet(f"{path}/{table}.parquet").select("lang", *(n for n in names if n != "lang")).withColumn("_rank", rank)
+    return [tuple(r) for r in rows.where(F.col("_rank") <= MAX_FIXED_ROWS).orderBy("lang", *names).select(*names).collect()]
+
+
+def _common_words(spark: SparkSession, path: str) -> list[str]:
+    rows = spark.read.parquet(f"{path}/common_words.parquet").select("word").distinct().limit(MAX_COMMON_WORDS + 1).collect()
+    if len(rows) > MAX_COMMON_WORDS:
+        raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
+    return [r.word for r in rows if r.word]
 
 
 def _clean_sample(spark: SparkSession, path: str) -> list[str]:
@@ -62,7 +73,7 @@ def p4_found(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p4_statistics(spark: SparkSession, path: str) -> DataFrame:
-    return quality.quality_statistics(_docs(spark, path), [w for _, w in _fixed(spark, path, "common_words", "lang", "word")])
+    return quality.quality_statistics(_docs(spark, path), _common_words(spark, path))
 
 
 def p5_found(spark: SparkSession, path: str) -> DataFrame:

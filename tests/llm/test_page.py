@@ -318,3 +318,19 @@ def test_only_garbled_spans_change():
 def test_garbled_lines(spark):
     docs = documents(spark, [(1, "clÃ´ture\nok"), (2, None), (3, ""), (1, "clÃ´ture\nok")])
     assert [(r.doc_id, r.line_no, r.restored) for r in mojibake.garbled_lines(docs).collect()] == [(1, 1, "clôture")] * 2
+
+
+def test_long_texts_are_counted_in_parts(spark):
+    long = "Le chat dort la nuit, " * 5_000 + "x" * 70_000 + " fin."
+    docs = documents(spark, [(1, long), (2, "Le chat."), (1, long), (None, long), (3, None)])
+    for chunk in (1_000, 1 << 16, 1 << 24):
+        got = sorted((r.doc_id or 0, r.n_words, r.mean_word_length, r.common_word_ratio) for r in quality.quality_statistics(docs, ["le", "la"], chunk=chunk).collect())
+        words = long.split()
+        want = (len(words), pytest.approx(sum(map(len, words)) / len(words)), pytest.approx(10_000 / len(words)))
+        assert len(got) == 5 and [g[1:] for g in got if g[0] < 2] == [want] * 3
+
+
+def test_an_open_word_keeps_few_letters():
+    parts = [quality.count("x" * 1_000, frozenset()) for _ in range(50)]
+    whole = quality.tree(parts, frozenset())
+    assert len(whole.head) <= quality.KEEP and whole.head_n == 50_000 and quality.close(whole, frozenset()).word_chars == 50_000
