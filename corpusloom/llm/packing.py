@@ -53,11 +53,12 @@ def best_fit(loads: list[tuple[int, list]], capacity: int, separator: int) -> li
         if at < len(room):
             free, k = room.pop(at)
             used, held = out[k]
-            out[k] = (used + separator + size, held + contents)
+            held.extend(contents)
+            out[k] = (used + separator + size, held)
             free -= size + separator
         else:
             k = len(out)
-            out.append((size, contents))
+            out.append((size, list(contents)))
             free = capacity - size - separator
         if free >= 0:
             insort(room, (free, k))
@@ -91,7 +92,7 @@ def pack_documents(
     Hierarchical residual packing: every task packs its own documents by best-fit
     decreasing and closes containers that are nearly full; the others are loads for the
     next round, in which groups of at most GROUP are packed anew, until one group is
-    left or a round closes no container and joins none.  The rows that move are the
+    left, or a round closes no container and joins none, or the rounds are as many as a tree over the groups is high.  The rows that move are the
     underfull containers alone, with ids and sizes but no text.  A document is split only
     if it is longer than the capacity.  Empty text is an item of size 0; null text and
     null ids are left out; repeated rows are items of their own; specs without positive
@@ -139,14 +140,16 @@ def pack_documents(
     made = checkpointed(spread(columns(docs, id=id_col, text=text_col)).mapInArrow(first, _DDL))
     closed, open_ = [made.where("done")], made.where("NOT done")
     left = open_.count()
-    while left:
+    height = max(1, -(-left // GROUP)).bit_length() + 1
+    while left and height:
+        height -= 1
         groups = -(-left // GROUP)
         spread_out = open_.select("pack_name", "used", "items").repartition(max(groups, len(plan)) if groups > 1 else len(plan), *(["pack_name"] if groups == 1 else []))
         made = checkpointed(spread_out.mapInArrow(again, _DDL))
         closed.append(made.where("done"))
         open_ = made.where("NOT done")
         before, left = left, open_.count()
-        if groups == 1 or left > 0.99 * before:
+        if groups == 1 or left == before:
             break
     closed.append(open_)
     bins = closed[0]
@@ -165,3 +168,23 @@ def packing_report(placed: DataFrame, specs: DataFrame) -> DataFrame:
     joined = by_pack.join(specs.select("pack_name", "capacity_tokens", "separator_tokens"), "pack_name")
     used = F.col("tokens") + (F.col("items") - F.col("containers")) * F.coalesce("separator_tokens", F.lit(0))
     return joined.select("pack_name", "containers", "items", "tokens", (used / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def packing_faults(docs: DataFrame, placed: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(pack_name, documents, overfull, split, loose): what a packing must keep.
+
+    Documents placed, containers above their capacity, documents in several pieces though they fit into one container, and
+    containers beyond nine tenths of the capacity on average that a packing could do without: as many as
+    the least possible number and a ninth of it are allowed.
+    """
+    spec = specs.select("pack_name", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator")).where("capacity_tokens > 0")
+    bins = placed.groupBy("pack_name", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
+    whole = bins.join(spec, "pack_name").groupBy("pack_name").agg(
+        F.count_if(F.col("tokens") + (F.col("items") - 1) * F.col("separator") > F.col("capacity_tokens")).alias("overfull"),
+        F.greatest(F.lit(0), F.count(F.lit(1)) - F.ceil(F.sum("tokens") / F.first("capacity_tokens") * 10 / 9) - 1).alias("loose"),
+    )
+    own = placed.groupBy("pack_name", id_col).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    items = own.join(spec, "pack_name").groupBy("pack_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split")
+    )
+    return items.join(whole, "pack_name").select("pack_name", "documents", "overfull", "split", "loose")

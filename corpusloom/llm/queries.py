@@ -133,6 +133,11 @@ def p8_report(spark: SparkSession, path: str) -> DataFrame:
     return packing.packing_report(p8_packed(spark, path), spark.read.parquet(f"{path}/pack_specs.parquet"))
 
 
+def p8_faults(spark: SparkSession, path: str) -> DataFrame:
+    """Documents placed in each pack, and what breaks its rules."""
+    return packing.packing_faults(_docs(spark, path), p8_packed(spark, path), spark.read.parquet(f"{path}/pack_specs.parquet"))
+
+
 def p9_mix(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"))[0]
 
@@ -141,6 +146,20 @@ def p9_shares(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"))[1]
 
 
+def p9_full_mix(spark: SparkSession, path: str) -> DataFrame:
+    """Mixes of the size of all that their sources have: small sources are clamped at their repeats."""
+    return mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"), mixing.EVERYTHING)[0]
+
+
+def p9_full_shares(spark: SparkSession, path: str) -> DataFrame:
+    return mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"), mixing.EVERYTHING)[1]
+
+
+def p9_faults(spark: SparkSession, path: str) -> DataFrame:
+    """What breaks the rules of the clamped mixes, for each source."""
+    return mixing.mixing_faults(*mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"), mixing.EVERYTHING))
+
+
 def p10_found(spark: SparkSession, path: str) -> DataFrame:
     return spam.spam_documents(_docs(spark, path), sample=_clean_sample(spark, path))
 
@@ -149,6 +168,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_main_text, p2_found, p2_messages, p3_found, p3_block_lines, p3_cleaned, p4_found, p4_statistics, p5_found, p5_classes, p5_links, p6_found,
-        p6_languages, p7_found, p7_restored, p7_titles, p8_packed, p8_report, p9_mix, p9_shares, p10_found,
+        p6_languages, p7_found, p7_restored, p7_titles, p8_packed, p8_report, p8_faults, p9_mix, p9_shares, p9_full_mix,
+        p9_full_shares, p9_faults, p10_found,
     )
 }

@@ -369,3 +369,27 @@ def test_close_call_keeps_the_named_language(spark, tagger):
     rows = language.document_languages(docs, tagger, ["zorvat plimex quolst mertin vabrun doltek"]).collect()
     close = [r for r in rows if r.lang == r.named]
     assert len(rows) == 2 and len(close) >= 1
+
+
+def test_faults_of_packings_and_mixes_are_seen(spark):
+    table = specs(spark, [("a", 10, 1)])
+    docs = spark.createDataFrame([(i, "x") for i in range(4)], "doc_id bigint, text string")
+    good = [("a", "c1", 0, 0, 4), ("a", "c1", 1, 0, 5), ("a", "c2", 2, 0, 9)]
+    ddl = "pack_name string, container_id string, doc_id bigint, piece_no int, tokens bigint"
+    see = lambda rows: tuple(packing.packing_faults(docs, spark.createDataFrame(rows, ddl), table).first())
+    assert see(good) == ("a", 3, 0, 0, 0)
+    assert see([*good, ("a", "c2", 3, 0, 2)])[2] == 1 and see([*good, ("a", "c3", 3, 0, 2), ("a", "c4", 3, 1, 2)])[3] == 1
+    assert see([("a", f"c{i}", i, 0, 1) for i in range(9)])[4] > 0
+
+
+def test_a_mix_of_everything_clamps_small_sources(spark):
+    rows = [(i, "marché banque " * 9, "big") for i in range(300)] + [(900 + i, "marché banque " * 9, "small") for i in range(10)] + [(2000 + i, "marché banque " * 9, "mid") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 0.25, 2), ("m", "small", 0.5, 3), ("m", "mid", 0.25, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    mixed, report = mixing.mix_sources(docs, targets, mixing.EVERYTHING)
+    by = {r.source: r for r in report.collect()}
+    assert by["small"].capped and by["small"].epochs == 3 and by["small"].most_repeats == 3
+    assert by["big"].tokens == pytest.approx(by["mid"].tokens, rel=0.02) and sum(r.tokens for r in by.values()) == pytest.approx(sum(r.available for r in by.values()), rel=0.01)
+    assert not [r for r in mixing.mixing_faults(mixed, report).collect() if r.repeated or r.missed or r.unfair]
+    worse = report.withColumn("tokens", F.expr("IF(source = 'mid', tokens * 2, tokens)"))
+    assert [r.source for r in mixing.mixing_faults(mixed, worse).collect() if r.missed] == ["mid"]
