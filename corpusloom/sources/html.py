@@ -8,7 +8,9 @@ in Arrow batches of pages, each page on its own.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 from html.parser import HTMLParser
@@ -46,6 +48,11 @@ _IMPLIED = {
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select",)),
 }
+#: Elements that go on in the next block if the one they were opened in ends before them.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: What may stand directly in the parts of a table; anything else is put before the table.
+_IN_TABLE = frozenset("caption colgroup col tbody tfoot thead tr td th script style template form".split())
+_TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
 _HEAD_ONLY = frozenset(("title", "base", "meta", "link", "style", "script"))
 
 
@@ -75,11 +82,22 @@ class Node:
             stack += reversed(node.elements())
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                stack += reversed(node.children)
+        return "".join(out)
 
 
 class TreeBuilder(HTMLParser):
-    """Tree of a page with implied ends, an implied root, head and body, and formatting elements that go on over paragraphs left as they stand."""
+    """Tree of a page with implied ends, an implied root, head and body.
+
+    A formatting element that is still open when the block around it ends goes on in what follows, as a
+    new element of the same attributes; what stands in a table outside of its cells is put before the table.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -88,21 +106,76 @@ class TreeBuilder(HTMLParser):
         self.body: Node | None = None
         self.root.children.append(self.head)
         self.open = [self.root, self.head]
+        self.pending: list[Node] = []  # formatting elements to be opened again
+        self.held: Counter[str] = Counter()  # open elements by tag
+        self.deepest = 2
+
+    def _cut(self, at: int, closed: str = "") -> None:
+        """Take the open elements from a place on off the stack; formatting ones that were not closed by their tag go on later."""
+        for node in self.open[at:]:
+            if node.tag in FORMATTING and node.tag != closed and not any(p.tag == node.tag for p in self.pending):
+                self.pending.append(node)
+        self._drop(at)
+
+    def _push(self, node: Node) -> None:
+        self.open.append(node)
+        self.held[node.tag] += 1
+        self.deepest = max(self.deepest, len(self.open))
+
+    def _drop(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.held[node.tag] -= 1
+        del self.open[at:]
+
+    def _insert(self, child: Node | str, tag: str | None) -> None:
+        """Put a node or text below the innermost open element, or before the table it may not stand in."""
+        at = len(self.open) - 1
+        if self.open[at].tag in _TABLE_PARTS and tag not in _IN_TABLE:
+            while at > 1 and self.open[at].tag != "table":
+                at -= 1
+            table, parent = self.open[at], self.open[at].parent
+            if table.tag == "table" and parent is not None:
+                place = next(i for i, c in enumerate(parent.children) if c is table)
+                if isinstance(child, str):
+                    if place and isinstance(parent.children[place - 1], str):
+                        parent.children[place - 1] += child
+                        return
+                else:
+                    child.parent = parent
+                parent.children.insert(place, child)
+                return
+        siblings = self.open[-1].children
+        if isinstance(child, str) and siblings and isinstance(siblings[-1], str):
+            siblings[-1] += child
+        else:
+            siblings.append(child)
+
+    def _reopen(self) -> None:
+        """Open formatting elements again that an ended block has cut off."""
+        pending, self.pending = self.pending, []
+        for old in pending:
+            node = Node(old.tag, dict(old.attrs), self.open[-1])
+            self._insert(node, node.tag)
+            self._push(node)
 
     def _in_body(self) -> None:
         if self.body is None:
             self.body = Node("body", parent=self.root)
             self.root.children.append(self.body)
             self.open = [self.root, self.body]
+            self.held.clear()
 
     def _close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
-        for at in range(len(self.open) - 1, 1, -1):
-            if self.open[at].tag in tags:
-                del self.open[at:]
-                self._close(tags, limits)
-                return
-            if self.open[at].tag in limits:
+        if not any(self.held[tag] for tag in tags):
+            return
+        at = len(self.open) - 1
+        while at > 1:
+            tag = self.open[at].tag
+            if tag in tags:
+                self._cut(at, tag)
+            elif tag in limits:
                 return
+            at -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         named: dict[str, str] = {}
@@ -122,15 +195,29 @@ class TreeBuilder(HTMLParser):
         if tag in _ENDS_P:
             self._close(("p",), ("table", "td", "th", "caption", "button", "object"))
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._drop(len(self.open) - 1)
         if tag in _IMPLIED:
             self._close(*_IMPLIED[tag])
         if tag == "a":
             self._close(("a",), ("table", "td", "th", "caption", "object"))
+            self.pending = [p for p in self.pending if p.tag != "a"]
+        if tag in _IN_TABLE and tag not in ("script", "style", "template", "form"):
+            self._to_table()
+        elif self.pending and tag not in _ENDS_P and tag not in _IMPLIED and tag not in _HEAD_ONLY and self.body is not None:
+            self._reopen()
         node = Node(tag, named, self.open[-1])
-        self.open[-1].children.append(node)
+        self._insert(node, tag)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
+
+    def _to_table(self) -> None:
+        """Leave elements that were put before a table, so that its next part stands in the table again."""
+        for at in range(len(self.open) - 1, 1, -1):
+            if self.open[at].tag in ("td", "th", "caption"):
+                return
+            if self.open[at].tag in _TABLE_PARTS:
+                self._drop(at + 1)
+                return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash says nothing on an element that is not void
@@ -143,24 +230,25 @@ class TreeBuilder(HTMLParser):
             return
         for at in range(len(self.open) - 1, 1, -1):
             if self.open[at].tag == tag or tag in HEADINGS and self.open[at].tag in HEADINGS:
-                del self.open[at:]
+                self._cut(at, tag)
+                self.pending = [p for p in self.pending if p.tag != tag]
                 return
             if self.open[at].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
+        self.pending = [p for p in self.pending if p.tag != tag]
         if tag == "p":
             self.handle_starttag("p", [])
-            self.open.pop()
+            self._drop(len(self.open) - 1)
 
     def handle_data(self, data: str) -> None:
         if self.body is None and self.open[-1] in (self.root, self.head):
             if not data.strip():
                 return
             self._in_body()
-        siblings = self.open[-1].children
-        if siblings and isinstance(siblings[-1], str):
-            siblings[-1] += data
-        else:
-            siblings.append(data)
+        blank = not data.strip()
+        if self.pending and not blank and self.body is not None:
+            self._reopen()
+        self._insert(data, "script" if blank else None)
 
 
 def parse(html: str) -> Node:
@@ -169,48 +257,110 @@ def parse(html: str) -> Node:
     builder.feed(html or "")
     builder.close()
     builder._in_body()
+    _allow_depth(builder.deepest)
     return builder.root
 
 
+def _allow_depth(deepest: int) -> None:
+    """The walk calls itself a few times for each level of a page; these are calls of Python alone, which take no stack of the process."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * deepest + 10_000))
+
+
 # ---- display: the one style that decides about blocks ----
 
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)\s*(!important)?", re.I)
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)$")
-_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
+_TOKEN = re.compile(r"\s*([>+~])\s*|\s+|((?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+|\[[^\]]+\]|:[\w-]+(?:\([^()]*\))?)*)")
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]|:([\w-]+)(?:\(([^()]*)\))?")
+_TAG = re.compile(r"[a-zA-Z][\w-]*|\*")
+_NTH = re.compile(r"(?:([+-]?\d*)n)?\s*([+-]?\s*\d+)?$")
 
 
 class Selector(NamedTuple):
-    steps: tuple[tuple[str, str, tuple], ...]  # (combinator before, tag, parts), last one first
+    steps: tuple[tuple[str, str, tuple], ...]  # (combinator before, tag, parts), outermost first
     weight: tuple[int, int, int]
 
 
-def _selector(text: str) -> Selector | None:
-    """Selectors of tags, classes, ids and attributes with descendant and child combinators; None for others, which match nothing."""
-    steps, weight, combinator = [], [0, 0, 0], " "
-    for token in text.replace(">", " > ").split():
-        if token == ">":
-            combinator = ">"
+def _nth(text: str) -> tuple[int, int] | None:
+    """(a, b) of ``an+b``; None for anything else."""
+    text = {"odd": "2n+1", "even": "2n"}.get(text.strip().lower(), text.strip().lower())
+    m = _NTH.match(text)
+    if not text or not m:
+        return None
+    a = 0 if "n" not in text else int((m.group(1) or "+").replace("+", "+0") + "1") if m.group(1) in (None, "", "+", "-") else int(m.group(1))
+    a = -1 if m.group(1) == "-" else 1 if "n" in text and m.group(1) in (None, "", "+") else a
+    return a, int((m.group(2) or "0").replace(" ", ""))
+
+
+#: Pseudo-classes of the structure of a page; rules with any other one hold in no state of a page at rest.
+_STRUCTURAL = frozenset("first-child last-child only-child first-of-type last-of-type nth-child nth-last-child nth-of-type not empty root link any-link".split())
+
+
+def parse_selector(text: str) -> Selector | None:
+    """Selector of tags, classes, ids, attributes and structural pseudo-classes with all four combinators; None for others, which match nothing."""
+    steps, weight, combinator, at = [], [0, 0, 0], " ", 0
+    text = text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m or m.end() == at:
+            return None
+        at = m.end()
+        if m.group(1):
+            combinator = m.group(1)
+            continue
+        simple = m.group(2)
+        if not simple:
             continue
-        m = _SIMPLE.match(token)
-        if not m or not token:
+        tag = _TAG.match(simple)
+        parts = tuple(p.groups() for p in _PART.finditer(simple, tag.end() if tag else 0))
+        for p in parts:
+            if p[5] and (p[5] not in _STRUCTURAL or p[5].startswith("nth") and _nth(p[6] or "") is None or p[5] == "not" and parse_selector(p[6] or "") is None):
+                return None
+        if "::" in simple:
             return None
-        parts = tuple(p.groups() for p in _PART.finditer(m.group(2) or ""))
-        tag = (m.group(1) or "*").lower()
         weight[0] += sum(p[0] == "#" for p in parts)
-        weight[1] += sum(p[0] != "#" for p in parts)
-        weight[2] += tag != "*"
-        steps.append((combinator, tag, parts))
+        weight[1] += sum(p[0] != "#" and p[5] != "not" for p in parts)
+        for p in parts:
+            if p[5] == "not":
+                weight = [x + y for x, y in zip(weight, parse_selector(p[6]).weight, strict=True)]
+        name = tag.group().lower() if tag else "*"
+        weight[2] += name != "*"
+        steps.append((combinator, name, parts))
         combinator = " "
     return Selector(tuple(steps), tuple(weight)) if steps else None
 
 
+def _is_structural(node: Node, name: str, argument: str | None) -> bool:
+    if name == "root":
+        return node.parent is None
+    if name in ("link", "any-link"):
+        return node.tag in ("a", "area") and "href" in node.attrs
+    if name == "empty":
+        return not node.children
+    if name == "not":
+        return not matches(node, parse_selector(argument or ""))
+    if node.parent is None:
+        return False
+    siblings = [c for c in node.parent.elements() if "type" not in name or c.tag == node.tag]
+    place = next(i for i, c in enumerate(siblings, 1) if c is node)
+    if "last" in name:
+        place = len(siblings) + 1 - place
+    if name == "only-child":
+        return len(siblings) == 1
+    if name.startswith("nth"):
+        a, b = _nth(argument or "")
+        return (place - b) % a == 0 and (place - b) // a >= 0 if a else place == b
+    return place == 1
+
+
 def _matches_simple(node: Node, tag: str, parts: tuple) -> bool:
     if tag not in ("*", node.tag):
         return False
-    for mark, name, attr, op, value in parts:
-        if mark == ".":
+    for mark, name, attr, op, value, pseudo, argument in parts:
+        if pseudo:
+            if not _is_structural(node, pseudo, argument):
+                return False
+        elif mark == ".":
             if name not in node.attrs.get("class", "").split():
                 return False
         elif mark == "#":
@@ -227,12 +377,23 @@ def _matches_simple(node: Node, tag: str, parts: tuple) -> bool:
     return True
 
 
+def matches(node: Node, selector: Selector) -> bool:
+    return _matches(node, selector.steps)
+
+
 def _matches(node: Node, steps: tuple) -> bool:
     combinator, tag, parts = steps[-1]
     if not _matches_simple(node, tag, parts):
         return False
     if len(steps) == 1:
         return True
+    if combinator in "+~":
+        before = []
+        for c in node.parent.elements() if node.parent is not None else ():
+            if c is node:
+                break
+            before.append(c)
+        return any(_matches(c, steps[:-1]) for c in (before[-1:] if combinator == "+" else before))
     above = node.parent
     while above is not None:
         if _matches(above, steps[:-1]):
@@ -243,31 +404,77 @@ def _matches(node: Node, steps: tuple) -> bool:
     return False
 
 
+def select(root: Node, selectors: str) -> list[Node]:
+    """Elements below a node, in order, that any selector of a comma-separated list matches."""
+    wanted = [x for x in map(parse_selector, selectors.split(",")) if x]
+    return [n for n in root.walk() if n is not root and any(matches(n, x) for x in wanted)]
+
+
+def select_first(root: Node, selectors: str) -> Node | None:
+    return next(iter(select(root, selectors)), None)
+
+
+def _holds(condition: str) -> bool:
+    """Whether a media query holds for a screen; conditions on sizes are taken to hold."""
+    for part in condition.lower().split(","):
+        words = part.replace("(", " (").split()
+        negated = words[:1] == ["not"]
+        kinds = [w for w in words if w in ("all", "screen", "print", "speech", "tty", "tv", "projection", "handheld", "braille", "embossed", "aural")]
+        if (not kinds or kinds[0] in ("all", "screen")) != negated:
+            return True
+    return not condition.strip()
+
+
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet, also of those within conditions that hold."""
+    at, n = 0, len(css)
+    while at < n:
+        brace = css.find("{", at)
+        if brace < 0:
+            return
+        head = css[at:brace].rpartition(";")[2].strip() if "@" in css[at:brace] and ";" in css[at:brace] else css[at:brace].strip()
+        depth, end = 1, brace + 1
+        while end < n and depth:
+            depth += (css[end] == "{") - (css[end] == "}")
+            end += 1
+        body = css[brace + 1 : end - 1 if depth == 0 else end]
+        if head.lower().startswith("@media"):
+            if _holds(head[6:]):
+                yield from css_rules(body)
+        elif head.lower().startswith(("@supports", "@layer", "@document")):
+            yield from css_rules(body)
+        elif not head.startswith("@"):
+            yield head, body
+        at = end
+
+
 class Display:
     """Computed ``display`` of links and spans, from the style sheets of a page and inline styles."""
 
-    def __init__(self, root: Node):
+    def __init__(self, root: Node, sheets: Iterable[str] = ()):
         self.rules: list[tuple[bool, tuple, int, Selector, str]] = []
-        for sheet in (n.text() for n in root.walk() if n.tag == "style"):
-            self._add(_COMMENT.sub(" ", sheet))
+        for node in root.walk():
+            if node.tag == "style" and _holds(node.attrs.get("media", "")):
+                self._add(node.text())
+        for sheet in sheets:
+            self._add(sheet)
         self.rules.sort(key=lambda r: r[:3])
 
     def _add(self, css: str) -> None:
-        css = re.sub(r"@(?:media|supports)[^{]*\{", " ", css)
-        for head, body in _RULE.findall(css):
+        for head, body in css_rules(_COMMENT.sub(" ", css)):
             found = _DISPLAY.findall(body)
-            if not found or head.strip().startswith("@"):
+            if not found:
                 continue
             value, important = found[-1]
             for part in head.split(","):
-                selector = _selector(part.strip())
+                selector = parse_selector(part)
                 if selector:
                     self.rules.append((bool(important), selector.weight, len(self.rules), selector, value.lower()))
 
     def of(self, node: Node) -> str:
         value, forced = "", False
         for important, _, _, selector, display in self.rules:
-            if _matches(node, selector.steps):
+            if matches(node, selector):
                 value, forced = display, important
         inline = _DISPLAY.findall(node.attrs.get("style", ""))
         if inline and (not forced or inline[-1][1]):
@@ -385,8 +592,8 @@ class Row(NamedTuple):
 class Walker:
     """Rows of one page in preorder."""
 
-    def __init__(self, root: Node):
-        self.display, self.sections = Display(root), section_containers(root)
+    def __init__(self, root: Node, sheets: Iterable[str] = ()):
+        self.display, self.sections = Display(root, sheets), section_containers(root)
         self.governed = set(self.sections.values())
         self.title: str | None = None
         self.rows: list[Row] = []
@@ -463,7 +670,7 @@ class Walker:
             self.block(node)
             self.end()
         elif tag == "table":
-            self.tables.append({"row": 1, "col": 1, "taken": set()})
+            self.tables.append({"row": 1, "col": 1, "taken": []})
             self.start("Table")
             self.visit(node)
             self.end()
@@ -506,9 +713,14 @@ class Walker:
         open_.append(level)
 
     def cell(self, node: Node) -> None:
-        table = self.tables[-1] if self.tables else {"row": 1, "col": 1, "taken": set()}
-        while (table["row"], table["col"]) in table["taken"]:
-            table["col"] += 1
+        table = self.tables[-1] if self.tables else {"row": 1, "col": 1, "taken": []}
+        table["taken"] = [x for x in table["taken"] if x[0] >= table["row"]]
+        moved = True
+        while moved:  # past the cells of rows above that reach down to this one
+            moved = False
+            for last_row, first_col, last_col in table["taken"]:
+                if first_col <= table["col"] <= last_col:
+                    table["col"], moved = last_col + 1, True
         rows, cols = _span(node.attrs.get("rowspan")), _span(node.attrs.get("colspan"))
         row, col = table["row"], table["col"]
         self.begin_block()
@@ -516,22 +728,23 @@ class Walker:
         self.visit(node)
         self.end_block()
         self.end()
-        table["taken"].update((row + r, col + c) for r in range(1, min(rows, 65_535)) for c in range(min(cols, 1_000)))
+        if rows > 1 and cols > 0:
+            table["taken"].append((row + rows - 1, col, col + cols - 1))
         table["col"] += cols
 
 
-def page_rows(html: str) -> tuple[str | None, list[Row]]:
-    """Title and rows of a page."""
-    walker = Walker(parse(html))
+def page_rows(html: str, sheets: Iterable[str] = ()) -> tuple[str | None, list[Row]]:
+    """Title and rows of a page; ``sheets`` are the texts of its external style sheets."""
+    walker = Walker(parse(html), sheets)
     return walker.title, walker.rows
 
 
 # ---- links ----
 
 
-def page_links(html: str) -> list[tuple[int, str, str, bool]]:
+def page_links(html: str | Node) -> list[tuple[int, str, str, bool]]:
     """(pos, kind, href, nofollow) of anchors and areas with a target, then of canonical links; nothing if robots meta forbids to follow."""
-    root = parse(html)
+    root = parse(html) if isinstance(html, str) else html
     metas = [n.attrs.get("content", "").lower() for n in root.walk() if n.tag == "meta" and n.attrs.get("name", "").lower() == "robots"]
     if any("nofollow" in m or "none" in m for m in metas):
         return []
@@ -540,8 +753,18 @@ def page_links(html: str) -> list[tuple[int, str, str, bool]]:
     return [(i, *f) for i, f in enumerate(found)]
 
 
-def base_href(html: str) -> str | None:
-    return next((n.attrs["href"] for n in parse(html).walk() if n.tag == "base" and n.attrs.get("href")), None)
+def base_href(html: str | Node) -> str | None:
+    root = parse(html) if isinstance(html, str) else html
+    return next((n.attrs["href"] for n in root.walk() if n.tag == "base" and n.attrs.get("href")), None)
+
+
+def sheet_links(html: str | Node) -> list[str]:
+    """Addresses of the external style sheets of a page that hold for a screen, in order."""
+    root = parse(html) if isinstance(html, str) else html
+    return [
+        n.attrs["href"].strip() for n in root.walk()
+        if n.tag == "link" and "stylesheet" in n.attrs.get("rel", "").lower().split() and n.attrs.get("href", "").strip() and _holds(n.attrs.get("media", ""))
+    ]
 
 
 ELEMENTS_DDL = (
@@ -550,8 +773,11 @@ ELEMENTS_DDL = (
 )
 
 
-def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Element rows of each page; a page that cannot be walked gives one row with its error and never fails the task."""
+def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sheets_col: str | None = None) -> DataFrame:
+    """Element rows of each page, however deep; a page that cannot be walked gives one row with its error and never fails the task.
+
+    ``sheets_col`` names an array of the texts of a page's external style sheets; see :func:`with_sheets`.
+    """
     types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), *[pa.int32()] * 4, pa.string()]
     names = ["page_id", "title", "pos", "elt_type", "cmd", "nesting_level", "path", "text", "row", "rowspan", "col", "colspan", "error"]
     schema = pa.schema(list(zip(names, types, strict=True)))
@@ -559,11 +785,11 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, html, sheets in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if html is None:
                     continue
                 try:
-                    title, rows = page_rows(html)
+                    title, rows = page_rows(html, sheets or ())
                     out += [(key, title, *r, None) for r in rows]
                 except (RecursionError, ValueError) as problem:
                     out.append((key, None, 0, "Document", "Error", 0, [], *[None] * 5, type(problem).__name__))
@@ -573,7 +799,34 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
 
-    return spread(pages.select(F.col(id_col).cast("bigint"), F.col(html_col))).mapInArrow(work, ELEMENTS_DDL)
+    sheets = F.col(sheets_col) if sheets_col else F.lit(None).cast("array<string>")
+    return spread(pages.select(F.col(id_col).cast("bigint"), F.col(html_col), sheets)).mapInArrow(work, ELEMENTS_DDL)
+
+
+def html_sheets(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, pos, href) of the external style sheets of each page."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, i, x) for key, html in zip(*(c.to_pylist() for c in batch.columns), strict=True) if html and "stylesheet" in html.lower() for i, x in enumerate(sheet_links(html))]
+            keys, places, hrefs = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(hrefs, pa.string())], names=["page_id", "pos", "href"])
+
+    return spread(pages.select(F.col(id_col).cast("bigint"), F.col(html_col))).mapInArrow(work, "page_id bigint, pos int, href string")
+
+
+def with_sheets(pages: DataFrame, sheets: DataFrame, url_col: str = "url") -> DataFrame:
+    """Pages with ``sheets``: the texts of their external style sheets, from a table (url, css) of those that could be had.
+
+    Pages without any keep null.  Sheets of a page are few, and their texts are joined to the links and not to the pages.
+    """
+    from corpusloom.operators.frontier import resolve
+
+    links = html_sheets(pages).join(pages.select("page_id", F.col(url_col).alias("_base")), "page_id")
+    named = links.select("page_id", "pos", resolve(F.col("_base"), F.col("href")).alias("_sheet"))
+    found = named.join(sheets.select(F.col("url").alias("_sheet"), "css").where("css IS NOT NULL"), "_sheet")
+    own = found.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "css"))), lambda x: x["css"]).alias("sheets"))
+    return pages.join(own, "page_id", "left")
 
 
 def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -583,12 +836,12 @@ def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (key, *link, base_href(html))
-                for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                if html and ("href" in html.lower())
-                for link in page_links(html)
-            ]
+            rows = []
+            for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if html and "href" in html.lower():
+                    root = parse(html)
+                    base = base_href(root)
+                    rows += [(key, *link, base) for link in page_links(root)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema=schema)
 

@@ -47,10 +47,50 @@ def test_rows_are_balanced():
         assert sum(r.cmd == "Start" for r in rows) == sum(r.cmd == "End" for r in rows)
 
 
-def test_deep_page_gives_an_error_row(spark):
-    pages = spark.createDataFrame([(1, "<div>" * 30_000 + "x"), (2, None), (3, "ok")], "page_id bigint, html string")
-    got = {r.page_id: (r.text, r.error) for r in html.html_elements(pages).collect()}
-    assert got == {1: (None, "RecursionError"), 3: ("ok", None)}
+def test_deep_pages_are_read_whole(spark):
+    pages = spark.createDataFrame([(1, "<div>" * 30_000 + "x"), (2, None), (3, "ok"), (4, "<ul><li>" * 3_000 + "y")], "page_id bigint, html string")
+    got = {r.page_id: (r.text, r.nesting_level) for r in html.html_elements(pages).where("text IS NOT NULL OR error IS NOT NULL").collect()}
+    assert got == {1: ("x", 1), 3: ("ok", 1), 4: ("y", 6_001)}
+
+
+def test_wide_cells():
+    cells = [(r.row, r.col) for r in html.page_rows("<table><tr><td rowspan=100000 colspan=70000>a</td><td>b</td></tr><tr><td>c</td></tr><tr></tr><tr><td>d</td></tr></table>")[1] if r.row and r.cmd == "Start"]
+    assert cells == [(1, 1), (1, 70_001), (2, 70_001), (4, 70_001)]
+    many = "<table>" + ("<tr>" + "<td rowspan=2>x</td>" * 3 + "</tr><tr><td>y</td></tr>") * 3 + "</table>"
+    assert [(r.row, r.col) for r in html.page_rows(many)[1] if r.row and r.cmd == "Start"] == [x for k in (1, 3, 5) for x in ((k, 1), (k, 2), (k, 3), (k + 1, 4))]
+
+
+def test_formatting_goes_on_and_tables_keep_to_their_cells():
+    tree = html.parse("<p><b>one<p>two</b>three</p>")
+    assert [n.text() for n in html.select(tree, "b")] == ["one", "two"] and html.select_first(tree, "p + p").text() == "twothree"
+    moved = html.parse("<table><b>x</b>y<tr><td>cell</td></tr>z</table>after")
+    body = html.select_first(moved, "body")
+    assert body.text() == "xyzcellafter" and html.select_first(moved, "table").text() == "cell"
+    assert texts("<table>x<tr><td>cell</td></tr></table>")[-1] == ("TextBlock", "x", 1)
+
+
+def test_selectors():
+    root = html.parse('<div id=d class="a b"><p>1</p><p lang=en-GB>2</p><span>3</span><p>4</p></div><p>5<a href=x>l</a></p>')
+    find = lambda q: [n.text() for n in html.select(root, q)]
+    assert find("div > p") == ["1", "2", "4"] and find("p + p") == ["2"] and find("p ~ p") == ["2", "4"] and find("span + p, #d > span") == ["3", "4"]
+    assert find(".a.b p:first-child") == ["1"] and find("p:nth-child(2n)") == ["2", "4"] + ["5l"] and find("div :last-child") == ["4"]
+    assert find("div p:not([lang])") == ["1", "4"] and find("[lang|=en]") == ["2"] and find("p:nth-of-type(3)") == ["4"] and find("a:link") == ["l"] and find("a:hover") == []
+    assert html.parse_selector("p::before") is None and html.parse_selector("p:nth-child(x)") is None and html.select_first(root, "h1") is None
+    assert html.parse_selector("#d .a p:first-child").weight == (1, 2, 1)
+
+
+def test_media_and_external_sheets(spark):
+    block = "<span class=k>x</span>y"
+    one, two = [("TextBlock", "x y", 1)], [("TextBlock", "x", 1), ("TextBlock", "y", 1)]
+    assert texts(f"<style>@media print{{.k{{display:block}}}}</style>{block}") == one
+    assert texts(f"<style>@media screen and (min-width:1px){{.k{{display:block}}}} .z{{color:red}}</style>{block}") == two
+    assert texts(f"<style media=print>.k{{display:block}}</style>{block}") == one
+    assert texts(f"<style>@import 'a.css'; @supports (display:grid){{@media all{{.k{{display:block}}}}}}</style>{block}") == two
+    assert texts(f"<style>@media not screen{{.k{{display:block}}}}</style>{block}") == one
+    pages = spark.createDataFrame([(1, "http://h/p/", f"<link rel=stylesheet href=../s.css>{block}"), (2, "http://h/", f"<link rel=stylesheet href=gone.css>{block}"), (3, "http://h/", block)], "page_id bigint, url string, html string")
+    sheets = spark.createDataFrame([("http://h/s.css", ".k{display:block}"), ("http://h/other.css", "x")], "url string, css string")
+    own = html.html_elements(html.with_sheets(pages, sheets), sheets_col="sheets").where("text IS NOT NULL")
+    assert {r.page_id: r.n for r in own.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 2, 2: 1, 3: 1}
 
 
 def test_links():
