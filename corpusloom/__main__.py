@@ -39,7 +39,7 @@ def main(args: list[str]) -> int:
     done = crawl.breadth_first(pages, roots, params.scope, allowed=allowed if params.excludeUrls else None).crawled
     own = pages.join(done.select("page_id").distinct(), "page_id", "left_semi")
     pipeline.write_extraction(pipeline.extract(own, params.scope), options.get("out", params.storageDir), preview=True)
-    Path(options.get("out", params.storageDir), "config.txt").write_text("\n".join(params.lines()) + "\n")
+    params.append_to(str(Path(options.get("out", params.storageDir), "config.txt")))
     return 0
 
 

@@ -71,10 +71,14 @@ def records(docs: DataFrame, uri: str, timestamp: Column, lang: str, title: str,
 def write_dataset(rows: DataFrame, folder: str, records_per_file: int = 1_000_000) -> None:
     """Parquet files by split and website, Snappy.
 
-    Rows are spread by split and website with a salt of their hash, so a large site is
-    written by many tasks; files are bounded by records and not by sites.
+    Rows are spread by split and website, and those of a site over as many tasks as it has files of
+    ``records_per_file``, by a hash; the sizes are one row a split and site.
     """
-    salted = rows.repartition("split", "Website", F.pmod(F.xxhash64("Uri"), F.lit(16)))
+    sizes = rows.groupBy("split", "Website").agg(F.count(F.lit(1)).alias("_n"))
+    parts = sizes.select(F.col("split").alias("_split"), F.col("Website").alias("_site"), F.ceil(F.col("_n") / records_per_file).alias("_parts"))
+    placed = rows.join(parts, (F.col("split") == F.col("_split")) & F.col("Website").eqNullSafe(F.col("_site")))
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64("Uri"), F.col("_parts"))).drop("_split", "_site", "_parts")
+    salted = placed.repartition("split", "Website", "_part").drop("_part")
     salted.write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", records_per_file).partitionBy("split", "Website").parquet(folder)
 
 

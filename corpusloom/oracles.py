@@ -174,7 +174,7 @@ SQL: dict[str, str] = {
     "q_frontier_antijoin": f"WITH {_LOG} SELECT DISTINCT parent_url AS url FROM log WHERE parent_url IS NOT NULL AND parent_url NOT IN (SELECT url FROM log WHERE url IS NOT NULL)",
     "q_bfs_depth": f"""WITH RECURSIVE {_LOG}, edges AS (SELECT DISTINCT parent_url AS parent, url FROM log WHERE parent_url IS NOT NULL),
       steps AS (SELECT parent AS url, 0 AS depth FROM edges WHERE parent NOT IN (SELECT url FROM log WHERE url IS NOT NULL AND parent_url IS NOT NULL)
-        UNION SELECT e.url, s.depth + 1 FROM steps s JOIN edges e ON e.parent = s.url WHERE s.depth < 50)
+        UNION SELECT e.url, s.depth + 1 FROM steps s JOIN edges e ON e.parent = s.url WHERE s.depth < (SELECT count(*) FROM edges))
       SELECT url, min(depth) AS depth FROM steps GROUP BY url""",
     "q_redirects": f"WITH {_LOG} SELECT request_id, redirected_from <> url AS redirect FROM log WHERE redirected_from IS NOT NULL",
     "q_links": r"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '\]\((https?://[^)\s]+)\)', 1) AS u FROM documents WHERE text IS NOT NULL)
@@ -228,7 +228,7 @@ SQL: dict[str, str] = {
       (3, 1, 'Table', false), (3, 2, 'TableCell', false)) AS t(page_id, pos, elt_type, contains_unique)""",
     "q_crawl_rounds": f"""WITH RECURSIVE {_LOG}, edges AS (SELECT DISTINCT parent_url AS parent, url FROM log WHERE parent_url IS NOT NULL),
       steps AS (SELECT parent AS url, {_domain('parent')} AS site, 0 AS depth FROM edges WHERE parent NOT IN (SELECT url FROM edges)
-        UNION SELECT e.url, s.site, s.depth + 1 FROM steps s JOIN edges e ON e.parent = s.url WHERE s.depth < 49 AND {_domain('e.url')} = s.site)
+        UNION SELECT e.url, s.site, s.depth + 1 FROM steps s JOIN edges e ON e.parent = s.url WHERE s.depth < (SELECT count(*) FROM edges) AND {_domain('e.url')} = s.site)
       SELECT url, min(depth) AS depth FROM steps GROUP BY url""",
     "q_stream_unique": f"WITH {_ELEMENTS} SELECT website || '/' || crawl_session AS site, count(DISTINCT hashcode) AS texts FROM elements WHERE hashcode IS NOT NULL GROUP BY 1",
     "q_stream_last10": f"WITH {_UNITS} SELECT doc_id, round({_LAST}, 6) AS unique_last FROM doc_words",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -351,7 +351,7 @@ def q_frontier_antijoin(spark: SparkSession, path: str) -> DataFrame:
 def q_bfs_depth(spark: SparkSession, path: str) -> DataFrame:
     log = _requests(spark, path).where("parent_url IS NOT NULL")
     roots = log.select(F.col("parent_url").alias("url")).join(log.select("url"), "url", "left_anti").distinct()
-    return crawl.depths(log.select(F.col("parent_url").alias("parent"), "url").distinct(), roots, 50)
+    return crawl.depths(log.select(F.col("parent_url").alias("parent"), "url").distinct(), roots)
 
 
 @query
@@ -647,7 +647,7 @@ def q_crawl_rounds(spark: SparkSession, path: str) -> DataFrame:
     leaves = log.select("url").join(links.select("url"), "url", "left_anti").distinct().withColumn("html", F.lit(""))
     pages = links.unionByName(leaves).withColumn("page_id", F.xxhash64("url"))
     roots = links.select("url").join(log.select("url"), "url", "left_anti").select(F.col("url").alias("root")).distinct()
-    done = crawl.breadth_first(pages, roots, "domain", 50).crawled
+    done = crawl.breadth_first(pages, roots, "domain").crawled
     return done.groupBy("url").agg(F.min("depth").alias("depth"))
 
 
@@ -658,8 +658,7 @@ def _drained(stream: DataFrame, spark: SparkSession, name: str, mode: str = "app
     """All rows of a stream over the files there are, by way of a file sink in the shared folder."""
     from corpusloom.storage import shared_folder
 
-    base = tempfile.mkdtemp(prefix=f"{name}-", dir=shared_folder(spark).removeprefix("file://").removeprefix("file:")) if "://" not in shared_folder(spark) or shared_folder(spark).startswith("file:") else f"{shared_folder(spark)}/{name}"
-    base = f"file://{base}" if base.startswith("/") else base
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"  # a state of its own for each call
     job = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.storage import shared_file
 
 #: Fixed header of the CSV table of a document.
 CSV_HEADER = "DocEltType;DocEltCmd;NestingLevel;Text;Lang;Chars;Words;AvgWordsLength;LetterChars;NumberChars;OtherChars;HashCode;IsUnique"
@@ -91,30 +94,44 @@ class CrawlParams:
 
     @classmethod
     def parse(cls, lines: list[str], base: CrawlParams | None = None) -> CrawlParams:
-        """Read ``key=value`` lines: ``#`` begins a comment line, later lines win, a value ends at a second ``=``, a new scope clears the exclusions."""
+        """Read ``key=value`` lines: ``#`` begins a comment line, names are read without regard to case and blanks, later lines win,
+        a value ends at a second ``=``, a new scope clears the exclusions.  A line without ``=`` or without a value, an unknown name or
+        scope, and a number that is none raise an error."""
         out = base or cls()
-        kinds = {f.name: f.type for f in fields(cls)}
+        names = {f.name.lower(): (f.name, f.type) for f in fields(cls)}
         for line in lines:
             line = line.strip()
-            if not line or line.startswith("#") or "=" not in line:
+            if not line or line.startswith("#"):
                 continue
-            key, value = line.split("=")[:2]
-            if key == "excludeUrls":
+            key, *rest = (part.strip() for part in line.split("="))
+            if not rest or not rest[0]:
+                raise ValueError(f"no value: {line}")
+            name, kind = names.get(key.lower(), ("", ""))
+            value = rest[0]
+            if name == "excludeUrls":
                 out = replace(out, excludeUrls=(*out.excludeUrls, value))
-            elif key == "scope":
-                if value not in ("domain", "subdomain", "path"):
+            elif name == "scope":
+                if value.lower() not in ("domain", "subdomain", "path"):
                     raise ValueError(f"unknown scope: {value}")
-                out = replace(out, scope=value, excludeUrls=())
-            elif key in kinds:
-                out = replace(out, **{key: int(value) if kinds[key] == "int" else value})
+                out = replace(out, scope=value.lower(), excludeUrls=())
+            elif name:
+                try:
+                    out = replace(out, **{name: int(value) if kind == "int" else value})
+                except ValueError:
+                    raise ValueError(f"no number: {line}") from None
             else:
                 raise ValueError(f"unknown parameter: {key}")
         return out
 
     def lines(self) -> list[str]:
-        plain = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if f.name != "excludeUrls"]
+        plain = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if f.name != "excludeUrls" and getattr(self, f.name) != ""]
         return plain + [f"excludeUrls={x}" for x in self.excludeUrls]
 
+    def append_to(self, path: str) -> None:
+        """Add the parameters to a configuration file under the time they were set, keeping what earlier runs wrote."""
+        with open(path, "a", encoding="utf-8") as out:
+            out.write("\n".join([f"# {datetime.datetime.now():%Y-%m-%d %H:%M:%S}", *self.lines(), ""]))
+
 
 def effective_config(websites: DataFrame) -> DataFrame:
     """One row a root: of repeated rows the one of the latest line holds."""
@@ -133,6 +150,29 @@ def read_checkpoint(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def write_checkpoint(folder: str, known: DataFrame, frontier: DataFrame, unique_blocks: DataFrame, stats: dict | None = None) -> None:
+    """The state of a stopped crawl as JSON files that :func:`read_checkpoint` reads: known address ids, waiting pages, unique blocks.
+
+    Each file is one JSON value, as the format has it, put together from one row a task by the driver's writer of
+    one partition; for crawls beyond that keep the tables of :class:`corpusloom.plans.crawl.Rounds` themselves.
+    """
+    pair = lambda k, v: F.concat(F.lit('"'), F.col(k).cast("string"), F.lit('":'), v)
+    page = F.to_json(F.struct(*(F.col(c) for c in frontier.columns)))
+    for name, rows, head, tail in (
+        ("crawledUrls.json", known.select(pair("url_id", F.lit("0")).alias("value")), '{"UrlRepository":{', "}}"),
+        ("pagesToCrawl.json", frontier.select(page.alias("value")), '{"UrlQueue":[', "]}"),
+        ("uniqueTextBlocks.json", unique_blocks.select(pair("hash", F.col("words").cast("string")).alias("value")), "{", "}"),
+    ):
+        with shared_file(f"{folder}/{name}") as out:
+            out.write(head.encode())
+            for i, row in enumerate(rows.toLocalIterator(prefetchPartitions=True)):
+                out.write((("," if i else "") + row.value).encode())
+            out.write(tail.encode())
+    if stats is not None:
+        with shared_file(f"{folder}/extractionStats.json") as out:
+            out.write(json.dumps(stats).encode())
+
+
 def pdf_elements(blocks: DataFrame, doc: str = "doc_id", order: str = "ord", strict_parity: bool = True) -> DataFrame:
     """(doc, ord, elt_type, nesting_level, text) from the blocks of PDF documents, in reading order.
 

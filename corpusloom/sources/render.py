@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.sources.files import CSV_HEADER
+from corpusloom.storage import require_shared, shared_file
 
 
 def csv_lines(elements: DataFrame) -> DataFrame:
@@ -180,16 +181,12 @@ def flat_markdown(blocks: DataFrame, id_col: str = "doc_id", pos: str = "pos", t
 
 
 def write_documents(texts: DataFrame, folder: str, name: str = "name", text: str = "text") -> None:
-    """One file a document, written by the executors below a shared folder."""
+    """One file a document, written by the executors below a shared folder, which an address names on a cluster."""
+    require_shared(texts.sparkSession, folder)
 
     def save(rows: Iterator) -> None:
-        import os
-
         for r in rows:
-            target = os.path.join(folder, r[0].lstrip("/"))
-            os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-            with open(target + ".part", "w", encoding="utf-8") as out:
-                out.write(r[1])
-            os.replace(target + ".part", target)  # a repeated task leaves one whole file
+            with shared_file(f"{folder.rstrip('/')}/{r[0].lstrip('/')}") as out:  # a repeated task writes the same file again
+                out.write(r[1].encode("utf-8", "surrogatepass"))
 
     texts.select(name, text).foreachPartition(save)

@@ -38,6 +38,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def shared_file(path: str):
+    """A file opened for writing by address or path, on whatever file system all executors share; its folder is made."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system.create_dir(name.rpartition("/")[0] or ".", recursive=True)
+    return system.open_output_stream(name)
+
+
+def require_shared(spark: SparkSession, folder: str) -> None:
+    """Refuse a bare path on a cluster, where every executor would write to a disk of its own."""
+    if "://" not in folder and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"on a cluster name a shared folder by its address: {folder}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input at least one partition per core.
 

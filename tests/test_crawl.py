@@ -59,16 +59,37 @@ def test_breadth_first(spark):
 
 
 def test_fetch_keeps_errors(spark):
-    def requester(url):
-        if url.endswith("bad"):
-            raise OSError("no")
-        return 200, "text/html", b"x", None
+    def requester():
+        def one(url):
+            if url.endswith("bad"):
+                raise OSError("no")
+            return {"status": 200, "content_type": "text/html", "body": b"x"}
+
+        return one
 
     front = spark.createDataFrame([("http://h/a",), ("http://h/bad",)], "url string")
     got = {r.url[9:]: (r.status, r.error) for r in crawl.fetch(front, requester, F.lit("h")).collect()}
     assert got == {"a": (200, None), "bad": (None, "OSError")}
 
 
+def test_chains_of_any_depth(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n60", "n3")], "parent string, url string")
+    found = {r.url: r.depth for r in crawl.depths(edges, spark.createDataFrame([("n0",)], "url string")).collect()}
+    assert found == {f"n{i}": i for i in range(61)}
+
+
+def test_hooks_decide_and_watch(spark):
+    site = spark.createDataFrame([(1, "http://h.example/", '<a href="/a?s=1">1</a><a href="/b">2</a><a href="/c">3</a>'), (2, "http://h.example/a", '<a href="/">x</a>'), (3, "http://h.example/b", "")], "page_id bigint, url string, html string")
+    seen = {}
+    hooks = crawl.Hooks(
+        page=lambda f: f.where("url NOT LIKE '%/b'"), links=lambda f: f.where("url NOT LIKE '%/c'"), clean=lambda u: F.regexp_replace(u, r"\?.*$", ""),
+        done=lambda depth, rows: seen.update({depth: rows.count()}),
+    )
+    done = crawl.breadth_first(site, spark.createDataFrame([("http://h.example/",)], "root string"), hooks=hooks)
+    assert {r.url[16:] for r in done.crawled.collect()} == {"/", "/a"} and seen == {0: 1, 1: 1}
+    assert {r.url[16:] for r in done.known.collect()} == {"/", "/a", "/b"}
+
+
 @pytest.mark.parametrize(("n", "want"), [(55, (44, 5, 6)), (1, (0, 0, 1)), (10, (8, 1, 1))])
 def test_split_sizes(spark, n, want):
     docs = spark.range(n).select(F.lit("s").alias("site"), F.col("id").alias("doc_id"))
