@@ -20,9 +20,8 @@ _NAME = r"\s*[^\W\d][\w.]{2,40}\s*"
 _PLACEHOLDER = re.compile(
     rf"\{{\{{{_NAME}\}}\}}|[$#]\{{{_NAME}\}}|\[\[{_NAME}\]\]|%%{_NAME}%%|@@{_NAME}@@|<%=?{_NAME}%>|\{{%{_NAME}%\}}"
     rf"|(?<![\w$])\$[A-Z][A-Z0-9_]{{2,}}\$(?![\w$])|(?<![\w])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w])"
-    rf"|\[(?:insert|enter|add|your|our|company|client|customer|ins[ée]rer|votre|nom|ihre?|name|hier|inserte|insertar|su|nombre|inserire|inserisci|il tuo|nome) [^\W\d_][^\[\]\n|]{{2,40}}\](?![(\[])"
-    rf"|(?<![\w$#{{%`])\{{[^\W\d][\w.]{{2,40}}\}}(?!\}})|\[[^\W\d][\w.]{{2,40}}\](?![(\[])",
-    re.I,
+    rf"|\[(?i:insert|enter|add|your|our|company|client|customer|ins[ée]rer|votre|nom|ihre?|name|hier|inserte|insertar|su|nombre|inserire|inserisci|il tuo|nome) [^\W\d_][^\[\]\n|]{{2,40}}\](?![(\[])"
+    rf"|(?<![\w$#{{%`])\{{[^\W\d][\w.]{{2,40}}\}}(?!\}})|\[[^\W\d][\w.]{{2,40}}\](?![(\[])"
 )
 #: No placeholder is without one of these.
 _OPENERS = ("{", "[", "%%", "@@", "<%", "$", "__")
