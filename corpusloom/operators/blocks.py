@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +98,47 @@ def unique_view(elements: DataFrame, id_col: str = "page_id") -> DataFrame:
     gone = F.arrays_overlap("path", "dropped") | F.coalesce(F.array_contains("dropped", F.col("_own")), F.lit(False))
     lone = (F.col("cmd") == "Text") & (F.size("path") == 0) & ~F.coalesce("is_unique", F.lit(False))
     return own.where(~gone & ~lone).drop("dropped", "_own")
+
+
+def implied_tree(elements: DataFrame) -> DataFrame:
+    """Tree rows of element rows (page_id, pos, elt_type, cmd, nesting_level, text, is_unique) whose groups have a start and no end.
+
+    A group goes on as long as rows are nested deeper than its start; its end row is put after them.  Rows are numbered
+    anew, ``origin`` being the position they had; ``path`` has the positions of the groups around a row.  Rows of a
+    document are sorted within the partition of its id and read as a stream, so no document is held as a whole.
+    """
+    names = ["page_id", "pos", "origin", "elt_type", "cmd", "nesting_level", "path", "text", "is_unique"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.bool_()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, n = None, 0
+        groups: list[tuple[int, int, str]] = []  # position, level and kind of open groups
+        out: list[tuple] = []
+
+        def end(level: int) -> None:
+            nonlocal n
+            while groups and groups[-1][1] >= level:
+                _, own, kind = groups.pop()
+                out.append((page, n, None, kind, "End", own, [g[0] for g in groups], None, None))
+                n += 1
+
+        for batch in batches:
+            for key, pos, kind, cmd, level, text, unique in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != page:
+                    end(0)
+                    page, n = key, 0
+                end(level)
+                out.append((key, n, pos, kind, cmd, level, [g[0] for g in groups], text, unique))
+                if cmd == "Start":
+                    groups.append((n, level, kind))
+                n += 1
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    out.clear()
+        end(0)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    placed = elements.select("page_id", "pos", "elt_type", "cmd", "nesting_level", "text", "is_unique").repartition("page_id").sortWithinPartitions("page_id", "pos")
+    ddl = "page_id bigint, pos int, origin int, elt_type string, cmd string, nesting_level int, path array<int>, text string, is_unique boolean"
+    return placed.mapInArrow(work, ddl)

@@ -116,3 +116,28 @@ def clock_text(seconds: Column) -> Column:
 def request_log_line(message: Column) -> Column:
     """A message as it stands in a line of the request log: separators and line ends replaced."""
     return F.translate(message, ";\n", ", ")
+
+
+#: Fixed columns of the request log.
+REQUEST_LOG = (
+    "Clock", "Url", "Status code", "Reponse time (ms)", "Download time (ms)", "Content size (bytes)", "Unique text blocks (%)", "Crawl depth", "Parent Url",
+    "Redirected from", "Retry count", "Retry after (s)", "Error message",
+)
+
+
+def request_log_rows(log: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the request log: its thirteen columns as text, empty where there is nothing; ``keys`` are kept before them."""
+    whole = lambda c: F.coalesce(F.col(c).cast("bigint").cast("string"), F.lit(""))
+    text = lambda c: F.coalesce(request_log_line(F.col(c)), F.lit(""))
+    clock = F.coalesce(F.date_format("clock", "HH:mm:ss.SSS"), F.lit(""))
+    made = (
+        clock, text("url"), whole("status_code"), whole("response_ms"), whole("download_ms"), whole("content_bytes"), whole("unique_pct"), whole("crawl_depth"),
+        text("parent_url"), text("redirected_from"), whole("retry_count"), whole("retry_after_s"), text("error_message"),
+    )
+    return log.select(*keys, *(c.alias(n) for c, n in zip(made, REQUEST_LOG, strict=True)))
+
+
+def exceptions_log(log: DataFrame, *keys: str) -> DataFrame:
+    """(keys, clock, url, message): the requests that failed with a message, in one line each."""
+    failed = log.where("error_message IS NOT NULL")
+    return failed.select(*keys, F.coalesce(F.date_format("clock", "HH:mm:ss.SSS"), F.lit("")).alias("clock"), "url", request_log_line(F.col("error_message")).alias("message"))

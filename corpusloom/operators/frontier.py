@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import url as U
 
@@ -31,6 +33,26 @@ def charset(content_type: Column, body: Column) -> Column:
     return F.when(name == "cp1251", F.lit("windows-1251")).otherwise(name)
 
 
+@F.pandas_udf(StringType())
+def _decoded(body: pd.Series, name: pd.Series) -> pd.Series:
+    def one(data: bytes | None, charset_name: str | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            return bytes(data).decode(charset_name or "utf-8", "replace").removeprefix("\ufeff")
+        except LookupError:  # no encoding of that name
+            return bytes(data).decode("utf-8", "replace")
+
+    return pd.Series([one(b, c) for b, c in zip(body, name, strict=True)])
+
+
+def decoded(body: Column, content_type: Column) -> Column:
+    """Text of the bytes of a response, by the encoding its header or a meta tag of its first bytes names; bytes that stand for
+    nothing become U+FFFD, an unknown name counts as UTF-8, and a mark of byte order is left out."""
+    head = F.decode(F.substring(body, 1, 2048), "ISO-8859-1")
+    return _decoded(body, charset(content_type, head))
+
+
 def crawl_decision(
     url: Column, depth: Column, redirects: Column, internal: Column, crawled: Column, crawled_host: Column,
     max_depth: int = 1000, max_redirects: int = 7, max_pages: int = 0, max_pages_per_domain: int = 0, external: bool = False,
@@ -109,6 +131,11 @@ def redirect_target(url: Column, location: Column) -> Column:
     return F.when(clean.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), clean).when(clean.startswith("/"), F.concat(origin, clean)).otherwise(F.concat(origin, folder, clean))
 
 
+def is_internal(url: Column, root: Column, original_root: Column, scope: Column | str) -> Column:
+    """Whether a page belongs to the crawl of its root, or of the root that was asked for before it moved."""
+    return F.coalesce(U.in_scope(url, root, scope), F.lit(False)) | F.coalesce(U.in_scope(url, original_root, scope), F.lit(False))
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link without its fragment, by the reference resolution of RFC 3986.
 

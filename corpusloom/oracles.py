@@ -103,6 +103,51 @@ def _size(n: str) -> str:
 
 _ENCODED = """replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
 
+#: Groups of the elements table: a start and the position where the nesting is no deeper any more.
+_GROUPS = f"""{_ELEMENTS},
+rows_ AS (SELECT * FROM elements WHERE docelttype <> 'Document'),
+starts AS (
+  SELECT s.doc_id, s.pos, s.docelttype, coalesce((SELECT min(r.pos) FROM rows_ r WHERE r.doc_id = s.doc_id AND r.pos > s.pos AND r.nestinglevel <= s.nestinglevel), 2147483647) AS until
+  FROM rows_ s WHERE s.doceltcmd = 'Start'),
+groups_ AS (
+  SELECT s.doc_id, s.pos, s.docelttype, s.until, coalesce(bool_or(r.isunique), false) AS has_unique
+  FROM starts s LEFT JOIN rows_ r ON r.doc_id = s.doc_id AND r.pos > s.pos AND r.pos < s.until AND r.doceltcmd = 'Text' GROUP BY ALL),
+around AS (SELECT r.doc_id, r.pos, count(*) AS n, bool_and(g.has_unique) AS good FROM rows_ r JOIN groups_ g ON g.doc_id = r.doc_id AND g.pos < r.pos AND r.pos < g.until GROUP BY ALL),
+view_ AS (
+  SELECT r.*, coalesce(a.n, 0) AS depth FROM rows_ r LEFT JOIN around a ON a.doc_id = r.doc_id AND a.pos = r.pos
+    LEFT JOIN groups_ g ON g.doc_id = r.doc_id AND g.pos = r.pos
+  WHERE coalesce(a.good, true) AND coalesce(g.has_unique, true) AND (a.n IS NOT NULL OR r.doceltcmd = 'Start' OR coalesce(r.isunique, false)))"""
+
+_KIND = "CASE WHEN doceltcmd = 'Text' THEN 'TextBlock' ELSE docelttype END"
+
+_PDF = f"""{_BLOCKS},
+lines AS (
+  SELECT b.doc_id, b.pos, b.pos // 40 AS page, b.pos % 40 = 39 AS decoration, regexp_replace(b.block, '^#+ *', '') AS text, CASE WHEN b.block LIKE '#%' THEN 20.0 ELSE 10.0 END AS h
+  FROM blocks b JOIN documents d ON d.doc_id = b.doc_id WHERE d.pdf),
+kept AS (SELECT * FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS pages FROM lines) WHERE pages <= 1 OR NOT decoration),
+long AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1 AS last FROM kept) WHERE length({_trim('text')}) > 1 OR last),
+titled AS (SELECT *, coalesce(h > lead(h) OVER (PARTITION BY doc_id ORDER BY pos) * 1.2 AND h > 8, false) AS title FROM long),
+nested AS (SELECT *, sum(CASE WHEN title THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM titled)"""
+
+_ROBOTS = f"""{_CONFIG},
+hosts AS (
+  SELECT CAST(root_id AS VARCHAR) AS host, rooturl, mincrawldelay, [y FOR y IN coalesce(excludeurls, []) IF y IS NOT NULL] AS x
+  FROM config WHERE website IS NOT NULL AND rooturl IS NOT NULL)"""
+
+_PATTERN = """regexp_matches({t}, '^' || replace(replace(replace(regexp_replace({x}, '\\$$', ''), '.', '\\.'), '?', '\\?'), '*', '.*') || CASE WHEN {x} LIKE '%$' THEN '$' ELSE '' END)"""
+_AUTHORITY = "regexp_replace(lower(regexp_replace(regexp_extract({u}, " + _URL + ", 2), '^.*@', '')), CASE WHEN {u} LIKE 'https:%' THEN ':443$' ELSE ':80$' END, '')"
+
+
+def _whole(c: str) -> str:
+    return f"coalesce(CAST(CAST(trunc({c}) AS BIGINT) AS VARCHAR), '')"
+
+
+def _line(c: str) -> str:
+    return f"coalesce(replace(replace({c}, ';', ','), chr(10), ' '), '')"
+
+
+_CLOCK = "coalesce(strftime(clock, '%H:%M:%S.') || lpad(CAST(epoch_us(clock) // 1000 % 1000 AS VARCHAR), 3, '0'), '')"
+
 SQL: dict[str, str] = {
     "q_text_stats": f"SELECT doc_id, {_stats('text')} FROM documents",
     "q_avg_word_len": f"""SELECT doc_id,
@@ -115,8 +160,6 @@ SQL: dict[str, str] = {
     "q_html_encode": f"SELECT doc_id, md5({_ENCODED.format(t='text')}) AS digest FROM documents WHERE text IS NOT NULL",
     "q_output_name": f"SELECT doc_id, {_file('uri')} || '.' || CASE WHEN regexp_matches(coalesce(lang, '?'), '^[a-z]{{2}}$') THEN lang ELSE 'xx' END || '.text.md' AS name FROM documents",
     "q_size_category": f"SELECT source, {_size('n')} AS one, {_size('n * 1000')} AS thousand, {_size('n * 10000000')} AS many FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)",
-    "q_lang_accept": "SELECT * FROM (VALUES ('__label__fr', 0.61, 'fr'), ('__label__fr', 0.6, '?'), ('__label__ceb', 0.9, 'eb'), ('__label__en', NULL, '?')) AS t(label, score, lang)",
-    "q_cell_coords": "SELECT * FROM (VALUES (1, 1, 2, 1, '1,2'), (2, 3, 1, 1, '2:3,1:1'), (1, 1, 1, 2, '1:1,1:2')) AS t(r, rs, c, cs, coords)",
     "q_url_parts": f"SELECT doc_id, lower(regexp_extract(uri, {_URL}, 1)) AS scheme, {_host('uri')} AS host, {_path('uri')} AS path, {_query('uri')} AS query FROM documents",
     "q_base_domain": f"SELECT doc_id, {_domain('uri')} AS domain FROM documents",
     "q_subdomain": f"SELECT doc_id, {_host('uri')} AS host FROM documents",
@@ -159,15 +202,10 @@ SQL: dict[str, str] = {
       a AS (SELECT website, count(*) AS analyzed, count(*) FILTER (ok AND NOT pdf) AS html, count(*) FILTER (ok AND pdf) AS pdf, count(*) FILTER (error) AS errors,
         CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(ms), 1) AS ms FROM f GROUP BY website)
       SELECT *, analyzed - html - pdf - errors AS excluded, printf('%d:%02d:%02d', CAST(floor(ms / 1000) AS BIGINT) // 3600, CAST(floor(ms / 1000) AS BIGINT) // 60 % 60, CAST(floor(ms / 1000) AS BIGINT) % 60) AS took FROM a""",
-    "q_request_log": f"""WITH {_LOG} SELECT request_id, strftime(clock, '%H:%M:%S.') || lpad(CAST(epoch_us(clock) // 1000 % 1000 AS VARCHAR), 3, '0') AS clock, url, status_code, content_bytes,
-      coalesce(replace(replace(error_message, ';', ','), chr(10), ' '), '') AS message FROM log""",
     "q_crawl_errors": f"WITH {_LOG} SELECT request_id, {_ERROR} AS error FROM log",
     "q_crawl_decision": f"""WITH {_LOG} SELECT request_id, CASE WHEN url IS NULL THEN 'null page'
       WHEN (CASE WHEN redirected_from IS NULL THEN 0 ELSE retry_count + 1 END) > 1 THEN 'too many redirects' WHEN crawl_depth > 8 THEN 'too deep'
       WHEN NOT starts_with(lower(regexp_extract(url, {_URL}, 1)), 'http') THEN 'scheme' WHEN NOT coalesce({_host('url')} = website, false) THEN 'external' END AS reason FROM log""",
-    "q_download_decision": f"""WITH {_LOG} SELECT request_id, CASE WHEN status_code IS NULL THEN 'no response' WHEN status_code <> 200 THEN 'status' WHEN request_id % 3 = 2 THEN 'content type'
-      WHEN content_bytes > 25000 THEN 'size' END AS reason, CASE request_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE 'other' END AS kind FROM log""",
-    "q_charset_detect": "SELECT * FROM (VALUES (1, 'iso-8859-1'), (2, 'windows-1251'), (3, 'utf-16'), (4, 'utf-8'), (5, 'utf-8')) AS t(id, charset)",
     "q_crawl_by_domain": f"""WITH {_LOG}, a AS (SELECT regexp_replace(lower(regexp_replace(regexp_extract(url, {_URL}, 2), '^.*@', '')), CASE WHEN url LIKE 'https:%' THEN ':443$' ELSE ':80$' END, '') AS authority, crawl_depth FROM log)
       SELECT authority, count(*) AS pages, max(crawl_depth) AS deepest FROM a GROUP BY authority""",
     "q_max_links": f"""WITH {_LOG} SELECT parent_url, request_id, url FROM (SELECT *, row_number() OVER (PARTITION BY parent_url ORDER BY request_id) AS r FROM log WHERE parent_url IS NOT NULL) WHERE r <= 10""",
@@ -179,17 +217,10 @@ SQL: dict[str, str] = {
     "q_redirects": f"WITH {_LOG} SELECT request_id, redirected_from <> url AS redirect FROM log WHERE redirected_from IS NOT NULL",
     "q_links": r"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '\]\((https?://[^)\s]+)\)', 1) AS u FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS pos, unnest(u) AS url FROM f""",
-    "q_links_abs": """SELECT * FROM (VALUES (1, 'http://h.example/a/c.html'), (2, 'http://h.example/d/e'), (3, 'https://other.test/p'), (4, 'http://h.example/a/b?z=2'), (5, 'http://h.example/a/b'),
-      (6, 'https://up.example/X?y'), (7, 'http://h.example/root'), (8, 'http://h.example/a/')) AS t(id, url)""",
     "q_robots_allowed": f"""WITH {_LOG}, {_CONFIG}, p AS (SELECT website AS host, list_distinct(flatten(list(excludeurls))) AS patterns FROM config WHERE excludeurls IS NOT NULL AND len(excludeurls) > 0 GROUP BY website),
       t AS (SELECT request_id, {_host('url')} AS host, ({_path('url')}) || CASE WHEN {_query('url')} <> '' THEN '?' || {_query('url')} ELSE '' END AS target FROM log)
       SELECT request_id, coalesce(target <> '/robots.txt', true) AND len([x FOR x IN coalesce(patterns, []) IF regexp_matches(target, '^' || replace(replace(replace(regexp_replace(x, '\\$$', ''), '.', '\\.'), '?', '\\?'), '*', '.*')
         || CASE WHEN x LIKE '%$' THEN '$' ELSE '' END)]) = 0 AS robots_allowed FROM t LEFT JOIN p ON p.host = t.host""",
-    "q_robots_match": "SELECT * FROM (VALUES ('/*.php$', '/a/b.php', true), ('/*.php$', '/a/b.php?x', false), ('/a', '/a/b', true), ('/a$', '/a/b', false), ('/x.y', '/xzy', false), ('/*?id=', '/p?id=3', true), ('/search', '/research', false)) AS t(pattern, target, match)",
-    "q_robots_parse": """SELECT * FROM (VALUES ('one.test', 2, '*', 'disallow', '/private'), ('one.test', 3, '*', 'allow', '/private/open'), ('one.test', 4, '*', 'crawl-delay', '10'),
-      ('one.test', 8, 'bingbot', 'disallow', '/b'), ('one.test', 8, 'other', 'disallow', '/b'), ('one.test', 9, NULL, 'sitemap', 'http://one.test/s.xml'),
-      ('two.test', 2, '*', 'disallow', '/*.php$'), ('two.test', 3, '*', 'crawl-delay', 'soon')) AS t(host, line_no, agent, kind, value)""",
-    "q_robots_delay": "SELECT * FROM (VALUES ('one.test', 5), ('two.test', 0)) AS t(host, delay)",
     "q_site_lang_counts": "SELECT source, lang, count(*) AS files FROM documents GROUP BY source, lang",
     "q_site_lang_min": "SELECT source FROM documents WHERE lang = 'fr' GROUP BY source HAVING count(*) >= 20",
     "q_split": f"WITH {_RANKED} SELECT doc_id, split FROM split",
@@ -209,27 +240,68 @@ SQL: dict[str, str] = {
     "q_html_blocks": f"""WITH {_BLOCKS}, t AS (SELECT doc_id, block LIKE '# %' AS head, {_trim("regexp_replace(block, '^# ', '')")} AS b FROM blocks)
       SELECT doc_id AS page_id, count(*) AS blocks, CAST(sum(length(b)) AS BIGINT) AS chars, count(*) FILTER (head) AS sections FROM t WHERE b <> '' GROUP BY doc_id""",
     "q_html_title": f"""SELECT doc_id AS page_id, {_trim('title')} AS title FROM documents WHERE {_trim("coalesce(title, '')")} <> '' AND {_trim("coalesce(text, '')")} <> ''""",
-    "q_html_tables": "SELECT * FROM (VALUES (6, 'TableCell', '1:2,1:1'), (6, 'TableCell', '1,2'), (6, 'TableCell', '2,2'), (7, 'TableHeader', '1:1,1:2')) AS t(page_id, elt_type, coords)",
-    "q_nav_lists": "SELECT * FROM (VALUES (3, 'NavigationList'), (4, 'List')) AS t(page_id, elt_type)",
-    "q_html_hidden": """SELECT * FROM (VALUES (1, 'B', 1), (1, 'A C', 1), (2, 'foo bar x', 1), (3, '1', 3), (3, '2', 3), (4, '1', 3), (4, '2', 3), (5, 'left', 1), (6, 'a', 3), (6, 'b', 3), (6, 'c', 3),
-      (7, 'h', 3), (8, 'x', 1), (9, '1', 2), (9, '2', 3), (10, 'l m', 1), (11, 'n', 1)) AS t(page_id, text, nesting_level)""",
-    "q_html_sections": "SELECT * FROM (VALUES (9, 'a', 1), (9, 'b', 2), (9, 'c', 2)) AS t(page_id, text, nesting_level)",
-    "q_links_nofollow": "SELECT * FROM (VALUES (10, 'http://h.example/10/x.html'), (10, 'http://h.example/10/z')) AS t(page_id, url)",
     "q_markdown_flat": f"WITH {_BLOCKS} SELECT doc_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || chr(10)) AS digest FROM blocks GROUP BY doc_id",
     "q_csv_rows": f"""WITH {_ELEMENTS}, s AS (SELECT *, {_stats('text').replace(' AS chars', ' AS c1').replace(' AS words', ' AS c2').replace(' AS avg_word_length', ' AS c3').replace(' AS letter_chars', ' AS c4').replace(' AS number_chars', ' AS c5').replace(' AS other_chars', ' AS c6')}
         FROM elements WHERE hashcode IS NOT NULL AND doceltcmd = 'Text')
       SELECT element_id, md5(docelttype || ';Text;' || nestinglevel || ';"' || replace(text, '"', '""') || '";' || coalesce(lang, '?') || ';' || c1 || ';' || c2 || ';' || c3 || ';' || c4 || ';' || c5 || ';' || c6 || ';' || hashcode || ';'
         || CASE WHEN isunique THEN 'True' WHEN NOT isunique THEN 'False' ELSE '' END) AS digest FROM s""",
-    "q_legacy_parse": """SELECT * FROM (VALUES (1, 0, 'Document', 'Title', 0, 'T'), (1, 1, 'Section', 'Start', 1, 'S'), (1, 2, 'TextBlock', 'Text', 2, 'plain'), (1, 3, 'ListItem', 'Text', 3, 'a'), (1, 4, 'ListItem', 'Text', 3, 'b'),
-      (1, 5, 'Section', 'End', 1, 'S'), (1, 6, 'TextBlock', 'Text', 1, 'last')) AS t(doc_id, pos, elt_type, cmd, nesting_level, text)""",
-    "q_pdf_blocks": "SELECT * FROM (VALUES (1, 2, 'Title'), (1, 3, 'Body of the page.'), (1, 5, 'Part'), (1, 6, 'More text.'), (2, 1, 'Only'), (2, 2, 'x')) AS t(doc_id, ord, text)",
-    "q_pdf_titles": """SELECT * FROM (VALUES (1, 2, 'Section', 1), (1, 3, 'TextBlock', 2), (1, 5, 'Section', 2), (1, 6, 'TextBlock', 3), (2, 1, 'TextBlock', 1), (2, 2, 'TextBlock', 1)) AS t(doc_id, ord, elt_type, nesting_level)""",
-    "q_group_unique": """SELECT * FROM (VALUES (1, 0, 'Section', true), (2, 0, 'Section', false), (2, 3, 'Section', true), (2, 4, 'List', true), (2, 5, 'ListItem', false), (2, 8, 'ListItem', true),
-      (3, 1, 'Table', false), (3, 2, 'TableCell', false)) AS t(page_id, pos, elt_type, contains_unique)""",
     "q_crawl_rounds": f"""WITH RECURSIVE {_LOG}, edges AS (SELECT DISTINCT parent_url AS parent, url FROM log WHERE parent_url IS NOT NULL),
       steps AS (SELECT parent AS url, {_domain('parent')} AS site, 0 AS depth FROM edges WHERE parent NOT IN (SELECT url FROM edges)
         UNION SELECT e.url, s.site, s.depth + 1 FROM steps s JOIN edges e ON e.parent = s.url WHERE s.depth < (SELECT count(*) FROM edges) AND {_domain('e.url')} = s.site)
       SELECT url, min(depth) AS depth FROM steps GROUP BY url""",
     "q_stream_unique": f"WITH {_ELEMENTS} SELECT website || '/' || crawl_session AS site, count(DISTINCT hashcode) AS texts FROM elements WHERE hashcode IS NOT NULL GROUP BY 1",
     "q_stream_last10": f"WITH {_UNITS} SELECT doc_id, round({_LAST}, 6) AS unique_last FROM doc_words",
+    # ---- queries over rows that the tables hold in another form
+    "q_lang_accept": f"WITH {_ELEMENTS} SELECT element_id, CASE WHEN letterchars / nullif(chars, 0) > 0.6 THEN right('__label__' || lang, 2) ELSE '?' END AS accepted FROM elements WHERE hashcode IS NOT NULL",
+    "q_cell_coords": f"""WITH {_ELEMENTS}, n AS (SELECT element_id, pos + 1 AS r, words % 3 + 1 AS rs, nestinglevel + 1 AS c, numberchars % 2 + 1 AS cs FROM elements WHERE words IS NOT NULL)
+      SELECT element_id, CASE WHEN rs <> 1 OR cs <> 1 THEN r || ':' || rs || ',' || c || ':' || cs ELSE r || ',' || c END AS coords FROM n""",
+    "q_request_log": f"""WITH {_LOG} SELECT request_id, {_CLOCK} AS "Clock", {_line('url')} AS "Url", {_whole('status_code')} AS "Status code", {_whole('response_ms')} AS "Reponse time (ms)",
+      {_whole('download_ms')} AS "Download time (ms)", {_whole('content_bytes')} AS "Content size (bytes)", {_whole('unique_pct')} AS "Unique text blocks (%)", {_whole('crawl_depth')} AS "Crawl depth",
+      {_line('parent_url')} AS "Parent Url", {_line('redirected_from')} AS "Redirected from", {_whole('retry_count')} AS "Retry count", {_whole('retry_after_s')} AS "Retry after (s)", {_line('error_message')} AS "Error message" FROM log""",
+    "q_exceptions_log": f"WITH {_LOG} SELECT request_id, {_CLOCK} AS clock, url, {_line('error_message')} AS message FROM log WHERE error_message IS NOT NULL",
+    "q_internal_uri": f"""WITH {_LOG} SELECT request_id, coalesce({_host('url')} = {_host("('http://' || website || '/')")}, false) OR coalesce({_host('url')} = {_host('coalesce(redirected_from, parent_url)')}, false) AS internal
+      FROM log WHERE website IS NOT NULL""",
+    "q_download_decision": f"""WITH {_LOG}, k AS (SELECT *, CASE WHEN coalesce(lower(url) LIKE '%.pdf', false) THEN 'pdf' WHEN coalesce(regexp_matches(lower(url), '\\.(png|jpe?g|gif|css|js)$'), false) THEN 'other' ELSE 'html' END AS kind FROM log)
+      SELECT request_id, CASE WHEN status_code IS NULL THEN 'no response' WHEN status_code <> 200 THEN 'status' WHEN kind = 'other' THEN 'content type' WHEN content_bytes > 25000 THEN 'size' END AS reason, kind FROM k""",
+    "q_content_type": "SELECT doc_id, CASE WHEN pdf THEN 'pdf' ELSE 'html' END AS kind, TRUE AS taken FROM documents",
+    "q_charset_detect": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-16le' ELSE 'utf-8' END AS charset FROM documents WHERE text IS NOT NULL",
+    "q_charset_decode": """SELECT doc_id, md5(CASE doc_id % 3 WHEN 1 THEN '<meta charset="utf-8">' || text ELSE text END) AS digest FROM documents WHERE text IS NOT NULL""",
+    "q_links_abs": f"""WITH {_LOG} SELECT request_id, lower(regexp_extract(parent_url, {_URL}, 1)) || '://' || {_AUTHORITY.format(u='parent_url')} || ({_path('url')}) AS url,
+      'http://h.test/a/x/' || request_id || '.html?a=1' AS up FROM log WHERE parent_url IS NOT NULL AND url IS NOT NULL""",
+    "q_robots_match": f"""WITH {_LOG}, {_CONFIG}, p AS (SELECT DISTINCT website, unnest(excludeurls) AS pattern FROM config WHERE website IS NOT NULL)
+      SELECT l.request_id, p.pattern, {_PATTERN.format(t=f"({_path('l.url')})", x='p.pattern')} AS match FROM log l JOIN p ON p.website = l.website""",
+    "q_robots_parse": f"""WITH {_ROBOTS}, own AS (SELECT host, unnest(x) AS value, generate_subscripts(x, 1) AS i FROM hosts)
+      SELECT host, CAST(1 + i AS INTEGER) AS line_no, '*' AS agent, 'disallow' AS kind, value FROM own WHERE value <> ''
+      UNION ALL SELECT host, CAST(2 + len(x) AS INTEGER), '*', 'crawl-delay', coalesce(CAST(mincrawldelay AS VARCHAR), 'none') FROM hosts
+      UNION ALL SELECT host, CAST(5 + len(x) AS INTEGER), 'other', 'disallow', '/' FROM hosts
+      UNION ALL SELECT host, CAST(6 + len(x) AS INTEGER), NULL, 'sitemap', rooturl FROM hosts""",
+    "q_robots_delay": f"WITH {_ROBOTS} SELECT host, CAST(least(coalesce(mincrawldelay, 0), 5) AS INTEGER) AS delay FROM hosts",
+    "q_html_tables": rf"""WITH {_BLOCKS}, t AS (SELECT doc_id, len(string_split(trim(block, '|'), '|')) AS k FROM blocks WHERE regexp_matches(block, '(?s)^\|.*\|$')),
+      c AS (SELECT doc_id, '1:2,1:1' AS coords FROM t UNION ALL SELECT doc_id, '2,2' FROM t UNION ALL SELECT doc_id, '1,' || unnest(range(2, k + 1)) FROM t)
+      SELECT doc_id AS page_id, coords, count(*) AS cells FROM c GROUP BY ALL""",
+    "q_html_lists": f"WITH {_BLOCKS} SELECT doc_id AS page_id, count(*) AS items, 2 AS level FROM blocks WHERE regexp_matches(block, '^- .') GROUP BY doc_id",
+    "q_nav_lists": f"WITH {_CONFIG} SELECT CAST(root_id AS BIGINT) AS page_id, CASE WHEN root_id % 2 = 0 THEN 'NavigationList' ELSE 'List' END AS elt_type, 1 AS lists FROM config WHERE len(excludeurls) > 0",
+    "q_html_hidden": f"""WITH {_BLOCKS}, n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM blocks)
+      SELECT doc_id AS page_id, count(*) AS shown, 1 AS level FROM n WHERE i % 3 <> 2 AND i % 5 <> 4 GROUP BY doc_id""",
+    "q_html_sections": f"""WITH {_BLOCKS}, h AS (SELECT doc_id, length(regexp_extract(block, '^(#{{1,6}}) ', 1)) AS l, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM blocks WHERE regexp_matches(block, '^#{{1,6}} [^#]')),
+      p AS (SELECT a.doc_id, a.i, j.i AS ji, j.l AS jl, min(k.l) AS least FROM h a JOIN h j ON j.doc_id = a.doc_id AND j.i < a.i JOIN h k ON k.doc_id = a.doc_id AND k.i > j.i AND k.i <= a.i GROUP BY ALL),
+      n AS (SELECT h.doc_id, h.i, 1 + count(p.ji) AS nesting_level FROM h LEFT JOIN p ON p.doc_id = h.doc_id AND p.i = h.i AND p.jl < p.least GROUP BY ALL)
+      SELECT doc_id AS page_id, CAST(nesting_level AS INTEGER) AS nesting_level, count(*) AS sections FROM n GROUP BY ALL""",
+    "q_links_nofollow": r"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '\]\((https?://[^)\s]+)\)', 1) AS u FROM documents WHERE text IS NOT NULL) SELECT doc_id AS page_id, (len(u) + 1) // 2 AS links FROM f WHERE len(u) > 0""",
+    "q_scan_pages": f"""WITH t AS (SELECT doc_id, pos, {_trim('line')} AS x FROM ({_SPLIT})),
+      made AS (SELECT doc_id, string_agg(CASE WHEN x = '' THEN '' WHEN starts_with(x, '# ') THEN '<h1>' || {_ENCODED.format(t=_trim("regexp_replace(x, '^# ', '')"))} || '</h1>' ELSE '<p>' || {_ENCODED.format(t='x')} END, chr(10) ORDER BY pos) AS body FROM t GROUP BY doc_id)
+      SELECT d.doc_id AS page_id, d.uri AS url, CAST(length('<html><head><title>' || {_ENCODED.format(t="coalesce(d.title, '')")} || '</title><style>p{{margin:0}}</style></head><body>' || m.body) AS INTEGER) AS chars
+      FROM documents d JOIN made m ON m.doc_id = d.doc_id""",
+    "q_group_unique": f"WITH {_GROUPS} SELECT doc_id AS page_id, pos AS origin, docelttype AS elt_type, has_unique AS contains_unique FROM groups_",
+    "q_unique_view_top": f"WITH {_GROUPS} SELECT doc_id AS page_id, pos AS origin, {_KIND} AS elt_type FROM view_ WHERE depth = 0",
+    "q_unique_view_nested": f"WITH {_GROUPS} SELECT doc_id AS page_id, pos AS origin, {_KIND} AS elt_type FROM view_ WHERE depth > 0",
+    "q_render_markdown": f"""WITH {_GROUPS} SELECT doc_id AS page_id, md5(string_agg(CASE WHEN doceltcmd = 'Start' THEN repeat('#', least(nestinglevel, 6)) || ' ' ELSE '' END || text || chr(10) || chr(10), '' ORDER BY pos) || chr(10)) AS digest
+      FROM view_ GROUP BY doc_id""",
+    "q_render_html": f"""WITH {_GROUPS}, x AS (SELECT doc_id, string_agg(CASE WHEN doceltcmd = 'Start' THEN '<h' || least(nestinglevel, 6) || '>' || {_ENCODED.format(t='text')} || '</h' || least(nestinglevel, 6) || '>'
+        ELSE '<div class="p-2">' || {_ENCODED.format(t='text')} || '</div>' END, chr(10) ORDER BY pos) AS body FROM view_ GROUP BY doc_id)
+      SELECT doc_id AS page_id, md5(concat_ws(chr(10), '<!doctype html>', '<html>', '<head>', '<title></title>', '<meta name="Uri" content="">', '</head>', '<body>', '<div class="p-2"><a href="" target="_blank"></a></div>', body, '</body>', '</html>', '')) AS digest FROM x""",
+    "q_legacy_parse": f"""WITH {_ELEMENTS}, own AS (SELECT * FROM elements WHERE text IS NOT NULL AND trim(text) <> '' AND NOT starts_with(trim(text), '##') AND NOT contains(text, chr(10)) AND NOT contains(text, chr(13)) AND docelttype <> 'Document')
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, {_KIND} AS elt_type, doceltcmd AS cmd, md5(text) AS digest FROM own""",
+    "q_pdf_blocks": f"WITH {_PDF} SELECT doc_id, pos AS ord, md5(text) AS digest FROM nested",
+    "q_pdf_titles": f"""WITH {_PDF} SELECT doc_id, pos AS ord, CASE WHEN title THEN 'Section' ELSE 'TextBlock' END AS elt_type, CAST(n + CASE WHEN title THEN 0 ELSE 1 END AS INTEGER) AS nesting_level FROM nested""",
 }

@@ -103,14 +103,18 @@ def q_size_category(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_lang_accept(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.createDataFrame([("__label__fr", 0.61), ("__label__fr", 0.6), ("__label__ceb", 0.9), ("__label__en", None)], "label string, score double")
-    return rows.select("label", "score", T.accepted_language(F.col("label"), F.col("score")).alias("lang"))
+    """Labels of the elements with the share of letters in their text as score: those above the threshold are accepted."""
+    own = _elements(spark, path).where("hashcode IS NOT NULL")
+    score = F.col("letterchars") / F.when(F.col("chars") > 0, F.col("chars"))
+    return own.select("element_id", T.accepted_language(F.concat(F.lit("__label__"), "lang"), score).alias("accepted"))
 
 
 @query
 def q_cell_coords(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 1, 2, 1), (2, 3, 1, 1), (1, 1, 1, 2)], "r int, rs int, c int, cs int")
-    return rows.select("r", "rs", "c", "cs", T.cell_coordinates(F.col("r"), F.col("rs"), F.col("c"), F.col("cs")).alias("coords"))
+    """Coordinates of cells at the place of each element, with spans of its numbers."""
+    own = _elements(spark, path).where("words IS NOT NULL")
+    row, col = F.col("pos") + 1, F.col("nestinglevel") + 1
+    return own.select("element_id", T.cell_coordinates(row, F.col("words") % 3 + 1, col, F.col("numberchars") % 2 + 1).alias("coords"))
 
 
 # ---- addresses ----
@@ -296,10 +300,22 @@ def q_status(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_request_log(spark: SparkSession, path: str) -> DataFrame:
-    log = _requests(spark, path)
-    return log.select(
-        "request_id", F.date_format("clock", "HH:mm:ss.SSS").alias("clock"), "url", "status_code", "content_bytes", F.coalesce(C.request_log_line(F.col("error_message")), F.lit("")).alias("message"),
-    )
+    """The request log with its thirteen columns."""
+    return C.request_log_rows(_requests(spark, path), "request_id")
+
+
+@query
+def q_exceptions_log(spark: SparkSession, path: str) -> DataFrame:
+    return C.exceptions_log(_requests(spark, path), "request_id")
+
+
+@query
+def q_internal_uri(spark: SparkSession, path: str) -> DataFrame:
+    """Requests that belong to the crawl of their website, as it was asked for or as it moved."""
+    log = _requests(spark, path).where("website IS NOT NULL")
+    root = F.concat(F.lit("http://"), F.col("website"), F.lit("/"))
+    moved = F.coalesce("redirected_from", F.col("parent_url"))
+    return log.select("request_id", FR.is_internal(F.col("url"), root, moved, "subdomain").alias("internal"))
 
 
 @query
@@ -317,18 +333,38 @@ def q_crawl_decision(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_download_decision(spark: SparkSession, path: str) -> DataFrame:
-    kind = F.when(F.col("request_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("request_id") % 3 == 1, "application/pdf").otherwise("image/png")
+    kind = F.when(U.is_pdf(F.col("url")), "application/pdf").when(F.lower("url").rlike(r"\.(png|jpe?g|gif|css|js)$"), "image/png").otherwise("text/html; charset=utf-8")
     log = _requests(spark, path)
     return log.select("request_id", FR.download_decision(F.col("status_code"), kind, F.col("content_bytes"), 25_000).alias("reason"), FR.content_kind(kind).alias("kind"))
 
 
+@query
+def q_content_type(spark: SparkSession, path: str) -> DataFrame:
+    """Kinds of the documents by the type that their address names."""
+    kind = F.when(F.col("pdf"), F.lit(" Application/PDF")).otherwise(F.lit("TEXT/html; charset=utf-8"))
+    return _docs(spark, path).select("doc_id", FR.content_kind(kind).alias("kind"), FR.is_downloadable(kind).alias("taken"))
+
+
+def _bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Texts of documents as bytes of three encodings, named by the header, by a meta tag, and by neither."""
+    turn, text = F.col("doc_id") % 3, F.col("text")
+    tagged = F.concat(F.lit('<meta charset="utf-8">'), text)
+    body = F.when(turn == 0, F.encode(text, "UTF-16LE")).when(turn == 1, F.encode(tagged, "UTF-8")).otherwise(F.encode(text, "UTF-8"))
+    kind = F.when(turn == 0, F.lit("text/html; charset=UTF-16LE")).otherwise(F.lit("text/html"))
+    return _docs(spark, path).where("text IS NOT NULL").select("doc_id", body.alias("body"), kind.alias("type"))
+
+
 @query
 def q_charset_detect(spark: SparkSession, path: str) -> DataFrame:
-    rows = [
-        (1, "text/html; charset=ISO-8859-1", ""), (2, "text/html", '<html><meta charset="cp1251">'), (3, "text/html", '<meta http-equiv="Content-Type" content="text/html; charset=utf-16">'),
-        (4, None, "<p>none</p>"), (5, 'text/html; charset="UTF-8"', "<meta charset=latin1>"),
-    ]
-    return spark.createDataFrame(rows, "id int, type string, body string").select("id", FR.charset(F.col("type"), F.col("body")).alias("charset"))
+    head = F.decode(F.substring("body", 1, 2048), "ISO-8859-1")
+    return _bodies(spark, path).select("doc_id", FR.charset(F.col("type"), head).alias("charset"))
+
+
+@query
+def q_charset_decode(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of the texts of all documents, decoded from bytes of the encoding that was found."""
+    text = FR.decoded(F.col("body"), F.col("type"))
+    return _bodies(spark, path).select("doc_id", F.md5(text).alias("digest"))
 
 
 @query
@@ -369,11 +405,10 @@ def q_links(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_links_abs(spark: SparkSession, path: str) -> DataFrame:
-    rows = [
-        (1, "http://h.example/a/b.html?q=1", "c.html#x"), (2, "http://h.example/a/b.html", "../d/./e"), (3, "https://h.example:443/a/", "//other.test/p"),
-        (4, "http://h.example/a/b", "?z=2"), (5, "http://h.example/a/b", "#top"), (6, "http://H.example:80/a", "HTTPS://Up.Example/X?y#z"), (7, "http://h.example/a/b/c", "/root"), (8, "http://h.example/a/b/c", ".."),
-    ]
-    return spark.createDataFrame(rows, "id int, base string, href string").select("id", FR.resolve(F.col("base"), F.col("href")).alias("url"))
+    """Paths of all requests as links from the pages they were found on."""
+    log = _requests(spark, path).where("parent_url IS NOT NULL AND url IS NOT NULL")
+    relative = F.concat(F.lit("../x/./"), F.col("request_id").cast("string"), F.lit(".html?a=1#f"))
+    return log.select("request_id", FR.resolve(F.col("parent_url"), U.path(F.col("url"))).alias("url"), FR.resolve(F.concat(F.lit("http://h.test/a/b/"), F.col("request_id")), relative).alias("up"))
 
 
 # ---- robots ----
@@ -388,27 +423,32 @@ def q_robots_allowed(spark: SparkSession, path: str) -> DataFrame:
     return R.allowed(_requests(spark, path), rules, U.host(F.col("url")), target).select("request_id", "robots_allowed")
 
 
-@query
-def q_robots_match(spark: SparkSession, path: str) -> DataFrame:
-    rows = [("/*.php$", "/a/b.php"), ("/*.php$", "/a/b.php?x"), ("/a", "/a/b"), ("/a$", "/a/b"), ("/x.y", "/xzy"), ("/*?id=", "/p?id=3"), ("/search", "/research")]
-    return spark.createDataFrame(rows, "pattern string, target string").select("pattern", "target", F.rlike(F.col("target"), R.pattern_regex(F.col("pattern"))).alias("match"))
+def _robots_files(spark: SparkSession, path: str) -> DataFrame:
+    """A robots.txt for each configured root: its exclusions for every agent, its delay, and rules for another agent."""
+    config = files.effective_config(_table(spark, path, "websites")).where("website IS NOT NULL")
+    rules = F.transform(F.coalesce("excludeurls", F.array().cast("array<string>")), lambda x: F.concat(F.lit("Disallow: "), x, F.lit(" # own")))
+    delay = F.concat(F.lit("Crawl-delay: "), F.coalesce(F.col("mincrawldelay").cast("string"), F.lit("none")))
+    lines = F.concat(F.array(F.lit("# rules"), F.lit("User-agent: *")), rules, F.array(delay, F.lit(""), F.lit("User-agent: other"), F.lit("Disallow: /"), F.concat(F.lit("Sitemap: "), "rooturl")))
+    return config.where("rooturl IS NOT NULL").select(F.col("root_id").cast("string").alias("host"), F.array_join(lines, "\r\n").alias("text"))
 
 
-ROBOTS_SAMPLE = [
-    ("one.test", "# all\nUser-agent: *\nDisallow: /private # secret\nAllow: /private/open\nCrawl-delay: 10\n\nUser-agent: BingBot\nUser-agent: other\nDisallow: /b\nSitemap: http://one.test/s.xml"),
-    ("two.test", "User-agent: *\r\nDisallow:\r\nDisallow: /*.php$\r\ncrawl-delay: soon"),
-    ("three.test", "Disallow: /before\nnothing here"),
-]
+@query
+def q_robots_match(spark: SparkSession, path: str) -> DataFrame:
+    """Each request against each exclusion of its website."""
+    config = files.effective_config(_table(spark, path, "websites")).where("website IS NOT NULL")
+    patterns = config.select("website", F.explode("excludeurls").alias("pattern")).distinct()
+    log = _requests(spark, path).select("request_id", "website", U.path(F.col("url")).alias("target"))
+    return log.join(patterns, "website").select("request_id", "pattern", F.rlike(F.col("target"), R.pattern_regex(F.col("pattern"))).alias("match"))
 
 
 @query
 def q_robots_parse(spark: SparkSession, path: str) -> DataFrame:
-    return R.rules(spark.createDataFrame(ROBOTS_SAMPLE, "host string, text string"))
+    return R.rules(_robots_files(spark, path))
 
 
 @query
 def q_robots_delay(spark: SparkSession, path: str) -> DataFrame:
-    return R.crawl_delay(R.for_agent(R.rules(spark.createDataFrame(ROBOTS_SAMPLE, "host string, text string")), "nobody"))
+    return R.crawl_delay(R.for_agent(R.rules(_robots_files(spark, path)), "nobody"))
 
 
 # ---- dataset ----
@@ -506,42 +546,73 @@ def q_html_elements(spark: SparkSession, path: str) -> DataFrame:
     return html.html_elements(_html_pages(spark, path)).select("page_id", "pos", "elt_type", "cmd", "nesting_level", "text", F.size("path").alias("depth"))
 
 
-HTML_SAMPLE = [
-    (1, "<div>A<div>B</div>C</div>"), (2, "<p>foo<b>bar</b><br>x</p>"), (3, "<ul><li><a>1</a></li><li><a>2</a></li></ul>"), (4, "<ul><li><b>1</b></li><li><b>2</b></li></ul>"),
-    (5, '<div class="research">t</div><p aria-hidden="false">t</p>left'), (6, "<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr></table>"),
-    (7, "<table><caption>c</caption><tr><th colspan=2>h</th></tr></table>"), (8, '<a style="display:inline-block">x</a>'), (9, "<h1>a</h1><p>1</p><h2>b</h2><p>2</p><h2>c</h2>"),
-    (10, '<a href="x.html">l</a><a href="y" rel="nofollow">m</a><area href="z">'), (11, '<meta name="robots" content="NOINDEX, NOFOLLOW"><a href="q">n</a>'),
-]
+def _built_pages(spark: SparkSession, path: str, build) -> DataFrame:
+    """Pages of all documents whose body ``build`` makes of the array of their trimmed lines that are not blank."""
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: T.trimmed(x)), lambda x: x != "")
+    rows = _docs(spark, path).where("text IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.col("uri").alias("url"), lines.alias("lines"))
+    return rows.select("page_id", "url", F.concat(F.lit("<body>"), F.array_join(build(F.col("lines")), "")).alias("html"))
 
 
-def _sample_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, f"http://h.example/{i}/", h) for i, h in HTML_SAMPLE], "page_id bigint, url string, html string")
+@query
+def q_html_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of the Markdown tables of documents, made into tables whose first cell spans two rows."""
+    cell = lambda x, i: F.concat(F.when(i == 0, F.lit("<td rowspan=2>")).otherwise(F.lit("<td>")), T.html_encoded(T.trimmed(x)))
+    row = lambda x: F.concat(F.lit("<table><tr>"), F.array_join(F.transform(F.split(F.btrim(x, F.lit("|")), r"\|", -1), cell), ""), F.lit("<tr><td>x</table>"))
+    pages = _built_pages(spark, path, lambda a: F.transform(F.filter(a, lambda x: x.rlike(r"(?s)^\|.*\|$")), row))
+    rows = html.html_elements(pages).where("`row` IS NOT NULL AND cmd = 'Start'")
+    return rows.groupBy("page_id", T.cell_coordinates(F.col("row"), F.col("rowspan"), F.col("col"), F.col("colspan")).alias("coords")).agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query
-def q_html_tables(spark: SparkSession, path: str) -> DataFrame:
-    rows = html.html_elements(_sample_pages(spark)).where("`row` IS NOT NULL")
-    return rows.select("page_id", "elt_type", T.cell_coordinates(F.col("row"), F.col("rowspan"), F.col("col"), F.col("colspan")).alias("coords"))
+def q_html_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Items of the lists of documents, in one list a page."""
+    pages = _built_pages(spark, path, lambda a: F.concat(F.array(F.lit("<ul>")), F.transform(F.filter(a, lambda x: x.rlike("^- .")), lambda x: F.concat(F.lit("<li>"), T.html_encoded(F.substring(x, F.lit(3), F.length(x)))))))
+    return html.html_elements(pages).where("elt_type = 'ListItem' AND cmd = 'Start'").groupBy("page_id").agg(F.count(F.lit(1)).alias("items"), F.max("nesting_level").alias("level"))
 
 
 @query
 def q_nav_lists(spark: SparkSession, path: str) -> DataFrame:
-    return html.html_elements(_sample_pages(spark)).where("cmd = 'Start' AND elt_type LIKE '%List'").select("page_id", "elt_type")
+    """Lists of the exclusions of each root: of links alone they are for navigation, with bold items they are not."""
+    config = files.effective_config(_table(spark, path, "websites")).where("size(excludeurls) > 0")
+    tag = F.when(F.col("root_id") % 2 == 0, F.lit("a")).otherwise(F.lit("b"))
+    items = F.transform("excludeurls", lambda x: F.concat(F.lit("<li><"), tag, F.lit(">"), x, F.lit("</"), tag, F.lit(">")))
+    pages = config.select(F.col("root_id").cast("bigint").alias("page_id"), F.concat(F.lit("<ul>"), F.array_join(items, "")).alias("html"))
+    return html.html_elements(pages).where("cmd = 'Start' AND elt_type LIKE '%List'").select("page_id", "elt_type", F.lit(1).alias("lists"))
 
 
 @query
 def q_html_hidden(spark: SparkSession, path: str) -> DataFrame:
-    return html.html_elements(_sample_pages(spark)).where("elt_type = 'TextBlock'").select("page_id", "text", "nesting_level")
+    """Blocks of documents of which every third one is hidden by its class, and every fifth one by an attribute."""
+    mark = lambda i: F.when(i % 3 == 2, F.lit("<p class='is-hidden x'>")).when(i % 5 == 4, F.lit("<p aria-hidden=false>")).otherwise(F.lit("<p>"))
+    pages = _built_pages(spark, path, lambda a: F.transform(a, lambda x, i: F.concat(mark(i), T.html_encoded(x))))
+    rows = html.html_elements(pages).where("elt_type = 'TextBlock'")
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("shown"), F.min("nesting_level").alias("level"))
 
 
 @query
 def q_html_sections(spark: SparkSession, path: str) -> DataFrame:
-    return html.html_elements(_sample_pages(spark)).where("elt_type = 'Section' AND cmd = 'Start'").select("page_id", "text", "nesting_level")
+    """Nesting of the headings of documents as headings of one body, behind a first line of text."""
+    level = lambda x: F.length(F.regexp_extract(x, "^(#{1,6}) ", 1)).cast("string")
+    made = lambda x: F.concat(F.lit("<h"), level(x), F.lit(">"), T.html_encoded(F.regexp_replace(x, "^#+ ", "")), F.lit("</h"), level(x), F.lit(">"))
+    pages = _built_pages(spark, path, lambda a: F.concat(F.array(F.lit("<p>start</p>")), F.transform(F.filter(a, lambda x: x.rlike("^#{1,6} [^#]")), made)))
+    rows = html.html_elements(pages).where("elt_type = 'Section' AND cmd = 'Start'")
+    return rows.groupBy("page_id", "nesting_level").agg(F.count(F.lit(1)).alias("sections"))
 
 
 @query
 def q_links_nofollow(spark: SparkSession, path: str) -> DataFrame:
-    return crawl.links_of(_sample_pages(spark)).select("page_id", "url")
+    """Links of documents as anchors of a page, of which every second one is not to be followed."""
+    found = F.regexp_extract_all("text", F.lit(r"\]\((https?://[^)\s]+)\)"), F.lit(1))
+    anchor = F.transform(found, lambda x, i: F.concat(F.when(i % 2 == 1, F.lit('<a rel="NoFollow " href="')).otherwise(F.lit('<a href="')), T.html_encoded(x), F.lit('">x</a>')))
+    pages = _docs(spark, path).where("text IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.col("uri").alias("url"), F.array_join(anchor, "").alias("html"))
+    links = html.html_links(pages).where("NOT nofollow")
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query
+def q_scan_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages made of the documents, as the extraction reads them."""
+    return _html_pages(spark, path).select("page_id", "url", F.length("html").alias("chars"))
 
 
 def _page_view(spark: SparkSession, path: str) -> DataFrame:
@@ -552,46 +623,63 @@ def _page_view(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(texts, ["page_id", "pos"], "left")
 
 
-def _sample_view(spark: SparkSession) -> DataFrame:
-    """Rows of two pages of one site, with uniqueness claimed over both."""
-    pages = [
-        (1, "<h1>X</h1><p>dup</p><p>new</p>"), (2, "<h1>Y</h1><p>dup</p><h1>Z</h1><ul><li>dup</li><li>other</li></ul>"), (3, "<p>dup</p><table><tr><td>new</td></tr></table>tail"),
-    ]
-    rows = html.html_elements(spark.createDataFrame(pages, "page_id bigint, html string")).withColumn("site", F.lit("s"))
-    texts = B.claim_unique(rows.where("text IS NOT NULL"), "site", ("page_id", "pos"), "text").select("page_id", "pos", "is_unique")
-    return rows.join(texts, ["page_id", "pos"], "left")
+def _element_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The elements table as trees: every text is a block, groups end where the nesting does."""
+    own = _elements(spark, path).where("docelttype <> 'Document'")
+    kind = F.when(F.col("doceltcmd") == "Text", F.lit("TextBlock")).otherwise(F.col("docelttype"))
+    return B.implied_tree(own.select(F.col("doc_id").alias("page_id"), "pos", kind.alias("elt_type"), F.col("doceltcmd").alias("cmd"), F.col("nestinglevel").alias("nesting_level"), "text", F.col("isunique").alias("is_unique")))
 
 
 @query
 def q_group_unique(spark: SparkSession, path: str) -> DataFrame:
-    return B.group_unique(_sample_view(spark))
+    """Groups of the elements table, and whether there is unique text below them."""
+    tree = checkpointed(_element_tree(spark, path))
+    return B.group_unique(tree).join(tree.select("page_id", "pos", "origin"), ["page_id", "pos"]).select("page_id", "origin", "elt_type", "contains_unique")
 
 
-@query
-def q_group_unique_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The groups of q_group_unique, of the pages of all documents."""
-    return B.group_unique(_page_view(spark, path))
+def _element_view(spark: SparkSession, path: str) -> DataFrame:
+    return B.unique_view(checkpointed(_element_tree(spark, path)))
 
 
 @query
-def q_html_sections_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The sections of q_html_sections, of the pages of all documents."""
-    return html.html_elements(_html_pages(spark, path)).where("elt_type = 'Section' AND cmd = 'Start'").select("page_id", "text", "nesting_level")
+def q_unique_view_top(spark: SparkSession, path: str) -> DataFrame:
+    """Elements that text output keeps outside of any group."""
+    return _element_view(spark, path).where("cmd <> 'End' AND size(path) = 0").select("page_id", "origin", "elt_type")
 
 
 @query
-def q_unique_view(spark: SparkSession, path: str) -> DataFrame:
-    return B.unique_view(_page_view(spark, path)).select("page_id", "pos", "elt_type", "cmd", "text")
+def q_unique_view_nested(spark: SparkSession, path: str) -> DataFrame:
+    """Elements that text output keeps within groups."""
+    return _element_view(spark, path).where("cmd <> 'End' AND size(path) > 0").select("page_id", "origin", "elt_type")
+
+
+def _rendered(spark: SparkSession, path: str, form: str) -> DataFrame:
+    plain = [F.lit(None).cast("int").alias(n) for n in ("row", "rowspan", "col", "colspan")]
+    view = _element_view(spark, path).select("*", F.lit(None).cast("string").alias("title"), *plain)
+    return render.render_documents(view, form).select("page_id", F.md5("text").alias("digest"))
 
 
 @query
 def q_render_markdown(spark: SparkSession, path: str) -> DataFrame:
-    return render.render_documents(B.unique_view(_page_view(spark, path)), "markdown")
+    """Digests of the Markdown of the documents of the elements table."""
+    return _rendered(spark, path, "markdown")
 
 
 @query
 def q_render_html(spark: SparkSession, path: str) -> DataFrame:
-    return render.render_documents(B.unique_view(_page_view(spark, path)), "html")
+    return _rendered(spark, path, "html")
+
+
+@query
+def q_group_unique_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The groups of q_group_unique, of the pages of all documents."""
+    return B.group_unique(_page_view(spark, path))
+
+
+@query
+def q_unique_view_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Elements that text output keeps of the pages of all documents."""
+    return B.unique_view(_page_view(spark, path)).select("page_id", "pos", "elt_type", "cmd", "text")
 
 
 @query
@@ -615,28 +703,32 @@ def q_csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_legacy_parse(spark: SparkSession, path: str) -> DataFrame:
-    text = "## NLPTextDocument Title T\n## 1 Section Start S\nplain\n\n## 2 List Items L >> a || b\n## 1 Section End S\nlast"
-    return files.parse_legacy(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
-
-
-PDF_SAMPLE = [
-    (1, 1, 1, "Header", 1, 9.0, True), (1, 1, 2, "Title", 1, 20.0, False), (1, 1, 3, "Body of the page.", 5, 10.0, False), (1, 2, 4, "-", 1, 10.0, False),
-    (1, 2, 5, "Part", 2, 14.0, False), (1, 2, 6, "More text.", 3, 10.0, False), (2, 1, 1, "Only", 1, 9.0, True), (2, 1, 2, "x", 1, 9.0, False),
-]
-
-
-def _pdf(spark: SparkSession) -> DataFrame:
-    return files.pdf_elements(spark.createDataFrame(PDF_SAMPLE, "doc_id int, page int, ord int, text string, n_lines int, line_height double, decoration boolean"))
+    """The elements of each document written in the older line form and read again."""
+    own = _elements(spark, path).where("text IS NOT NULL AND trim(text) <> '' AND NOT startswith(trim(text), '##') AND NOT contains(text, '\n') AND NOT contains(text, '\r') AND docelttype <> 'Document'")
+    line = F.when(F.col("doceltcmd") == "Start", F.concat(F.lit("## "), F.col("nestinglevel").cast("string"), F.lit(" Section Start "), "text")).otherwise(F.col("text"))
+    docs = own.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return files.parse_legacy(docs).select("doc_id", "pos", "elt_type", "cmd", F.md5("text").alias("digest"))
+
+
+def _pdf(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of the documents that are PDF files: their lines as blocks, headings set larger, forty blocks a page, a running head on each."""
+    lines = B.explode_blocks(_docs(spark, path).where("pdf"), keep=()).select("doc_id", "pos", "block")
+    title = F.col("block").startswith("#")
+    blocks = lines.select(
+        "doc_id", F.floor(F.col("pos") / 40).alias("page"), F.col("pos").alias("ord"), F.regexp_replace("block", "^#+ *", "").alias("text"), F.lit(1).alias("n_lines"),
+        F.when(title, 20.0).otherwise(10.0).alias("line_height"), (F.col("pos") % 40 == 39).alias("decoration"),
+    )
+    return files.pdf_elements(blocks)
 
 
 @query
 def q_pdf_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return _pdf(spark).select("doc_id", "ord", "text")
+    return _pdf(spark, path).select("doc_id", "ord", F.md5("text").alias("digest"))
 
 
 @query
 def q_pdf_titles(spark: SparkSession, path: str) -> DataFrame:
-    return _pdf(spark).select("doc_id", "ord", "elt_type", "nesting_level")
+    return _pdf(spark, path).select("doc_id", "ord", "elt_type", "nesting_level")
 
 
 @query

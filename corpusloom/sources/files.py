@@ -39,8 +39,8 @@ def read_elements_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Fixed marks of the older text form.
-_LEGACY_PROPERTY = r"^## NLPTextDocument (\w+) ?(.*)$"
-_LEGACY_ELEMENT = r"^## (\d+) (\w+) (Start|End|Items) ?(.*)$"
+_LEGACY_PROPERTY = r"(?s)^## NLPTextDocument (\w+) ?(.*)$"
+_LEGACY_ELEMENT = r"(?s)^## (\d+) (\w+) (Start|End|Items) ?(.*)$"
 
 
 def parse_legacy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
