@@ -83,7 +83,7 @@ cet article vous a-t-il été utile*; was this page helpful*; war diese seite hi
 abonnez-vous*; recevez chaque semaine*; subscribe for free*; get the weekly letter*; kostenlos abonnieren*; jede woche der rundbrief*;
 suscríbase*; reciba cada semana*; iscriviti gratis*; ricevi ogni settimana*;
 mots-clés*; mots clés*; tags : *; tags: *; keywords*; schlagwörter*; stichwörter*; palabras clave*; etiquetas*; parole chiave*;
-toute reproduction*; *décline toute responsabilité*; les informations publiées par*; © 0*; (c) 0*; un site édité par*; * société au capital de*;
+toute reproduction*; *décline toute responsabilité*; les informations publiées par*; (c) 0*; un site édité par*; * société au capital de*;
 service client*0*; avant de signer un crédit*; un placement qui a bien marché*;
 no part of this page may be copied*; *accepts no liability*; the information published by*; a site published by*; *is a company registered in*;
 customer service*0*; before you sign for a loan*; an investment that did well*;
@@ -163,7 +163,7 @@ class Phrases:
     a phrase must make up a part of the line, a larger one if it may stand anywhere.
     """
 
-    HEAD, LONG_HEAD = 3, 7
+    HEADS = 7, 3, 1
     HEAD_PART, INSIDE_PART = 24, 7
 
     def __init__(self, blocks: list[str]):
@@ -175,8 +175,8 @@ class Phrases:
                 if not any(p.strip() for p in parts):
                     continue
                 pattern, letters = re.compile(".*".join(map(re.escape, parts)) + "$"), sum(map(len, parts))
-                if len(parts[0]) >= self.HEAD:
-                    head = parts[0][: self.LONG_HEAD if len(parts[0]) >= self.LONG_HEAD else self.HEAD]
+                if parts[0]:
+                    head = parts[0][: next(n for n in self.HEADS if len(parts[0]) >= n)]
                     self.by_head.setdefault(head, []).append((number, self.HEAD_PART * letters, pattern))
                 else:
                     inside.setdefault(max(parts, key=len), []).append((number, self.INSIDE_PART * letters, pattern))
@@ -187,12 +187,12 @@ class Phrases:
 
     def may(self, key: str) -> bool:
         """Whether any phrase can stand in a key."""
-        return key[: self.HEAD] in self.by_head or key[: self.LONG_HEAD] in self.by_head or next(self.automaton.iter(key), None) is not None
+        return key[:7] in self.by_head or key[:3] in self.by_head or key[:1] in self.by_head or next(self.automaton.iter(key), None) is not None
 
     def number(self, key: str) -> int | None:
         """Number of the first list with a phrase that is the whole key."""
         found = None
-        for head in (key[: self.HEAD], key[: self.LONG_HEAD]):
+        for head in (key[:7], key[:3], key[:1]):
             for number, longest, pattern in self.by_head.get(head, ()):
                 if (found is None or number < found) and longest >= len(key) and pattern.match(key):
                     found = number

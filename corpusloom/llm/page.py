@@ -47,7 +47,7 @@ _DIGITS = re.compile(r"[0-9]+")
 #: Longer than any label of a menu.
 LABEL_LENGTH = max(map(len, LABEL_KEYS | RELATED_KEYS)) + 4
 #: Beginnings of all labels and heads of boxes.
-LABEL_HEADS = frozenset(x[: KNOWN.HEAD] for x in RELATED_KEYS | LABEL_KEYS)
+LABEL_HEADS = frozenset(x[:3] for x in RELATED_KEYS | LABEL_KEYS)
 _URL = re.compile(r"\.(?:example|test|com|org|net)\b|https?:|www\.")
 
 
@@ -69,11 +69,13 @@ def phrase_kind(line: str, key: str | None = None, parts: list[str] | None = Non
     A phrase must make up a part of what it is found in.  It may be the whole line; of a line of more than two sentences
     the first one must be a phrase of the frame, or half of them messages or fillers.
     """
+    if line[0] == "©":
+        return FRAME
     bare = _MARK.sub("", skeleton(line) if key is None else key)
     if parts is None:
         parts = parted(line)
     known = KNOWN.may(bare)
-    if not known and len(parts) < 2 and (len(line) > LABEL_LENGTH or bare[: KNOWN.HEAD] not in LABEL_HEADS):
+    if not known and len(parts) < 2 and (len(line) > LABEL_LENGTH or bare[:3] not in LABEL_HEADS):
         return None
     if known and len(line) > LABEL_LENGTH:
         sentences = _SENTENCES.split(line)
