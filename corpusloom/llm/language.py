@@ -47,14 +47,29 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CELL = re.compile(r"[\s;|]+")
 
 
+class _Index(dict):
+    """Hash of a feature by its name, kept in memory up to a bound."""
+
+    BOUND = 400_000
+
+    def __missing__(self, name: str) -> int:
+        if len(self) >= self.BOUND:
+            self.clear()
+        value = self[name] = xxhash.xxh32_intdigest(name) & (FEATURES - 1)
+        return value
+
+
+_index = _Index().__getitem__
+
+
 def word_features(word: str, lexicon: dict[str, set[str]]) -> list[int]:
     """Hashed affixes, letter n-grams and lexicon entries of a word."""
     framed = f"^{word}$"
+    n = len(framed)
     names = [f"w={word}", *(f"lex={lang}" for lang in sorted(lexicon.get(word, ())))]
-    names += [f"p={framed[:k]}" for k in (2, 3, 4)] + [f"s={framed[-k:]}" for k in (2, 3, 4, 5)]
-    for k in (2, 3, 4):
-        names += {f"g={framed[i : i + k]}" for i in range(len(framed) - k + 1)}
-    return [xxhash.xxh32_intdigest(n) & (FEATURES - 1) for n in names]
+    names += ["p=" + framed[:k] for k in (2, 3, 4)] + ["s=" + framed[-k:] for k in (2, 3, 4, 5)]
+    names += {"g=" + framed[i : i + k] for k in (2, 3, 4) for i in range(n - k + 1)}
+    return list(map(_index, names))
 
 
 def forward_backward(emission: np.ndarray, mask: np.ndarray, transition: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +109,7 @@ class Tagger:
         self.weights, self.transition, self.start, self.lexicon = weights.astype(np.float32), transition.astype(np.float32), start.astype(np.float32), lexicon
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, len(LANGUAGES)), np.float32)
+        self.waiting: list[list[int]] = []
 
     def ids(self, words: list[str]) -> list[int]:
         """Row of each word in the table of emissions, which grows with the words met and is dropped at a bound."""
@@ -104,14 +120,26 @@ class Tagger:
             pass
         for w in words:
             if w not in index:
-                if len(index) == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[len(index)] = self.weights[word_features(w, self.lexicon)].sum(axis=0)
+                self.waiting.append(word_features(w, self.lexicon))
                 index[w] = len(index)
         return [index[w] for w in words]
 
+    def _fill(self) -> None:
+        """Emissions of the words met since the last time, all at once."""
+        if not self.waiting:
+            return
+        sizes = np.array([len(f) for f in self.waiting])
+        flat = np.concatenate([np.array(f) for f in self.waiting])
+        made = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        end = len(self.index)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(end, len(self.rows)), len(LANGUAGES)), np.float32)])
+        self.rows[end - len(made) : end] = made
+        self.waiting = []
+
     def _marginals(self, lines: list[list[int]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Numbers of lines of like length, the marginals of their words, and which places hold a word."""
+        self._fill()
         order = sorted((i for i, x in enumerate(lines) if x), key=lambda i: len(lines[i]))
         at = 0
         while at < len(order):
