@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import url as U
+from corpusloom.storage import checkpointed
 
 LAST = 10
 
@@ -23,29 +24,62 @@ class Limits:
     max_size_on_disk: int = 0  # megabytes
 
 
-def last_mean(pct: Column, site: str, seq: str, last: int = LAST) -> Column:
-    """Mean of a value over the last documents of a site, up to and with this one."""
-    return F.avg(pct).over(Window.partitionBy(site).orderBy(seq).rowsBetween(1 - last, 0))
+#: Rows of a site that are put in order in one task; a larger site is cut into more parts.
+PART_ROWS = 1 << 16
+
+
+def numbered(rows: DataFrame, site: str, seq: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Rows with ``_rank``, their number from 1 in the order of ``seq`` within a site, and running sums of columns under new names.
+
+    A site is cut into parts of about PART_ROWS rows by ranges of ``seq``, a number; each part is ordered in a task of its
+    own, and what stands before a part is added from the totals of the parts.  So the plan does not
+    depend on the size of a site.
+    """
+    sums = sums or {}
+    spans = rows.groupBy(F.col(site).alias("_site")).agg(F.min(seq).alias("_low"), F.max(seq).alias("_high"), F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
+    part = F.floor((F.col(seq) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_parts"))
+    placed = rows.join(spans, F.col(site).eqNullSafe(F.col("_site"))).withColumn("_part", F.coalesce(part, F.lit(0).cast("bigint"))).drop("_site", "_low", "_high", "_parts")
+    totals = placed.groupBy(F.col(site).alias("_site"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()))
+    before = Window.partitionBy("_site").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    offset = lambda c, n: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n)
+    offsets = totals.select("_site", "_p", offset("_n", "_n"), *(offset(f"_sum_{n}", f"_sum_{n}") for n in sums))
+    upto = Window.partitionBy(site, "_part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({"_rank": F.row_number().over(upto).cast("bigint"), **{n: F.sum(c).over(upto) for n, c in sums.items()}})
+    joined = own.join(offsets, F.col(site).eqNullSafe(F.col("_site")) & (F.col("_part") == F.col("_p")))
+    made = {"_rank": F.col("_rank") + F.col("_n"), **{n: F.col(n) + F.col(f"_sum_{n}") for n in sums}}
+    return joined.withColumns(made).drop("_part", "_site", "_p", "_n", *(f"_sum_{n}" for n in sums))
+
+
+def with_last_mean(ranked: DataFrame, site: str, value: str, name: str, last: int = LAST) -> DataFrame:
+    """Numbered rows with the mean of a value over the last documents of their site, up to and with their own.
+
+    Rows are put in order in blocks of PART_ROWS by their number; the last ones of a block are copied to the next, where
+    they are counted and left out.
+    """
+    block = F.floor((F.col("_rank") - 1) / PART_ROWS)
+    tail = (F.col("_rank") - 1) % PART_ROWS > PART_ROWS - last
+    copies = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
+    placed = ranked.withColumn("_block", F.explode(copies))
+    window = Window.partitionBy(site, "_block").orderBy("_rank").rowsBetween(1 - last, 0)
+    return placed.withColumn(name, F.avg(value).over(window)).where(F.col("_block") == block).drop("_block")
 
 
 def unique_last(documents: DataFrame, site: str, seq: str, pct: str = "pct_unique", last: int = LAST) -> DataFrame:
-    return documents.withColumn("unique_last", last_mean(F.col(pct), site, seq, last))
+    own = checkpointed(documents)  # a few numbers a document, read for the spans of sites, the totals of parts and the rows
+    return with_last_mean(numbered(own, site, seq), site, pct, "unique_last", last).drop("_rank")
 
 
 def stop_events(pages: DataFrame, site: str, seq: str, limits: Limits, strict_parity: bool = True) -> DataFrame:
     """(site, seq, reason): first page of each site after which a limit stops the crawl.
 
     ``pages`` has a row for each converted page with ``minutes`` since the start, ``errors``
-    and ``bytes`` so far as increments, and ``pct_unique``.  All running values share one
-    window per site.  With ``strict_parity`` the duration is the minutes component alone, 0
+    and ``bytes`` so far as increments, and ``pct_unique``.  With ``strict_parity`` the duration is the minutes component alone, 0
     to 59, as the model has it.
     """
-    order = Window.partitionBy(site).orderBy(seq)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    run = pages.select(
-        site, seq, (F.col("minutes") % 60 if strict_parity else F.col("minutes")).alias("m"), F.row_number().over(order).alias("n"),
-        F.sum("errors").over(upto).alias("e"), F.sum("bytes").over(upto).alias("b"), last_mean(F.col("pct_unique"), site, seq).alias("u"),
-    )
+    ranked = numbered(checkpointed(pages.select(site, seq, "minutes", "errors", "bytes", "pct_unique")), site, seq, {"e": "errors", "b": "bytes"})
+    run = with_last_mean(ranked, site, "pct_unique", "u").select(
+        site, seq, (F.col("minutes") % 60 if strict_parity else F.col("minutes")).alias("m"), F.col("_rank").alias("n"), "e", "b", "u"
+    )
     rules = [
         (limits.max_duration, F.col("m") >= limits.max_duration, "duration"),
         (limits.max_page_count, F.col("n") >= limits.max_page_count, "pages"),
@@ -67,11 +101,11 @@ def low_unique(pages: DataFrame, site: str, seq: str, min_unique_text: int = 5,
     With ``strict_parity`` the percentages come from a ring by slot and the addresses
     from a queue by age, so the two are paired as slots and ages, not by page.
     """
-    rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc(seq)))
-    seen = F.row_number().over(Window.partitionBy(site).orderBy(seq))
-    last = pages.select(site, seq, url, pct, rank.alias("back"), (seen - 1).alias("n")).where(F.col("back") <= LAST)
-    count = Window.partitionBy(site)
-    last = last.withColumn("age", F.count(F.lit(1)).over(count) - F.col("back")).withColumn("slot", F.col("n") % LAST)
+    rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc(seq)))  # tasks keep their last ten of each site before anything is moved
+    sizes = pages.groupBy(F.col(site).alias("_site")).agg(F.count(F.lit(1)).alias("_size"))
+    last = pages.select(site, seq, url, pct).withColumn("back", rank).where(F.col("back") <= LAST)
+    last = last.join(sizes, F.col(site).eqNullSafe(F.col("_site"))).withColumn("n", F.col("_size") - F.col("back"))
+    last = last.withColumn("age", F.least(F.col("_size"), F.lit(LAST)) - F.col("back")).withColumn("slot", F.col("n") % LAST).drop("_site", "_size")
     if not strict_parity:
         return last.where(F.floor(F.col(pct) * 100) < min_unique_text).select(site, url)
     by_age = last.select(site, F.col("age").alias("k"), url)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import robots as R
@@ -17,7 +17,7 @@ from corpusloom.operators import dataset as D
 from corpusloom.operators import frontier as FR
 from corpusloom.plans import crawl
 from corpusloom.sources import files, html, render
-from corpusloom.storage import checkpointed, spread
+from corpusloom.storage import checkpointed, shared_folder, spread
 from corpusloom.streaming import unique as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,8 +260,8 @@ def q_element_unique(spark: SparkSession, path: str) -> DataFrame:
 
 def _pages(spark: SparkSession, path: str) -> DataFrame:
     log = _requests(spark, path).where("website IS NOT NULL AND clock IS NOT NULL")
-    began = F.min("clock").over(Window.partitionBy("website"))
-    minutes = F.floor((F.unix_timestamp(F.col("clock").cast("timestamp")) - F.unix_timestamp(began.cast("timestamp"))) / 60)
+    log = log.join(log.groupBy("website").agg(F.min("clock").alias("began")), "website")
+    minutes = F.floor((F.unix_timestamp(F.col("clock").cast("timestamp")) - F.unix_timestamp(F.col("began").cast("timestamp"))) / 60)
     return log.select(
         "website", "request_id", "url", minutes.alias("minutes"), FR.is_crawl_error(F.col("status_code"), F.col("error_message")).cast("int").alias("errors"),
         F.coalesce("content_bytes", F.lit(0)).alias("bytes"), (F.coalesce("unique_pct", F.lit(0.0)) / 100).alias("pct_unique"),
@@ -490,8 +490,6 @@ def q_records(spark: SparkSession, path: str) -> DataFrame:
 @query
 def q_parquet_roundtrip(spark: SparkSession, path: str) -> DataFrame:
     """Records written by split and website, and read again."""
-    from corpusloom.storage import shared_folder
-
     made = D.records(spread(_docs(spark, path).where("text IS NOT NULL")), "uri", F.col("crawled_at"), "lang", "title", "text", "source")
     split = D.with_split(made, "Website", F.md5("Uri"), id_col="Uri")
     folder = f"{shared_folder(spark)}/dataset-{spark.sparkContext.applicationId}-{abs(hash(path)) % 10**8}"
@@ -747,13 +745,15 @@ def q_crawl_rounds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """All rows of a stream over the files there are, by way of a file sink in the shared folder."""
-    from corpusloom.storage import shared_folder
-
+    """All rows of a stream over the files there are, each batch written to a folder of its own in the shared folder."""
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"  # a state of its own for each call
-    job = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")  # a repeated batch writes the same folder again
+
+    job = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/*")
 
 
 @query
@@ -772,4 +772,6 @@ def q_stream_last10(spark: SparkSession, path: str) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: T.trimmed(x)), lambda x: x != "")
     blocks = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), T.words(x).alias("words")))
     units = docs.select(F.col("source").alias("site"), F.col("doc_id").alias("seq"), "doc_id", blocks.alias("blocks")).where(F.size("blocks") > 0)
-    return _drained(S.document_uniqueness(units), spark, "last10").select("doc_id", F.round("unique_last", 6).alias("unique_last"))
+    totals = _drained(S.document_totals(units), spark, "totals")
+    firsts = _drained(S.first_occurrences(S.document_blocks(units)), spark, "firsts", "update")
+    return S.uniqueness(totals, firsts).select("doc_id", F.round("unique_last", 6).alias("unique_last"))

@@ -1,15 +1,11 @@
-"""Streaming: pages in, unique flags and moving uniqueness out, with state per site."""
+"""Streaming: pages in, unique flags and moving uniqueness out, with state by site and text."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAST = 10
-_OUT = "site string, doc_id bigint, total_words bigint, unique_words bigint, pct_unique double, unique_last double"
+from corpusloom.operators.control import LAST, unique_last
 
 
 def unique_stream(blocks: DataFrame, dropped_after: str | None = None) -> DataFrame:
@@ -23,32 +19,33 @@ def unique_stream(blocks: DataFrame, dropped_after: str | None = None) -> DataFr
     return blocks.dropDuplicates(["site", "hash"])
 
 
-def document_uniqueness(units: DataFrame) -> DataFrame:
-    """(site, doc_id, total_words, unique_words, pct_unique, unique_last) of a stream of documents.
+def document_blocks(docs: DataFrame) -> DataFrame:
+    """(site, hash, seq, pos, doc_id, words): the blocks of a stream of documents (site, seq, doc_id, blocks)."""
+    each = docs.select("site", "seq", "doc_id", F.posexplode("blocks").alias("pos", "x"))
+    return each.select("site", F.col("x.hash").alias("hash"), "seq", "pos", "doc_id", F.col("x.words").alias("words"))
+
+
+def document_totals(docs: DataFrame) -> DataFrame:
+    """(site, seq, doc_id, total_words) of a stream of documents, without state."""
+    return docs.select("site", "seq", "doc_id", F.aggregate("blocks", F.lit(0).cast("bigint"), lambda n, x: n + x["words"]).alias("total_words"))
 
-    ``units`` has one row a document: site, seq, doc_id and ``blocks``, an array of
-    (hash, words) in order.  The state of a site is its set of text hashes and the last
-    ten shares, exactly as a batch run over (site, seq) has them.
+
+def first_occurrences(blocks: DataFrame) -> DataFrame:
+    """(site, hash, first): the first block of each text of a site so far, of a stream of blocks.
+
+    State is one row a site and text hash in Spark's own store, so a large site is spread over all
+    partitions; a batch rewrites the rows of its own texts alone.  In update mode a text comes out when
+    it is first seen, and again only if a block that comes before it arrives later.
     """
+    return blocks.groupBy("site", "hash").agg(F.min(F.struct("seq", "doc_id", "pos", "words")).alias("first"))
+
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, last = (set(state.get[0]), list(state.get[1])) if state.exists else (set(), [])
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["seq", "doc_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            total = unique = 0
-            for block in r.blocks:
-                total += block["words"]
-                if block["hash"] not in seen:
-                    seen.add(block["hash"])
-                    unique += block["words"]
-            pct = unique / total if total else 0.0
-            last = [*last, pct][-LAST:]
-            out.append((key[0], r.doc_id, total, unique, pct, sum(last) / len(last)))
-        state.update((list(seen), last))
-        yield pd.DataFrame(out, columns=["site", "doc_id", "total_words", "unique_words", "pct_unique", "unique_last"])
-
-    return units.groupBy("site").applyInPandasWithState(update, _OUT, "seen array<bigint>, last array<double>", "append", "NoTimeout")
+def uniqueness(totals: DataFrame, firsts: DataFrame, last: int = LAST) -> DataFrame:
+    """(site, doc_id, total_words, unique_words, pct_unique, unique_last) from what the two streams have written."""
+    own = firsts.groupBy("site", "hash").agg(F.min("first").alias("x")).groupBy("site", F.col("x.doc_id").alias("doc_id")).agg(F.sum("x.words").alias("unique_words"))
+    made = totals.join(own, ["site", "doc_id"], "left").withColumn("unique_words", F.coalesce("unique_words", F.lit(0)))
+    made = made.withColumn("pct_unique", F.when(F.col("total_words") > 0, F.col("unique_words") / F.col("total_words")).otherwise(F.lit(0.0)))
+    return unique_last(made, "site", "seq", last=last).drop("seq")
 
 
 def request_rates(log: DataFrame, window: str = "10 minutes", late: str = "6 hours") -> DataFrame:

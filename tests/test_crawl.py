@@ -142,3 +142,21 @@ def test_links_of_pages(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, tag string")
     got = sorted((r.page_id, r.url) for r in crawl.links_of(pages, robots_tag_col="tag").collect())
     assert got == [(1, "http://h.example/b"), (2, "http://h.example/d")]
+
+
+@pytest.mark.parametrize("part", [3, 16, 1 << 16])
+def test_sites_in_parts(spark, monkeypatch, part):
+    import random
+
+    monkeypatch.setattr(C, "PART_ROWS", max(part, C.LAST))
+    rng = random.Random(part)
+    rows = [(site, i * i if site == "a" else i, rng.random(), rng.randint(0, 3)) for site, n in (("a", 150), ("b", 9), (None, 40)) for i in range(n)]
+    table = spark.createDataFrame(rows, "site string, seq bigint, pct_unique double, errors int").repartition(5)
+    got = {(r.site, r.seq): r for r in C.with_last_mean(C.numbered(table, "site", "seq", {"run": "errors"}), "site", "pct_unique", "mean").collect()}
+    assert len(got) == len(rows)
+    for site in ("a", "b", None):
+        own = sorted(r for r in rows if r[0] == site)
+        for i, r in enumerate(own):
+            tail = [x[2] for x in own[max(0, i - 9) : i + 1]]
+            now = got[site, r[1]]
+            assert now._rank == i + 1 and now.run == sum(x[3] for x in own[: i + 1]) and now.mean == pytest.approx(sum(tail) / len(tail))
