@@ -16,12 +16,18 @@ _SPACES = re.compile(r"[\s\x00-\x1f]+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
+#: Digits as 0 and white space as a space, byte by byte.
+_FOLDED = bytes(48 if 48 <= i < 58 else 32 if 9 <= i < 14 or 28 <= i < 32 else i for i in range(256))
+
+
 def skeleton(line: str) -> str:
     """Lower-cased ASCII part of a line, runs of digits as 0, single spaces."""
-    key = line.lower()
-    if not key.isascii():
-        key = key.encode("ascii", "ignore").decode()
-    return " ".join(_DIGITS.sub("0", key).split())
+    key = line.lower().encode("ascii", "ignore").translate(_FOLDED)
+    while b"00" in key:
+        key = key.replace(b"00", b"0")
+    while b"  " in key:
+        key = key.replace(b"  ", b" ")
+    return key.strip(b" ").decode()
 
 
 #: Labels of menus, buttons and footers: a whole line or a whole menu entry.
