@@ -148,6 +148,11 @@ def _line(c: str) -> str:
 
 _CLOCK = "coalesce(strftime(clock, '%H:%M:%S.') || lpad(CAST(epoch_us(clock) // 1000 % 1000 AS VARCHAR), 3, '0'), '')"
 
+_ALLOWED = f"""WITH {_LOG}, {_CONFIG}, p AS (SELECT website AS host, list_distinct(flatten(list(excludeurls))) AS patterns FROM config WHERE excludeurls IS NOT NULL AND len(excludeurls) > 0 GROUP BY website),
+      t AS (SELECT request_id, {_host('url')} AS host, ({_path('url')}) || CASE WHEN {_query('url')} <> '' THEN '?' || {_query('url')} ELSE '' END AS target FROM log)
+      SELECT request_id, coalesce(target <> '/robots.txt', true) AND len([x FOR x IN coalesce(patterns, []) IF regexp_matches(target, '^' || replace(replace(replace(regexp_replace(x, '\\$$', ''), '.', '\\.'), '?', '\\?'), '*', '.*')
+        || CASE WHEN x LIKE '%$' THEN '$' ELSE '' END)]) = 0 AS robots_allowed FROM t LEFT JOIN p ON p.host = t.host"""
+
 SQL: dict[str, str] = {
     "q_text_stats": f"SELECT doc_id, {_stats('text')} FROM documents",
     "q_avg_word_len": f"""SELECT doc_id,
@@ -217,10 +222,7 @@ SQL: dict[str, str] = {
     "q_redirects": f"WITH {_LOG} SELECT request_id, redirected_from <> url AS redirect FROM log WHERE redirected_from IS NOT NULL",
     "q_links": r"""WITH f AS (SELECT doc_id, regexp_extract_all(text, '\]\((https?://[^)\s]+)\)', 1) AS u FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS pos, unnest(u) AS url FROM f""",
-    "q_robots_allowed": f"""WITH {_LOG}, {_CONFIG}, p AS (SELECT website AS host, list_distinct(flatten(list(excludeurls))) AS patterns FROM config WHERE excludeurls IS NOT NULL AND len(excludeurls) > 0 GROUP BY website),
-      t AS (SELECT request_id, {_host('url')} AS host, ({_path('url')}) || CASE WHEN {_query('url')} <> '' THEN '?' || {_query('url')} ELSE '' END AS target FROM log)
-      SELECT request_id, coalesce(target <> '/robots.txt', true) AND len([x FOR x IN coalesce(patterns, []) IF regexp_matches(target, '^' || replace(replace(replace(regexp_replace(x, '\\$$', ''), '.', '\\.'), '?', '\\?'), '*', '.*')
-        || CASE WHEN x LIKE '%$' THEN '$' ELSE '' END)]) = 0 AS robots_allowed FROM t LEFT JOIN p ON p.host = t.host""",
+    "q_robots_allowed": _ALLOWED,
     "q_site_lang_counts": "SELECT source, lang, count(*) AS files FROM documents GROUP BY source, lang",
     "q_site_lang_min": "SELECT source FROM documents WHERE lang = 'fr' GROUP BY source HAVING count(*) >= 20",
     "q_split": f"WITH {_RANKED} SELECT doc_id, split FROM split",
@@ -304,4 +306,16 @@ SQL: dict[str, str] = {
       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, {_KIND} AS elt_type, doceltcmd AS cmd, md5(text) AS digest FROM own""",
     "q_pdf_blocks": f"WITH {_PDF} SELECT doc_id, pos AS ord, md5(text) AS digest FROM nested",
     "q_pdf_titles": f"""WITH {_PDF} SELECT doc_id, pos AS ord, CASE WHEN title THEN 'Section' ELSE 'TextBlock' END AS elt_type, CAST(n + CASE WHEN title THEN 0 ELSE 1 END AS INTEGER) AS nesting_level FROM nested""",
+    "q_recrawl": f"WITH {_LOG} SELECT request_id, coalesce({_ERROR}, false) AND retry_count < 3 AS again FROM log",
+    "q_retry_after": f"""WITH {_LOG} SELECT request_id, CAST(greatest(CAST(trunc(retry_after_s) AS INTEGER), 0) AS DOUBLE) AS seconds FROM log WHERE clock IS NOT NULL AND retry_after_s IS NOT NULL""",
+    "q_links_decision": f"""WITH {_LOG} SELECT request_id, CASE WHEN coalesce(content_bytes, 0) <= 0 THEN 'no content' WHEN NOT coalesce({_host('url')} = website, false) THEN 'external'
+      WHEN crawl_depth >= 3 THEN 'too deep' END AS reason FROM log""",
+    "q_response_place": f"""WITH {_LOG} SELECT request_id, coalesce({_host('redirected_from')} <> {_host('url')}, false) AS "left",
+      lower(regexp_extract(redirected_from, {_URL}, 1)) || '://' || {_AUTHORITY.format(u='redirected_from')} || ({_path('url')}) AS target,
+      CASE WHEN lower(regexp_extract(url, {_URL}, 1)) IN ('http', 'https') THEN 'https' || regexp_replace(url, '^[A-Za-z]+', '') ELSE url END AS aligned
+      FROM log WHERE redirected_from IS NOT NULL AND url IS NOT NULL AND website IS NOT NULL""",
+    "q_bot_protected": f"WITH {_LOG} SELECT request_id, coalesce(status_code >= 400, false) AND request_id % 4 = 0 AS protected FROM log",
+    "q_refilter": f"SELECT request_id FROM ({_ALLOWED}) WHERE robots_allowed",
+    "q_request_rates": """SELECT strftime(time_bucket(INTERVAL 10 MINUTES, clock), '%Y-%m-%d %H:%M:%S') AS start, website, count(*) AS requests, count(*) FILTER (coalesce(status_code <> 200, true)) AS errors,
+      CAST(sum(content_bytes) AS BIGINT) AS bytes FROM request_log WHERE clock IS NOT NULL GROUP BY 1, 2""",
 }

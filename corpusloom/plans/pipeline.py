@@ -15,6 +15,10 @@ from corpusloom.sources import files, html, render
 from corpusloom.storage import checkpointed
 
 
+#: Bound of the table of sites in a dataset card.
+MAX_SITES = 100_000
+
+
 @dataclass
 class Extraction:
     """Tables of an extracted site: element rows with statistics and uniqueness, and one row a document."""
@@ -59,17 +63,27 @@ def write_extraction(done: Extraction, folder: str, preview: bool = False) -> No
     names = kept.select("page_id", base.alias("base"), F.coalesce("lang", F.lit("?")).alias("lang"))
     name = lambda ext: T.output_name(F.col("base"), F.col("lang"), ext).alias("name")
     rows = done.elements.join(kept.select("page_id"), "page_id", "left_semi")
-    head = kept.select(
-        "page_id", F.lit(-3).alias("pos"), F.explode(F.array(
-            F.struct(F.lit("Title").alias("cmd"), F.coalesce("title", F.lit("")).alias("text")), F.struct(F.lit("Uri").alias("cmd"), F.col("url").alias("text")),
+    title = kept.select(
+        "page_id", F.lit(-4).alias("pos"), F.lit("Document").alias("elt_type"), F.lit("Title").alias("cmd"), F.lit(1).alias("nesting_level"), F.coalesce("title", F.lit("")).alias("text"),
+        F.coalesce("lang", F.lit("?")).alias("lang"), T.block_hash(F.coalesce("title", F.lit(""))).alias("hash"), F.lit(None).cast("boolean").alias("is_unique"),
+        *(F.lit(None).cast("int").alias(n) for n in ("row", "rowspan", "col", "colspan")),
+    )
+    plain = kept.select(
+        "page_id", F.posexplode(F.array(
+            F.struct(F.lit("Uri").alias("cmd"), F.col("url").alias("text")),
             F.struct(F.lit("Timestamp").alias("cmd"), F.coalesce(F.date_format("ts", "MM/dd/yyyy HH:mm:ss"), F.lit("")).alias("text")),
-        )).alias("p"),
+        )).alias("place", "p"),
     )
-    order = F.when(F.col("p.cmd") == "Title", -3).when(F.col("p.cmd") == "Uri", -2).otherwise(-1)
-    line = F.concat(F.lit("Document;"), F.col("p.cmd"), F.lit(';1;"'), T.csv_encoded(F.col("p.text")), F.lit('"' + ";" * 9))
-    lines = render.csv_lines(rows).select("page_id", "pos", "line").union(head.select("page_id", order, line))
+    counted = done.elements.where("is_unique IS NOT NULL").withColumn("words", T.words(F.col("text")))
+    metadata = B.metadata_words(B.words_by_language(counted, "page_id"), "page_id").join(kept.select("page_id"), "page_id", "left_semi")
+    entries = metadata.select("page_id", F.explode(F.map_entries("metadata")).alias("e"))
+    made = lambda cmd, text: F.concat(F.lit("Document;"), cmd, F.lit(';1;"'), T.csv_encoded(text), F.lit('"' + ";" * 9))
+    wanted = ["page_id", "pos", "elt_type", "cmd", "nesting_level", "text", "lang", "hash", "is_unique", "row", "rowspan", "col", "colspan"]
+    lines = render.csv_lines(rows.select(*wanted).unionByName(title)).select("page_id", "pos", "line")
+    lines = lines.union(plain.select("page_id", F.col("place") - 3, made(F.col("p.cmd"), F.col("p.text"))))
+    lines = lines.union(entries.select("page_id", F.lit(-1), made(F.lit("Metadata"), F.concat(F.col("e.key"), F.lit("="), F.col("e.value")))))
     table = lines.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("body"))
-    whole = F.concat(F.lit(render.CSV_HEADER + "\nDocument;Start;1" + ";" * 10 + "\n"), F.col("body"), F.lit("\nDocument;End;1" + ";" * 10 + "\n"))
+    whole = F.concat(F.lit("\ufeff" + render.CSV_HEADER + "\nDocument;Start;1" + ";" * 10 + "\n"), F.col("body"), F.lit("\nDocument;End;1" + ";" * 10 + "\n"))
     render.write_documents(table.join(names, "page_id").select(name(".dataframe.csv"), whole.alias("text")), folder)
     view = B.unique_view(rows)
     render.write_documents(render.render_documents(view).join(names, "page_id").select(name(".text.md"), "text"), folder)
@@ -90,6 +104,8 @@ def build_dataset(spark: SparkSession, folder: str, out: str, domain: str, langu
     D.write_dataset(split, out)
     # one row a split and one a site: the size of the card itself
     examples = {r.split: r.examples for r in D.split_counts(split).collect()}
-    sites = [tuple(r) for r in D.website_summary(split, "Website", F.col("PDF"), F.col("Words")).collect()]
+    sites = [tuple(r) for r in D.website_summary(split, "Website", F.col("PDF"), F.col("Words")).limit(MAX_SITES + 1).collect()]
+    if len(sites) > MAX_SITES:
+        raise ValueError(f"a card lists at most {MAX_SITES} sites")
     size = spark.read.parquet(out).select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
     return D.dataset_card(domain, language, year_month, examples, size, sites)

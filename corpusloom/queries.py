@@ -367,6 +367,54 @@ def q_charset_decode(spark: SparkSession, path: str) -> DataFrame:
     return _bodies(spark, path).select("doc_id", F.md5(text).alias("digest"))
 
 
+@query
+def q_recrawl(spark: SparkSession, path: str) -> DataFrame:
+    """Failed requests that may be tried again."""
+    failed = FR.is_crawl_error(F.col("status_code"), F.col("error_message"))
+    return _requests(spark, path).select("request_id", FR.recrawl_decision(failed, F.col("retry_count"), 3).alias("again"))
+
+
+@query
+def q_retry_after(spark: SparkSession, path: str) -> DataFrame:
+    """Seconds to wait by headers made of the log: numbers, and dates so many seconds after the request."""
+    log = _requests(spark, path).where("clock IS NOT NULL AND retry_after_s IS NOT NULL")
+    seconds, now = F.col("retry_after_s").cast("int"), F.col("clock").cast("timestamp")
+    date = F.date_format(now + F.make_dt_interval(secs=seconds), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(F.col("request_id") % 2 == 0, seconds.cast("string")).otherwise(date)
+    return log.select("request_id", FR.retry_after(header, now).alias("seconds"))
+
+
+@query
+def q_links_decision(spark: SparkSession, path: str) -> DataFrame:
+    internal = F.coalesce(U.host(F.col("url")) == F.col("website"), F.lit(False))
+    return _requests(spark, path).select("request_id", FR.links_decision(F.coalesce("content_bytes", F.lit(0)) > 0, internal, F.col("crawl_depth"), 3).alias("reason"))
+
+
+@query
+def q_response_place(spark: SparkSession, path: str) -> DataFrame:
+    """Redirected requests: whether they left their host, where a relative target leads, and the address under the scheme of the root."""
+    log = _requests(spark, path).where("redirected_from IS NOT NULL AND url IS NOT NULL AND website IS NOT NULL")
+    location = F.concat(U.path(F.col("url")), F.lit("%20#part"))
+    return log.select(
+        "request_id", FR.left_host(F.col("redirected_from"), F.col("url")).alias("left"), FR.redirect_target(F.col("redirected_from"), location).alias("target"),
+        FR.aligned_scheme(F.col("url"), F.concat(F.lit("https://"), "website")).alias("aligned"),
+    )
+
+
+@query
+def q_bot_protected(spark: SparkSession, path: str) -> DataFrame:
+    """Responses of a bot protection among those of the log, every fourth of which carries its header."""
+    headers = F.when(F.col("request_id") % 4 == 0, F.create_map(F.lit("X-DataDome"), F.lit("1"))).otherwise(F.create_map(F.lit("Server"), F.lit("x")))
+    return _requests(spark, path).select("request_id", FR.is_bot_protected(F.col("status_code"), headers).alias("protected"))
+
+
+@query
+def q_refilter(spark: SparkSession, path: str) -> DataFrame:
+    """Waiting pages that the present configuration still allows."""
+    judged = q_robots_allowed(spark, path)
+    return FR.refilter(judged, F.col("robots_allowed")).select("request_id")
+
+
 @query
 def q_crawl_by_domain(spark: SparkSession, path: str) -> DataFrame:
     return _requests(spark, path).groupBy(U.authority(F.col("url")).alias("authority")).agg(F.count(F.lit(1)).alias("pages"), F.max("crawl_depth").alias("deepest"))
@@ -775,3 +823,12 @@ def q_stream_last10(spark: SparkSession, path: str) -> DataFrame:
     totals = _drained(S.document_totals(units), spark, "totals")
     firsts = _drained(S.first_occurrences(S.document_blocks(units)), spark, "firsts", "update")
     return S.uniqueness(totals, firsts).select("doc_id", F.round("unique_last", 6).alias("unique_last"))
+
+
+@query
+def q_request_rates(spark: SparkSession, path: str) -> DataFrame:
+    """Requests, errors and bytes of each website in ten minutes, by a stream over the log."""
+    log = spark.readStream.schema(_table(spark, path, "request_log").schema).parquet(f"{path}/request_log.parquet*").where("clock IS NOT NULL")
+    rates = S.request_rates(log.withColumn("clock", F.col("clock").cast("timestamp")))
+    last = _drained(rates, spark, "rates", "update").groupBy("start", "website").agg(F.max("requests").alias("requests"), F.max("errors").alias("errors"), F.max("bytes").alias("bytes"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "website", "requests", "errors", "bytes")

@@ -117,13 +117,13 @@ def test_unique_view_queries_cover_the_documents(spark, tmp_path):
     docs = [(1, "# X\ndup\nnew", "s"), (2, "# Y\ndup\n# Z\nother", "s"), (3, "dup", "s"), (4, "dup", "t"), (5, None, "t")]
     rows = [(i, text, source, f"http://{source}.example/{i}", f"T{i}") for i, text, source in docs]
     spark.createDataFrame(rows, "doc_id bigint, text string, source string, uri string, title string").write.parquet(f"{tmp_path}/documents.parquet")
-    kept = {(r.page_id, r.text) for r in core.q_unique_view(spark, str(tmp_path)).where("text IS NOT NULL").collect()}
+    kept = {(r.page_id, r.text) for r in core.q_unique_view_pages(spark, str(tmp_path)).where("text IS NOT NULL").collect()}
     assert kept == {(1, "X"), (1, "dup"), (1, "new"), (2, "Z"), (2, "other"), (4, "dup")}
     groups = {(r.page_id, r.contains_unique) for r in core.q_group_unique_pages(spark, str(tmp_path)).collect()}
     assert groups == {(1, True), (2, False), (2, True)}
-    text = {r.page_id: r.text for r in core.q_render_markdown(spark, str(tmp_path)).collect()}
+    text = {r.page_id: r.text for r in render.render_documents(B.unique_view(core._page_view(spark, str(tmp_path)))).collect()}
     assert set(text) == {1, 2, 4} and text[1] == "# X\n\ndup\n\nnew\n\n\n" and text[2].startswith("# Z")
-    preview = {r.page_id: r.text for r in core.q_render_html(spark, str(tmp_path)).collect()}
+    preview = {r.page_id: r.text for r in render.render_documents(B.unique_view(core._page_view(spark, str(tmp_path))), "html").collect()}
     assert set(preview) == {1, 2, 4} and "<h1>Z</h1>" in preview[2]
 
 
@@ -190,3 +190,13 @@ def test_markdown_files(spark, tmp_path):
     (tmp_path / "s" / "a.fr.text.md").write_text("# T\n\nx\n")
     got = files.read_markdown(spark, str(tmp_path)).collect()
     assert [(r.lang, r.text) for r in got] == [("fr", "# T\n\nx\n")]
+
+
+def test_groups_that_only_their_nesting_ends(spark):
+    rows = [(1, 0, "Section", "Start", 1, "a", True), (1, 1, "Section", "Start", 2, "b", True), (1, 2, "TextBlock", "Text", 3, "x", False), (1, 5, "TextBlock", "Text", 2, "y", True), (1, 6, "TextBlock", "Text", 1, "z", False), (2, 0, "TextBlock", "Text", 1, "w", None)]
+    table = spark.createDataFrame(rows, "page_id bigint, pos int, elt_type string, cmd string, nesting_level int, text string, is_unique boolean").repartition(3)
+    tree = B.implied_tree(table)
+    got = [(r.pos, r.origin, r.cmd, r.nesting_level, r.path) for r in tree.where("page_id = 1").orderBy("pos").collect()]
+    assert got == [(0, 0, "Start", 1, []), (1, 1, "Start", 2, [0]), (2, 2, "Text", 3, [0, 1]), (3, None, "End", 2, [0]), (4, 5, "Text", 2, [0]), (5, None, "End", 1, []), (6, 6, "Text", 1, [])]
+    assert {(r.pos, r.contains_unique) for r in B.group_unique(tree).collect()} == {(0, True), (1, False)}
+    assert {r.origin for r in B.unique_view(tree).where("cmd <> 'End'").collect()} == {0, 5} and B.implied_tree(table.limit(0)).count() == 0

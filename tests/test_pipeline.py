@@ -27,3 +27,14 @@ def test_extract_write_and_make_a_dataset(spark, tmp_path):
     one = rows.where("Title = 'T0'").first()
     assert one.Uri == "http://www.h.example/p/0?a=0" and one.Timestamp == "01/04/2023 11:27:13" and one.Words == 9  # the marks of headings and items count
     assert "num_examples: 48" in card and "| www.h.example | 60 | 0 |" in card
+
+
+def test_tables_of_documents_have_heads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://www.h.example/p", '<title>A "title" here</title><p>one text</p><p>two</p>')], "page_id bigint, url string, html string").withColumn("ts", F.to_timestamp(F.lit("2023-01-04 11:27:13")))
+    done = pipeline.extract(pages, "subdomain", pages.select("page_id", F.lit("__label__fr").alias("lang"), F.lit(0.9).alias("score")))
+    pipeline.write_extraction(done, f"file://{tmp_path}/site")
+    (name,) = glob.glob(f"{tmp_path}/site/**/*.fr.dataframe.csv", recursive=True)
+    lines = open(name, encoding="utf-8").read().split("\n")
+    assert lines[0].startswith("\ufeffDocEltType;") and lines[1] == "Document;Start;1" + ";" * 10
+    assert lines[2].startswith('Document;Title;1;"A ""title"" here";fr;14;3;3;') and lines[3].startswith('Document;Uri;1;"http://www.h.example/p"')
+    assert lines[4].startswith('Document;Timestamp;1;"01/04/2023 11:27:13"') and lines[5].startswith('Document;Metadata;1;"words-count:fr=3"') and lines[-2] == "Document;End;1" + ";" * 10
