@@ -22,9 +22,13 @@ def _docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, path: str, table: str, *names: str) -> list[tuple]:
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*names))
-    rows = spark.read.parquet(f"{path}/{table}.parquet").select("lang", *(n for n in names if n != "lang")).withColumn("_rank", rank)
-    return [tuple(r) for r in rows.where(F.col("_rank") <= MAX_FIXED_ROWS).orderBy("lang", *names).select(*names).collect()]
+    """Rows of a fixed table in order, at most MAX_FIXED_ROWS of each language."""
+    rows = spark.read.parquet(f"{path}/{table}.parquet").select("lang", *(n for n in names if n != "lang"))
+    got = rows.limit(MAX_FIXED_ROWS + 1).collect()
+    if len(got) > MAX_FIXED_ROWS:  # else all of them are within the bound
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(*names))
+        got = rows.withColumn("_rank", rank).where(F.col("_rank") <= MAX_FIXED_ROWS).collect()
+    return sorted((tuple(r[n] for n in names) for r in got), key=lambda x: [v or "" for v in x])
 
 
 def _common_words(spark: SparkSession, path: str) -> list[str]:
