@@ -44,6 +44,8 @@ PLACES = 1 << 30
 
 #: Log-odds are cut here (in hundredths), and a line in a place that the structure of the page decides gets these.
 LIMIT, TITLE_SCORE, RESIDUE_SCORE = 600, -600, -500
+#: A line counts as frame from these log-odds on, which are odds of three to two.
+MARGIN = 40
 
 _DATE = re.compile(r"0[./-]0[./-]0|\(c\)")  # of a skeleton
 _NO_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}
@@ -182,7 +184,7 @@ class Scorer:
         if score is None:
             if len(self.memory) > 200_000:
                 self.memory.clear()
-            score = self.weights[N_BITS] + sum(w for b, w in enumerate(self.weights[:N_BITS]) if bits >> b & 1)
+            score = self.weights[N_BITS] - MARGIN + sum(w for b, w in enumerate(self.weights[:N_BITS]) if bits >> b & 1)
             score = self.memory[bits] = max(-LIMIT, min(LIMIT, score))
         return score
 
