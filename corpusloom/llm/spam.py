@@ -29,10 +29,11 @@ _FUNCTION = """
 
 _WORD = re.compile(r"[a-z]+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
-_DOT = re.compile(r"\w\.[^\W\d_]|://")
+_DOT = re.compile(r"\.(?<=\w\.)[^\W\d_]|://")  # a literal first, which is found fastest
 _CAMEL = re.compile(r"(?<=[^\W\d_A-ZÀ-Þ])(?=[A-ZÀ-Þ])")
 _TARGET = re.compile(r"\(?\bhttps?://\S+|\bwww\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|com|org|net|info|shop|biz|de|fr|it|es|co\.uk)\b\S*")
-_ENTRY = re.compile(r"^\S+(?: \S+){0,3} ?[,:] \S+(?: \S+){0,3}$|\s{3,}|\t|;.*;|\(\d{4}\)$")
+_SHORT_ENTRY = re.compile(r"^\S+(?: \S+){0,3} ?[,:] \S+(?: \S+){0,3}$")
+_WIDE, _YEAR_END = re.compile(r"\s{3,}"), re.compile(r"\(\d{4}\)$")
 _HASHTAG = re.compile(r"(?:^|\s)#[^\W\d_]{3}\w*(?=[\s,.;!]|$)")
 
 #: Words are compared without letters outside ASCII, so that wrong decodings stay words.
@@ -151,6 +152,15 @@ def is_noun_list(line: str, readable: Callable[[str], bool] | None = None) -> bo
     return readable is None or sum(map(readable, words)) >= NOUN_READABLE * len(words)
 
 
+def is_entry(line: str) -> bool:
+    """A line in the shape of an entry of a list or of a row: two short parts, cells, or a year at its end."""
+    if "   " in line or "\t" in line or line.count(";") > 1:
+        return True
+    if line[-1] == ")" and _YEAR_END.search(line) or line.count(" ") <= 8 and _SHORT_ENTRY.match(line):
+        return True
+    return not line.isascii() and _WIDE.search(line) is not None
+
+
 def is_grid(lines: list[str]) -> bool:
     """At least three lines of one number of items are the rows of a table."""
     sizes = {len(_ITEMS.split(x)) for x in lines}
@@ -183,7 +193,7 @@ def is_spam(page: Page, readable: Callable[[str], bool] | None = None) -> bool:
         return False
     single, double, regular, function, recurring, lag = recurrence(words)
     cyclic = regular >= REGULAR and len(words) * (1 - function) >= MIN_CONTENT
-    structured = sum(page.kinds[i] in (LIST, TABLE, TITLE) or _ENTRY.search(page.lines[i]) is not None for i in at)
+    structured = sum(page.kinds[i] in (LIST, TABLE, TITLE) or is_entry(page.lines[i]) for i in at)
     if structured * 2 >= len(at):  # entries of lists repeat their heads; only dense repetition and cycles longer than entries count
         return double >= 2 * STUFFED or cyclic and recurring >= CYCLES and lag > FAR
     if cyclic and recurring >= (CYCLES if function >= 0.14 else LISTED_CYCLES):
