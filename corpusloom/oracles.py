@@ -224,7 +224,7 @@ SQL: dict[str, str] = {
       SELECT doc_id, CAST(generate_subscripts(u, 1) - 1 AS INTEGER) AS pos, unnest(u) AS url FROM f""",
     "q_robots_allowed": _ALLOWED,
     "q_site_lang_counts": "SELECT source, lang, count(*) AS files FROM documents GROUP BY source, lang",
-    "q_site_lang_min": "SELECT source FROM documents WHERE lang = 'fr' GROUP BY source HAVING count(*) >= 20",
+    "q_site_lang_min": "SELECT source FROM documents WHERE lang = 'fr' GROUP BY source HAVING count(*) >= 50",
     "q_split": f"WITH {_RANKED} SELECT doc_id, split FROM split",
     "q_split_counts": f"WITH {_RANKED} SELECT split, count(*) AS examples FROM split GROUP BY split",
     "q_website_table": f"""WITH {_RECORDS} SELECT lower(website) AS site, count(*) FILTER (NOT coalesce(lower(uri) LIKE '%.pdf', false)) AS html_pages,

@@ -509,7 +509,7 @@ def q_site_lang_counts(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def q_site_lang_min(spark: SparkSession, path: str) -> DataFrame:
-    return D.sites_with(_docs(spark, path), "source", "lang", "fr", 20)
+    return D.sites_with(_docs(spark, path), "source", "lang", "fr")
 
 
 @query
