@@ -34,7 +34,7 @@ LEAST_WORDS = 3
 
 _HARD = re.compile("[�\x80-\x9f]")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
-_TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+_TOKEN = re.compile(r"[^ \t\r\n;|]*[^\x00-\x7f][^ \t\r\n;|]*")  # cells are words of their own
 #: Greek and Cyrillic letters: wrong within a word of Latin ones, right in a word of their own.
 _SCRIPT = re.compile(r"[Ͱ-ԯ]")
 _SCRIPT_WORD = re.compile(r"[Ͱ-ԯ]{2}")
@@ -160,7 +160,7 @@ class Repairer:
         if seq == "Ã ":
             return not (before.islower() or before in ("", " ")) or after.isalnum()
         if all("─" <= c <= "▟" for c in seq) and not (before.isalpha() or after.isalpha()):
-            return True
+            return not (seq[0] in "┬├┼─" and seq[1] in "║╗╝╣╚╔╩╦╠═╬")  # tables do not go from single to double lines
         if len(seq) == 2 and _SCRIPT.match(seq[0]):
             beside = [c for c in (before, after) if c.isalpha()]
             if clean in FURTHER or seq[1].isalpha() or not seq[1].strip():  # right in a word of this script
@@ -243,7 +243,7 @@ class Repairer:
                 wrong = end - start == 1 and line[i - 2 : i - 1].isalpha() and line[i + 2 : i + 3].isalpha()
             else:
                 inside = before.isalpha() and after.isalpha() and before.islower() == after.islower()
-                wrong = inside and c not in "’‘-" or c in "‡†‰" and before.islower() or c == "‚" and (before.isalpha() or before in ("'", "’")) and after.isalpha() or c == "‚" and before.islower() or c in "‡†‰" and after.islower() or c == "—" and before.islower() and not after
+                wrong = inside and c not in "’‘-" or c in "‡†‰" and before.islower() or c == "‚" and (before.isalpha() or before in ("'", "’")) and after.isalpha() or c == "‚" and before.islower() or c in "‡†‰" and after.islower() or c == "—" and before.islower() and not after.isalnum()
             if wrong:
                 return 2
         return sure
