@@ -4,8 +4,8 @@ Every line is a set of binary features, held as the bits of one integer: its sha
 phrase list it meets if any, its place in the page, and how many documents of its site hold
 it or its beginning.  Weights are fitted by logistic regression.  There are no labelled lines, so
 labels come from seeds: lines that meet a phrase of the frame against lines in the shape
-of content.  Every example is also given without its phrase bits and without its counts, hence
-what the seeds have in common is learned, and lines that meet no phrase are told by it.
+of content.  Every example is also given without its phrase bits, with more weight, and without its counts,
+with less, hence what the seeds have in common is learned, and lines that meet no phrase are told by it.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ PLACES = 1 << 30
 
 #: Log-odds are cut here (in hundredths), and a line in a place that the structure of the page decides gets these.
 LIMIT, TITLE_SCORE, RESIDUE_SCORE = 600, -600, -500
-#: A line counts as frame from these log-odds on, which are odds of three to two.
-MARGIN = 40
+#: A line counts as frame from these log-odds on, which are odds of six to five.
+MARGIN = 20
 
 _DATE = re.compile(r"0[./-]0[./-]0|\(c\)")  # of a skeleton
 _NO_LETTERS = {i: None for i in range(128) if not chr(i).isalpha()}
@@ -143,8 +143,8 @@ def examples(masks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     content = ~has(PHRASE_BITS) & (~loose | ~has(RECURRENT_BITS)) | has(1 << OWN_TITLE)
     used = frame | content
     m, y, w = masks[used], (frame & ~has(1 << OWN_TITLE))[used], counts[used].astype(float)
-    views = [m, m & ~PHRASE_BITS, m & ~COUNT_BITS, m & ~(PHRASE_BITS | COUNT_BITS)]
-    return np.concatenate(views), np.tile(y, 4).astype(float), np.concatenate([w, w, w / 2, w / 2])
+    views = ((m, 1.0), (m & ~PHRASE_BITS, 2.0), (m & ~COUNT_BITS, 0.1))
+    return np.concatenate([v for v, _ in views]), np.tile(y, len(views)).astype(float), np.concatenate([w * part for _, part in views])
 
 
 def matrix(masks: np.ndarray) -> np.ndarray:
