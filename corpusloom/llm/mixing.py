@@ -99,8 +99,8 @@ def mix_sources(
     spark = docs.sparkSession
     sized = checkpointed(document_tokens(docs, id_col, text_col, source_col, tokenizer).where("tokens > 0 AND id IS NOT NULL"))
     goals = targets.select("mix_name", "source", F.col("target_share").cast("double"), "max_repeats").dropDuplicates(["mix_name", "source"])
-    have = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n_docs"))
-    listed = goals.join(have, "source", "left").select("mix_name", "source", "target_share", "max_repeats", "available", "n_docs")
+    have = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("n_docs"), F.max("tokens").alias("largest"))
+    listed = goals.join(have, "source", "left").select("mix_name", "source", "target_share", "max_repeats", "available", "n_docs", "largest")
     rows = listed.limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
@@ -113,11 +113,11 @@ def mix_sources(
             epochs = tokens / r.available if r.available else 0.0
             capped = bool(r.available and tokens >= r.available * (r.max_repeats or 0) * (1 - 1e-9))
             whole = int(epochs + 1e-9)
-            plan.append((mix, r.source, r.target_share, r.max_repeats, r.available or 0, whole, max(0.0, tokens - whole * (r.available or 0)), epochs, capped))
-    ddl = "mix_name string, source string, target_share double, max_repeats int, available bigint, whole int, rest double, epochs double, capped boolean"
+            plan.append((mix, r.source, r.target_share, r.max_repeats, r.available or 0, whole, max(0.0, tokens - whole * (r.available or 0)), epochs, capped, r.largest or 0))
+    ddl = "mix_name string, source string, target_share double, max_repeats int, available bigint, whole int, rest double, epochs double, capped boolean, largest bigint"
     planned = spark.createDataFrame(plan, ddl)
     order = F.xxhash64("id", "mix_name", F.lit(seed))
-    ranked = sized.join(planned.where("epochs > 0"), "source").withColumn("order", order).withColumn("class", F.pmod("order", F.lit(CLASSES)).cast("int"))
+    ranked = sized.join(planned.where("epochs > 0").drop("largest"), "source").withColumn("order", order).withColumn("class", F.pmod("order", F.lit(CLASSES)).cast("int"))
     by_class = ranked.where("rest > 0").groupBy("mix_name", "source", "class").agg(F.sum("tokens").alias("t"))
     before = F.sum("t").over(Window.partitionBy("mix_name", "source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
     cuts = by_class.select("mix_name", "source", "class", F.coalesce(before, F.lit(0)).alias("before"), "t")
@@ -134,18 +134,17 @@ def mix_sources(
     report = planned.join(given, ["mix_name", "source"], "left").fillna(0, ["tokens", "n_docs", "most_repeats"])
     whole_mix = F.sum("tokens").over(Window.partitionBy("mix_name"))
     report = report.withColumn("actual_share", F.when(whole_mix > 0, F.col("tokens") / whole_mix).otherwise(F.lit(0.0)))
-    return mixed, report.select("mix_name", "source", "target_share", "actual_share", "available", "tokens", "n_docs", "epochs", "max_repeats", "most_repeats", "capped")
+    return mixed, report.select("mix_name", "source", "target_share", "actual_share", "available", "tokens", "n_docs", "epochs", "max_repeats", "most_repeats", "capped", "largest")
 
 
-def mixing_faults(mixed: DataFrame, report: DataFrame) -> DataFrame:
+def mixing_faults(report: DataFrame) -> DataFrame:
     """(mix_name, source, repeated, missed, unfair): whether a source breaks what a mix must keep.
 
     A document repeated above the limit, a source that gives more or less than its plan by over two of its largest
     documents, and a source below its cap whose tokens by target differ from those of the other such sources
     by more than its plan allows.
     """
-    largest = mixed.groupBy("mix_name", "source").agg(F.max("tokens").alias("largest"))
-    own = report.join(largest, ["mix_name", "source"], "left").withColumn("slack", 2 * F.coalesce("largest", F.lit(0)))
+    own = report.withColumn("slack", 2 * F.col("largest"))
     free = (~F.col("capped")) & (F.col("available") > 0) & (F.col("target_share") > 0)
     level = F.max(F.when(free, F.col("epochs") * F.col("available") / F.col("target_share"))).over(Window.partitionBy("mix_name"))
     planned = F.col("epochs") * F.col("available")

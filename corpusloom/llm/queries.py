@@ -161,7 +161,7 @@ def p9_full_shares(spark: SparkSession, path: str) -> DataFrame:
 
 def p9_faults(spark: SparkSession, path: str) -> DataFrame:
     """What breaks the rules of the clamped mixes, for each source."""
-    return mixing.mixing_faults(*mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"), mixing.EVERYTHING))
+    return mixing.mixing_faults(mixing.mix_sources(_docs(spark, path), spark.read.parquet(f"{path}/mix_targets.parquet"), mixing.EVERYTHING)[1])
 
 
 def p10_found(spark: SparkSession, path: str) -> DataFrame:

@@ -390,6 +390,6 @@ def test_a_mix_of_everything_clamps_small_sources(spark):
     by = {r.source: r for r in report.collect()}
     assert by["small"].capped and by["small"].epochs == 3 and by["small"].most_repeats == 3
     assert by["big"].tokens == pytest.approx(by["mid"].tokens, rel=0.02) and sum(r.tokens for r in by.values()) == pytest.approx(sum(r.available for r in by.values()), rel=0.01)
-    assert not [r for r in mixing.mixing_faults(mixed, report).collect() if r.repeated or r.missed or r.unfair]
+    assert not [r for r in mixing.mixing_faults(report).collect() if r.repeated or r.missed or r.unfair]
     worse = report.withColumn("tokens", F.expr("IF(source = 'mid', tokens * 2, tokens)"))
-    assert [r.source for r in mixing.mixing_faults(mixed, worse).collect() if r.missed] == ["mid"]
+    assert [r.source for r in mixing.mixing_faults(worse).collect() if r.missed] == ["mid"]
